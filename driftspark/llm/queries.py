@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import bpe, chat_format, decontaminate, license_scan
+from driftspark.llm import bpe, chat_format, decontaminate, license_scan, phrase_dedup
 from driftspark.llm._common import read
 
 
@@ -35,6 +35,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digest_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("blocks")
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op4_decontaminate": op4_decontaminate,
+        "op5_phrase_dedup": op5_phrase_dedup,
         "op6_license_scan": op6_license_scan,
         "op9_chat_format": op9_chat_format,
     }
