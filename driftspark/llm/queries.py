@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import bpe, chat_format, decontaminate, license_scan, phrase_dedup
+from driftspark.llm import bpe, chat_format, decontaminate, jaccard_join, license_scan, phrase_dedup
 from driftspark.llm._common import read
 
 
@@ -70,6 +70,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_phrase_dedup": op5_phrase_dedup,
         "op6_license_scan": op6_license_scan,
         "op9_chat_format": op9_chat_format,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
