@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import cut, map_batches, parts_for, pieces, text_bytes, total_bytes, words
+from driftspark.llm._common import cut, lean, map_batches, parts_for, pieces, text_bytes, total_bytes, words
 
 WINDOW = 50
 ANCHOR = 10
@@ -171,7 +171,7 @@ def _windows(documents: DataFrame, n_shards: int, window: int, anchor: int) -> D
         if kept:
             yield flush(kept, ids, keys)
 
-    return documents.select("doc_id", "key", "text").mapInArrow(run, PACKED)
+    return documents.select("doc_id", "key", "text").mapInArrow(lean(run), PACKED)
 
 
 def recurring(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -216,7 +216,7 @@ def recurring(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             names=["doc_id", "key", "start", "n", "source"],
         )
 
-    return packed.groupBy("shard").applyInArrow(confirm, "doc_id long, key long, start int, n int, source long")
+    return packed.groupBy("shard").applyInArrow(lean(confirm), "doc_id long, key long, start int, n int, source long")
 
 
 def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def _with_passages(documents: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, text, n_words, removed (flat [start, end) pairs of word positions) for every row of documents."""
-    return _with_passages(documents, window, anchor).mapInArrow(lambda batches: _locate(batches, window), SCHEMA)
+    return _with_passages(documents, window, anchor).mapInArrow(lean(lambda batches: _locate(batches, window)), SCHEMA)
 
 
 def digest_documents(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -309,7 +309,7 @@ def digest_documents(documents: DataFrame, window: int = WINDOW, anchor: int = A
             )
 
     return _with_passages(documents, window, anchor).mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
 
 

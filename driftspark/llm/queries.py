@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import bpe, chat_format, decontaminate, jaccard_join, license_scan, phrase_dedup
+from driftspark.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    jaccard_join,
+    kd_search,
+    language_id,
+    license_scan,
+    lm_score,
+    phrase_dedup,
+)
 from driftspark.llm._common import read
 
 
@@ -18,10 +28,18 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = decontaminate.hit_words()
@@ -43,6 +61,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     own = spark.range(1).select(
@@ -76,10 +98,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_bpe": op2_bpe,
+        "op3_kd_search": op3_kd_search,
         "op4_decontaminate": op4_decontaminate,
         "op5_phrase_dedup": op5_phrase_dedup,
         "op6_license_scan": op6_license_scan,
+        "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
         "op10_jaccard_join": op10_jaccard_join,
     }
