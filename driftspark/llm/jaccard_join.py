@@ -6,16 +6,20 @@ into bands. The scheme of a band hashes tokens into m segments; a set takes part
 larger bands that hold possible partners, with H = the most tokens by which it can differ from a partner there. It
 uses the first K = H + 1 + c segments of the scheme. Of the smaller K of two partners, at least c + 1 segments are equal.
 
-*Allocation.* An empty segment costs most (it would match nearly everything), so it gets nothing. A set with at most c
-empty segments indexes its other segments as they are, and one of the equal ones is among them. A set with more empty
-ones also indexes the one-deletion neighbours of segments of two or more tokens (these count double), which makes up
-for what the empty ones lose; if even that is too little, it indexes its empty segments too. c is chosen for each band
-by expected cost: one entry more for every set, against neighbourhoods for the sets that have more than c empty ones.
-
-*Buckets.* Sets whose entries are equal meet in a bucket. A bucket sends star pairs (its smallest document, another)
-for exact verification. Only where members of a bucket are not yet connected by verified links, the pairs between its
-parts are verified as well. So every link between different texts is found or follows from verified ones, and a large
-group of copies costs a number of pairs in proportion to its size. Equal sets are linked by a 128-bit digest first.
+*Allocation.* An empty segment would match nearly everything, and one of a single token whatever has that token: such
+segments cost most and get nothing. A set with at most c of them indexes its other segments as they are, and one of the
+equal ones is among them. A set with more also indexes the one-deletion neighbours of larger segments (these count
+double), which makes up for what the costly ones lose; if even that is too little, it indexes those too. c is chosen for
+each band by expected cost: one entry more for every set, against neighbourhoods for sets with over c costly segments.
+
+*Buckets.* Sets whose entries are equal meet in a bucket, which sends star pairs (its smallest document, another). Every
+set has an odd sketch: bits that each token flips. Sketches of two sets differ in at most as many bits as the sets in
+tokens, so a pair whose sketches differ in too many bits is settled without its texts. The other star pairs are verified
+exactly on whole texts, each document's most frequent pair first, then those that still join something new. All members
+of a bucket meet in the group of its smallest document. Where a group is not connected by then, its members outside its
+largest part are compared with all of it by sketch, in pieces of bounded size, and what is left is verified. So every
+link between different texts is found or follows from verified ones, and a large group of copies costs pairs in
+proportion to its size. Equal sets are linked by a 128-bit digest first.
 
 Defined results: no words: an empty set, linked with nothing; fewer words than n: the whole sequence is one shingle;
 rows that share a doc_id are one node; a null doc_id is linked with nothing and has a null component; further columns
@@ -26,14 +30,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp
+from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import cut, lower_words, parts_for, text_bytes, total_bytes
+from driftspark.llm._common import cut, lean, lower_words, parts_for, text_bytes, total_bytes
 from driftspark.llm.components import components
 from driftspark.llm.phrase_dedup import WordHashes, gram_hashes, mix
 
@@ -44,9 +48,15 @@ SHARD_BYTES = 8 << 20
 BUFFER = 1 << 19
 #: Partners that are verified with one copy of their representative.
 SALT = 256
+#: Bits (as a power of two) of the map of wanted documents: 8 MB, whatever the data.
+BITMAP = 26
+#: Segments of fewer tokens are costly: they match too many others.
+LEAST = 2
+#: Members and outliers of a group of star pairs that are compared in one piece of work.
+MEMBERS, OUTLIERS = 4096, 2048
 _MULT = np.uint64(0xD6E8FEB86659FD93)
-PACKED = "shard int, kind int, entries binary, docs binary, ids binary, sizes binary, low binary, high binary"
-FOUND = "kind int, a long, b long, n long, low long, high long"
+PACKED = "shard int, kind int, entries binary, docs binary, ids binary, sizes binary, low binary, high binary, sketches binary"
+FOUND = "kind int, a long, b long, n long, low long, high long, sketch binary"
 
 
 @lru_cache(maxsize=None)
@@ -67,12 +77,12 @@ def bound(r: int, s: int, per_cent: int) -> int:
 
 @lru_cache(maxsize=None)
 def spare(lo: int, hi: int, per_cent: int) -> int:
-    """c of a band: minimises entries for every set plus expected neighbourhoods of sets with over c empty segments."""
+    """c of a band: minimises entries for every set plus expected neighbourhoods of sets with over c costly segments."""
     size, h = (lo + hi) / 2, bound(hi, hi, per_cent)
     best = None
     for c in range(0, h + 20):
         m = h + 1 + c
-        mean = m * exp(-size / m)
+        mean = m * exp(-size / m) * sum((size / m) ** k / factorial(k) for k in range(LEAST))
         term = over = exp(-mean)
         for k in range(1, c + 1):
             term *= mean / k
@@ -127,19 +137,18 @@ def entries(tokens: np.ndarray, sizes: np.ndarray, per_cent: int) -> tuple[np.nd
         owner = np.repeat(np.arange(len(k)), k)
         place = np.arange(total) - offset[owner]
         tag = mix((scheme[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))
-        empty = np.bincount(owner[count == 0], minlength=len(k))
-        lacking = empty > c
-        emit = count > 0
+        lacking = np.bincount(owner[count < LEAST], minlength=len(k)) > c
+        emit = count >= LEAST
         for i in np.flatnonzero(lacking & (k > 0)).tolist():
-            # v - 1 of each segment: 1 if neighbours count, 0 for a single token, -1 if empty
+            # v - 1 of each segment: 1 with its neighbours, 0 as it is, -1 if costly
             part = slice(offset[i], offset[i + 1])
-            v = np.sign(count[part] - 1)
+            v = np.sign(count[part] - LEAST)
             least = 1 if k[i] < 16 else int(0.75 * k[i])
             if (np.cumsum(v)[least - 1 :] + c[i] < 0).any():
                 emit[part] = True
         out_h.append(mix(sums[emit] + tag[emit]))
         out_d.append(owner[emit])
-        near = lacking[d] & (count[at] >= 2)
+        near = lacking[d] & (count[at] > LEAST)
         out_h.append(mix(sums[at[near]] - t[near] + tag[at[near]]))
         out_d.append(d[near])
     if not out_h:
@@ -147,6 +156,32 @@ def entries(tokens: np.ndarray, sizes: np.ndarray, per_cent: int) -> tuple[np.nd
     return np.concatenate(out_h), np.concatenate(out_d)
 
 
+def sketch_bytes(size: int) -> int:
+    """A power of two that gives two to four bits a token."""
+    return 1 << max(3, (2 * size - 1).bit_length() - 3) if size else 8
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    bits = 8 * sketch_bytes(len(tokens))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows) in the form of shorter ones: bits of equal lower digits are added up."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def differing(r: bytes, s: bytes) -> int:
+    """At least so many tokens differ between two sets with these sketches."""
+    x, y = (np.frombuffer(v, np.uint8)[None] for v in (r, s))
+    w = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum())
+
+
 def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int) -> DataFrame:
     """Packed index entries by shard (kind 0) and a row of sizes and digests for the documents of a buffer (kind 1)."""
 
@@ -155,7 +190,7 @@ def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int) ->
         ids = np.array(ids, np.int64)
         low = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64)
         high = np.array([np.add.reduce(mix(s + _MULT)) if len(s) else 0 for s in sets], np.uint64)
-        out = [(int(low[0] % np.uint64(n_shards)), 1, b"", b"", ids.tobytes(), sizes.tobytes(), low.tobytes(), high.tobytes())]
+        out = [(int(low[0] % np.uint64(n_shards)), 1, b"", b"", ids.tobytes(), sizes.tobytes(), low.tobytes(), high.tobytes(), b"".join(map(sketch, sets)))]
         order = np.lexsort((ids, high, low, sizes))
         new = np.ones(len(sets), bool)
         x = order
@@ -172,8 +207,8 @@ def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int) ->
                     mine, at = np.unique(d[i:j], return_inverse=True)
                     back = np.argsort(at, kind="stable")
                     steps = np.diff(at[back], prepend=0).astype("<u2")
-                    out.append((int(shard[i]), 0, h[i:j][back].tobytes(), steps.tobytes(), ids[rows[mine]].tobytes(), b"", b"", b""))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+                    out.append((int(shard[i]), 0, h[i:j][back].tobytes(), steps.tobytes(), ids[rows[mine]].tobytes(), b"", b"", b"", b""))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         return pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)],
             names=PACKED.replace(",", "").split()[::2],
@@ -194,18 +229,25 @@ def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int) ->
         if sets:
             yield flush(sets, ids)
 
-    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, PACKED)
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(lean(run), PACKED)
+
 
+def _starts(h: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (kind 1: a, n, low, high) and members of buckets of two or more documents (kind 0: a = smallest
-    document, b = member, n = bucket), one bucket for each distinct list of members."""
+
+def _stars(batches: Iterator[pa.RecordBatch], n_subs: int) -> Iterator[pa.RecordBatch]:
+    """Documents of a shard (kind 1: a, n, low, high, sketch) and its star pairs (smallest of a bucket, other member),
+    packed (kind 0: a = sub-shard, n = number of pairs)."""
     hashes, docs = [], []
-    for b in batches:
-        for r in b.to_pylist():
+    for batch in batches:
+        for r in batch.to_pylist():
             ids = np.frombuffer(r["ids"], np.int64)
             if r["kind"]:
-                yield _found(1, ids, ids, *(np.frombuffer(r[x], np.int64) for x in ("sizes", "low", "high")))
+                sizes = np.frombuffer(r["sizes"], np.int64)
+                ends = np.cumsum([sketch_bytes(n) for n in sizes.tolist()])
+                cut_up = [r["sketches"][i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield _found(1, ids, ids, sizes, *(np.frombuffer(r[x], np.int64) for x in ("low", "high")), cut_up)
             else:
                 hashes.append(np.frombuffer(r["entries"], np.uint64))
                 docs.append(ids[np.cumsum(np.frombuffer(r["docs"], "<u2").astype(np.int64))])
@@ -214,50 +256,133 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, d = np.concatenate(hashes), np.concatenate(docs)
     order = np.lexsort((d, h))
     h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    keep = new.copy()
-    keep[1:] |= d[1:] != d[:-1]
-    h, d = h[keep], d[keep]
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    size = np.diff(np.append(start, len(h)))
-    many = np.repeat(size > 1, size)
-    h, d = h[many], d[many]
-    if not len(h):
-        return
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    size = np.diff(np.append(start, len(h)))
-    lists = np.add.reduceat(mix(d.astype(np.uint64) + _MULT), start)
-    _, first = np.unique(lists, return_index=True)
-    chosen = np.zeros(len(start), bool)
-    chosen[first] = True
-    rows = np.repeat(chosen, size)
-    least = np.repeat(d[start], size)
-    rows &= least != d
-    zero = np.zeros(int(rows.sum()), np.int64)
-    yield _found(0, least[rows], d[rows], h[rows].view(np.int64), zero, zero)
-
-
-def _found(kind, *columns) -> pa.RecordBatch:
+    start = _starts(h)
+    least = np.repeat(d[start], np.diff(np.append(start, len(h))))
+    pair = least != d
+    a, b = least[pair], d[pair]
+    # packed by sub-shards of a, which count the pairs of all shards
+    sub = (mix(a.view(np.uint64)) % np.uint64(n_subs)).astype(np.int64)
+    order = np.argsort(sub, kind="stable")
+    a, b, sub = a[order], b[order], sub[order]
+    cuts = [0, *(np.flatnonzero(np.diff(sub)) + 1).tolist(), len(sub)]
+    spans = [(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j]
+    if spans:
+        first = np.array([i for i, _ in spans])
+        zero = np.zeros(len(spans), np.int64)
+        packed = [a[i:j].tobytes() + b[i:j].tobytes() for i, j in spans]
+        yield _found(0, sub[first], zero, np.array([j - i for i, j in spans]), zero, zero, packed)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct star pairs (a, b) of a sub-shard, with the number of their buckets."""
+    both = [np.frombuffer(x, np.int64).reshape(2, -1) for t in batches for x in t.column("sketch").to_pylist()]
+    a, b = np.concatenate(both, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(np.append(at, len(a))))], names=["a", "b", "n"]
+    )
+
+
+def _found(kind, a, b, n, low, high, sketches) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)],
-        names=["kind", "a", "b", "n", "low", "high"],
+        [pa.array(np.full(len(a), kind, np.int32)), *map(pa.array, (a, b, n, low, high)), pa.array(sketches, pa.binary())],
+        names=["kind", "a", "b", "n", "low", "high", "sketch"],
     )
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches leave room for a link; a doc_id with several sets is never ruled out."""
+    one = sets.groupBy("doc_id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("rows"))
+    side = lambda c: one.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sketch", "rows")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    single = (F.col("rows_a") == 1) & (F.col("rows_b") == 1)
+    both = both.where(~single | (100 * small >= per_cent * large))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = [
+                not r["single"] or differing(r["sketch_a"], r["sketch_b"]) <= bound(r["n_a"], r["n_b"], per_cent)
+                for r in x.to_pylist()
+            ]
+            yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b", single.alias("single"))
+    return both.mapInArrow(lean(run), "a long, b long")
+
+
+def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Plausible pairs between the parts of each group of star pairs that is not connected."""
+    member = star.select("a", F.col("b").alias("doc_id")).union(star.select("a", F.col("a").alias("doc_id")).distinct())
+    named = member.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = cut(named.select("a", "doc_id", F.coalesce("component", "doc_id").alias("part")), "members")
+    sizes = named.groupBy("a", "part").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("a").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("largest")
+    )
+    whole = whole.where("n > most").select(
+        "a",
+        "largest",
+        F.ceil(F.col("n") / MEMBERS).cast("int").alias("member_parts"),
+        F.ceil((F.col("n") - F.col("most")) / OUTLIERS).cast("int").alias("outlier_parts"),
+    )
+    mine = named.join(whole, "a")
+    out = F.col("part") != F.col("largest")
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    members = mine.select("a", "doc_id", "part", F.lit(False).alias("out"), place("member_parts").alias("x"), F.explode(spread("outlier_parts")).alias("y"))
+    outliers = mine.where(out).select("a", "doc_id", "part", F.lit(True).alias("out"), F.explode(spread("member_parts")).alias("x"), place("outlier_parts").alias("y"))
+    rows = members.union(outliers).join(sets.select("doc_id", "n", "sketch"), "doc_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        ids, part, n, out = (t.column(c).to_numpy() for c in ("doc_id", "part", "n", "out"))
+        raw = t.column("sketch").to_pylist()
+        width = np.array([len(r) for r in raw])
+        found = []
+        for w in np.unique(width[out]).tolist():
+            o = np.flatnonzero(out & (width == w))
+            own = np.frombuffer(b"".join(raw[i] for i in o.tolist()), np.uint8).reshape(len(o), w)
+            for v in (w // 2, w, w * 2):
+                m = np.flatnonzero(~out & (width == v))
+                if not len(m):
+                    continue
+                theirs = np.frombuffer(b"".join(raw[i] for i in m.tolist()), np.uint8).reshape(len(m), v)
+                a, b = folded(own, min(v, w)), folded(theirs, min(v, w))
+                if min(v, w) >= 8:
+                    a, b = (np.ascontiguousarray(x).view(np.uint64) for x in (a, b))
+                by_size = np.argsort(n[m], kind="stable")
+                m, b = m[by_size], b[by_size]
+                low = np.searchsorted(n[m], -(-per_cent * n[o] // 100), side="left")
+                high = np.searchsorted(n[m], n[o] * 100 // per_cent, side="right")
+                for k, i in enumerate(o.tolist()):
+                    near = slice(low[k], high[k])
+                    most = (n[i] + n[m[near]]) * (100 - per_cent) // (100 + per_cent)
+                    ok = np.bitwise_count(b[near] ^ a[k]).sum(axis=1) <= most
+                    ok &= part[m[near]] != part[i]
+                    for j in ids[m[near]][ok].tolist():
+                        found.append((min(int(ids[i]), j), max(int(ids[i]), j)))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.select("a", "x", "y", "doc_id", "part", "n", "sketch", "out").groupBy("a", "x", "y").applyInArrow(
+        lean(compare), "a long, b long"
+    ).distinct()
+
+
 def verified(documents: DataFrame, pairs: DataFrame, shingle: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets are similar enough, checked on whole texts.
 
     Texts travel to their pair's a; a document with many partners is copied for every ``SALT`` of them."""
-    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salts = F.ceil(F.col("n") / SALT).cast("int")
     partner = pairs.join(counts, "a").select(
         "a", F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt")
     )
     own = counts.select("a", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = texts.join(partner.union(own), "doc_id").select("a", "salt", "doc_id", "text")
+    asked = documents.join(partner.union(own), "doc_id").select("a", "salt", "doc_id", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, mine, others, a = WordHashes(), [], [], 0
@@ -272,7 +397,35 @@ def verified(documents: DataFrame, pairs: DataFrame, shingle: int, per_cent: int
             [pa.array([a] * len(good), pa.int64()), pa.array(good, pa.int64())], names=["a", "b"]
         )
 
-    return cut(asked.groupBy("a", "salt").applyInArrow(check, "a long, b long"), "verified")
+    return cut(asked.groupBy("a", "salt").applyInArrow(lean(check), "a long, b long"), "verified")
+
+
+def involved(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is in ids, as a table. A bitmap of bounded size keeps most others out of the shuffle."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP))
+    bits = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k"))
+    rows = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    held = {r["k"]: np.frombuffer(r["bits"], np.uint8) for r in rows}
+    wide = len(next(iter(held.values()))) if held else 1
+    table = np.zeros((max(held, default=0) + 1, wide), np.uint8)
+    for k, b in held.items():
+        table[k] = b
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = shared.value.ravel()
+        for b in batches:
+            at = b.column("k").to_numpy() * (8 * shared.value.shape[1]) + b.column("bit").to_numpy()
+            byte = np.minimum(at >> 3, len(flat) - 1)
+            out = b.filter(pa.array((at >> 3 == byte) & (flat[byte] >> (at & 7).astype(np.uint8) & 1 > 0)))
+            yield out.select(["doc_id", "text"])
+
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP))
+    asked = documents.where("doc_id is not null").select(
+        "doc_id", "text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("bit")
+    )
+    kept = asked.mapInArrow(lean(keep), "doc_id long, text string")
+    return cut(kept.join(ids, "doc_id", "left_semi"), "involved")
 
 
 def similar(r: np.ndarray, s: np.ndarray, per_cent: int) -> bool:
@@ -283,33 +436,39 @@ def similar(r: np.ndarray, s: np.ndarray, per_cent: int) -> bool:
     return 100 * both >= per_cent * (small + large - both)
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that no chain of links connects yet."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_shards = parts_for(total_bytes(table), SHARD_BYTES)
-    found = cut(
-        _index(table, n_shards, shingle, per_cent).groupBy("shard").applyInArrow(_buckets, FOUND), "found"
-    )
-    sets = found.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "low", "high")
-    star = found.where("kind = 0").select("a", "b", F.col("n").alias("bucket"))
+    shards = _index(table, n_shards, shingle, per_cent).groupBy("shard")
+    found = cut(shards.applyInArrow(lean(lambda batches: _stars(batches, n_shards)), FOUND), "found")
+    sets = found.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "low", "high", "sketch")
     least = sets.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("b"))
     equal = sets.join(least, ["n", "low", "high"]).where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
-    links = verified(table, star, shingle, per_cent).union(equal)
+    packed = found.where("kind = 0").select(F.col("a").alias("sub"), "sketch").groupBy("sub")
+    star = cut(packed.applyInArrow(lean(_count), "a long, b long, n long"), "stars")
+    good = cut(_plausible(star, sets, per_cent).join(star, ["a", "b"]), "good")
+    texts = involved(table, good.select(F.col("a").alias("doc_id")).union(good.select("b")).distinct())
+    # each document and the representative with which it shares most buckets, then the other star pairs
+    best = good.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    links = cut(equal.union(verified(texts, best, shingle, per_cent)), "links")
     parts = components(links)
-    parts = cut(parts, "parts")
-    # buckets whose members are not yet connected: verify the pairs between their parts
-    members = star.union(star.select("a", F.col("a").alias("b"), "bucket").distinct())
-    named = members.join(parts, members["b"] == parts["node"], "left").select(
-        "bucket", "a", F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("part")
-    )
-    open_ = named.groupBy("bucket", "a").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-    open_ = cut(named.join(open_, ["bucket", "a"]).select("bucket", "a", "doc_id", "part"), "open")
-    left, right = open_.alias("l"), open_.alias("r")
-    same = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.a") == F.col("r.a"))
-    between = left.join(right, same & (F.col("l.part") != F.col("r.part")) & (F.col("l.doc_id") < F.col("r.doc_id")))
-    more = between.where("l.doc_id != l.a").select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-    if not more.isEmpty():
-        parts = components(links.union(verified(table, more, shingle, per_cent)))
+    rest = cut(_apart(good.select("a", "b"), parts).join(best, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = cut(links.union(verified(texts, rest, shingle, per_cent)), "links")
+        parts = components(links)
+    tried = best.union(rest)
+    across = cut(_across(star, parts, sets, per_cent).join(tried, ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        texts = involved(table, across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct())
+        parts = components(links.union(verified(texts, across, shingle, per_cent)))
     rows = table.select("doc_id").join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select(

@@ -96,3 +96,13 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {x: r for x, r in root.items()}
+
+
+def test_sketches_never_overstate_a_difference():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rnd.integers(1, 300))
+        r = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        s = np.unique(np.concatenate([r[rnd.integers(0, n) :], rnd.integers(0, 2**64, n // 5 + 1, dtype=np.uint64)]))
+        assert jj.differing(jj.sketch(r), jj.sketch(s)) <= len(np.setxor1d(r, s))
+        assert len(jj.sketch(r)) == jj.sketch_bytes(len(r))
