@@ -38,7 +38,7 @@ from driftspark.llm.phrase_dedup import mix
 
 ORDER = 2
 BLOCK_ROWS = 2048
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 #: Steps of rounding log2 probabilities in the cells of held-out counts.
 STEP = 0.5
 EM_STEPS = 60
@@ -71,16 +71,16 @@ class Block:
         for i, t in enumerate(texts):
             split = lower_words(t) if t else []
             lengths[i] = len(split) + 2
-            parts.append(np.fromiter((vocab.setdefault(w, len(vocab) + 2) for w in split), np.int64, len(split)))
+            parts.append(np.fromiter((vocab.setdefault(w, len(vocab) + 2) for w in split), np.int32, len(split)))
         hashes = np.empty(len(vocab) + 2, np.uint64)
         hashes[0], hashes[1] = _START, _END
         hashes[2:] = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab))
         ends = np.cumsum(lengths)
-        token = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        token = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
         for p, e, n in zip(parts, ends.tolist(), lengths.tolist(), strict=True):
             token[e - n + 1 : e - 1] = p
         token[ends - 1] = 1
-        self.doc = np.repeat(np.arange(len(texts)), lengths)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
         self.starts = ends - lengths
         self.is_token = token != 0
         self.is_first = np.zeros(len(token), bool)
@@ -88,21 +88,22 @@ class Block:
         self.keys: list[np.ndarray] = []
         self.gram: list[np.ndarray] = []
         at = np.flatnonzero(self.is_token)
-        context = np.zeros(len(token), np.int64)  # code of the context of the grams of this order
+        context = np.zeros(len(token), np.int32)  # code of the context of the grams of this order
         context_hash = np.array([_START])
         for k in range(order):
-            pair = context[at] * len(hashes) + token[at]
+            pair = context[at].astype(np.int64) * len(hashes) + token[at]
             distinct, inverse = np.unique(pair, return_inverse=True)
             h = mix(context_hash[distinct // len(hashes)] * _MULT + hashes[distinct % len(hashes)] + np.uint64(k))
             rank = np.lexsort((h, h % np.uint64(n_shards)))
-            place = np.empty(len(h), np.int64)
+            place = np.empty(len(h), np.int32)
             place[rank] = np.arange(len(h))
-            gram = np.full(len(token), -1, np.int64)
+            gram = np.full(len(token), -1, np.int32)
             gram[at] = place[inverse]
+            del pair, inverse, distinct
             self.keys.append(h[rank])
             self.gram.append(gram)
             # the next order's contexts: this order's grams one position earlier, or the start of the document
-            context = np.zeros(len(token), np.int64)
+            context = np.zeros(len(token), np.int32)
             context[1:] = gram[:-1] + 1
             context_hash = np.concatenate(([_START], h[rank]))
         self.n_shards = n_shards
@@ -211,7 +212,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, m, _, _ in rows:
             mine = inverse[at : at + m]
             at += m
-            out.append((block, level, shard, m, total[mine].astype("<u8").tobytes(), deleted[mine].astype("<u8").tobytes(), None, None, None))
+            out.append((block, level, shard, m, total[mine].astype("<f8").tobytes(), deleted[mine].astype("<f8").tobytes(), None, None, None))
         if level == 0:
             out.append((None, None, shard, 0, None, None, int(total.sum()), int((total > 0).sum()), int(deleted.sum())))
         for some in _some(iter(out)):
@@ -228,8 +229,8 @@ def _counted(block: Block, answers: list[dict]) -> tuple[list[np.ndarray], list[
             r = found.get((level, shard))
             if r is None or r["n"] != j - i:
                 raise RuntimeError("documents came in another order than before; write them as a table first")
-            total[level][i:j] = np.frombuffer(r["total"], "<u8")
-            deleted[level][i:j] = np.frombuffer(r["deleted"], "<u8")
+            total[level][i:j] = np.frombuffer(r["total"])
+            deleted[level][i:j] = np.frombuffer(r["deleted"])
     return total, deleted
 
 
@@ -338,8 +339,11 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
             return pa.Table.from_batches([_batch([], SCORES)])
         block, total, _ = open_block(left, right)
         p, context = _estimates(block, total, n_tokens, n_texts)
-        w = mixture[bucket(context)]
-        logs = np.log10((p * w[:, :-1]).sum(axis=1) + w[:, -1] * uniform)
+        b = bucket(context)
+        mixed = mixture[b, order] * uniform
+        for k in range(order):
+            mixed += p[:, k] * mixture[b, k]
+        logs = np.log10(mixed)
         c = total[0][block.gram[0][block.is_token]]
         base = np.log10((c + 1) / (n_tokens + n_types + 1))
         doc, m = block.doc[block.is_token], left.num_rows
