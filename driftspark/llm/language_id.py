@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from driftspark.llm._common import crc_mod, lean
 
 UND = "und"
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 250, 1_500_000, 64
+SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 200, 600_000, 64
 LEXICON, FEATURES = 2000, 200_000
 CHUNK = 80
 ROUNDS, RATE, DECAY = 40, 0.4, 1e-5
