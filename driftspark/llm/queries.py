@@ -17,6 +17,7 @@ from driftspark.llm import (
     license_scan,
     lm_score,
     phrase_dedup,
+    suffix_dedup,
 )
 from driftspark.llm._common import read
 
@@ -61,6 +62,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_phrase_dedup": op5_phrase_dedup,
         "op6_license_scan": op6_license_scan,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
         "op10_jaccard_join": op10_jaccard_join,
