@@ -15,52 +15,52 @@ BINS = 1024
 
 
 def thresholds(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> DataFrame:
-    """One row per group and distinct score: p, n (positives and negatives at it), tp, k (positives, rows at or above
-    it), pos, rows (of the group)."""
+    """One row per group and distinct score: _p, _n (positives and negatives at it), _tp, _k (positives, rows at
+    or above it), _pos, _rows (of the group)."""
     cells = df.groupBy(*by, F.col(score).alias("score")).agg(
-        F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("c")
+        F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_c")
     )
     bin_ = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * BINS)
-    cells = cells.withColumn("bin", bin_)
-    totals = cells.groupBy(*by, "bin").agg(F.sum("p").alias("bp"), F.sum("c").alias("bc"))
-    above = Window.partitionBy(*by).orderBy(F.desc("bin"))
+    cells = cells.withColumn("_bin", bin_)
+    totals = cells.groupBy(*by, "_bin").agg(F.sum("_p").alias("_bp"), F.sum("_c").alias("_bc"))
+    above = Window.partitionBy(*by).orderBy(F.desc("_bin"))
     earlier = above.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
     totals = totals.select(
         *by,
-        "bin",
-        F.coalesce(F.sum("bp").over(earlier), F.lit(0)).alias("tp0"),
-        F.coalesce(F.sum("bc").over(earlier), F.lit(0)).alias("k0"),
-        F.sum("bp").over(group).alias("pos"),
-        F.sum("bc").over(group).alias("rows"),
+        "_bin",
+        F.coalesce(F.sum("_bp").over(earlier), F.lit(0)).alias("_tp0"),
+        F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_k0"),
+        F.sum("_bp").over(group).alias("_pos"),
+        F.sum("_bc").over(group).alias("_rows"),
     )
-    inside = Window.partitionBy(*by, "bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = cells.withColumn("tp_in", F.sum("p").over(inside)).withColumn("k_in", F.sum("c").over(inside))
-    on = [run[c].eqNullSafe(totals[c]) for c in by] + [run["bin"] == totals["bin"]]
+    inside = Window.partitionBy(*by, "_bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    run = cells.withColumn("_tp_in", F.sum("_p").over(inside)).withColumn("_k_in", F.sum("_c").over(inside))
+    on = [run[c].eqNullSafe(totals[c]) for c in by] + [run["_bin"] == totals["_bin"]]
     return run.join(F.broadcast(totals) if not by else totals, on).select(
         *(run[c] for c in by),
         "score",
-        "p",
-        (F.col("c") - F.col("p")).alias("n"),
-        (F.col("tp0") + F.col("tp_in")).alias("tp"),
-        (F.col("k0") + F.col("k_in")).alias("k"),
-        "pos",
-        "rows",
+        "_p",
+        (F.col("_c") - F.col("_p")).alias("_n"),
+        (F.col("_tp0") + F.col("_tp_in")).alias("_tp"),
+        (F.col("_k0") + F.col("_k_in")).alias("_k"),
+        "_pos",
+        "_rows",
     )
 
 
 def _ap() -> Column:
-    return F.sum(F.col("p") / F.nullif(F.col("pos"), F.lit(0)) * F.col("tp") / F.col("k"))
+    return F.sum(F.col("_p") / F.nullif(F.col("_pos"), F.lit(0)) * F.col("_tp") / F.col("_k"))
 
 
 def ranking(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> DataFrame:
     """n_samples, n_positive, pr_auc (average precision), roc_auc (ties count half); null where only one class occurs."""
     t = thresholds(df, *by, score=score, y=y)
-    pos, neg = F.max("pos"), F.max("rows") - F.max("pos")
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / 2.0))
+    pos, neg = F.max("_pos"), F.max("_rows") - F.max("_pos")
+    area = F.sum(F.col("_n") * (F.col("_tp") - F.col("_p") + F.col("_p") / 2.0))
     both = (pos > 0) & (neg > 0)
     return t.groupBy(*by).agg(
-        F.max("rows").alias("n_samples"),
+        F.max("_rows").alias("n_samples"),
         pos.alias("n_positive"),
         F.when(both, _ap()).alias("pr_auc"),
         F.when(both, area / F.nullif(pos * neg, F.lit(0))).alias("roc_auc"),
@@ -70,23 +70,23 @@ def ranking(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> Dat
 def safe_ap(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> DataFrame:
     """ap, n: null with fewer than two rows or classes."""
     t = thresholds(df, *by, score=score, y=y)
-    both = (F.max("pos") > 0) & (F.max("rows") > F.max("pos"))
-    return t.groupBy(*by).agg(F.when(both, _ap()).alias("ap"), F.max("rows").alias("n"))
+    both = (F.max("_pos") > 0) & (F.max("_rows") > F.max("_pos"))
+    return t.groupBy(*by).agg(F.when(both, _ap()).alias("ap"), F.max("_rows").alias("n"))
 
 
 def slice_ap(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> DataFrame:
     """ap, n: 0 without a positive, rounded to 6 digits."""
     t = thresholds(df, *by, score=score, y=y)
-    return t.groupBy(*by).agg(F.round(F.coalesce(_ap(), F.lit(0.0)), 6).alias("ap"), F.max("rows").alias("n"))
+    return t.groupBy(*by).agg(F.round(F.coalesce(_ap(), F.lit(0.0)), 6).alias("ap"), F.max("_rows").alias("n"))
 
 
 def trapezoid_ap(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> DataFrame:
     """Area under the precision-recall polygon from (recall 0, precision 1); 0 where only one class occurs; 5 digits."""
     t = thresholds(df, *by, score=score, y=y)
-    before = F.when(F.col("k") - F.col("p") - F.col("n") > 0, (F.col("tp") - F.col("p")) / F.nullif(F.col("k") - F.col("p") - F.col("n"), F.lit(0))).otherwise(F.lit(1.0))
-    step = F.col("p") / F.nullif(F.col("pos"), F.lit(0)) * (F.col("tp") / F.col("k") + before) / 2.0
-    both = (F.max("pos") > 0) & (F.max("rows") > F.max("pos"))
-    return t.groupBy(*by).agg(F.round(F.when(both, F.sum(step)).otherwise(F.lit(0.0)), 5).alias("pr_auc"), F.max("rows").alias("n"))
+    before = F.when(F.col("_k") - F.col("_p") - F.col("_n") > 0, (F.col("_tp") - F.col("_p")) / F.nullif(F.col("_k") - F.col("_p") - F.col("_n"), F.lit(0))).otherwise(F.lit(1.0))
+    step = F.col("_p") / F.nullif(F.col("_pos"), F.lit(0)) * (F.col("_tp") / F.col("_k") + before) / 2.0
+    both = (F.max("_pos") > 0) & (F.max("_rows") > F.max("_pos"))
+    return t.groupBy(*by).agg(F.round(F.when(both, F.sum(step)).otherwise(F.lit(0.0)), 5).alias("pr_auc"), F.max("_rows").alias("n"))
 
 
 def decision(prob: str | Column = "y_prob", cut: float = 0.5) -> Column:

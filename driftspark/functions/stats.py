@@ -175,17 +175,17 @@ def two_way_anova(df: DataFrame, metric: str, a: str, b: str) -> DataFrame:
     """One row: sums of squares, degrees of freedom, F and partial eta squared of a, b, their interaction, and error."""
     kept = df.na.drop(subset=[metric])
     g = kept.groupingSets([[a, b], [a], [b], []], a, b).agg(
-        F.grouping_id().alias("g"), F.count(metric).alias("n"), F.avg(metric).alias("m"), F.sum(F.col(metric) * F.col(metric)).alias("q")
+        F.grouping_id().alias("_g"), F.count(metric).alias("n"), F.avg(metric).alias("m"), F.sum(F.col(metric) * F.col(metric)).alias("q")
     )
-    total = g.where("g = 3").select(F.col("n").alias("n"), F.col("m").alias("mean"), F.col("q").alias("sq"))
-    rows = g.where("g < 3").crossJoin(F.broadcast(total.select("mean")))
+    total = g.where("_g = 3").select(F.col("n").alias("n"), F.col("m").alias("mean"), F.col("q").alias("sq"))
+    rows = g.where("_g < 3").crossJoin(F.broadcast(total.select("mean")))
     between = F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)
     part = rows.agg(
-        F.sum(F.when(F.col("g") == 1, between)).alias("ss_a"),
-        F.sum(F.when(F.col("g") == 2, between)).alias("ss_b"),
-        F.sum(F.when(F.col("g") == 0, between)).alias("ss_cells"),
-        F.count_if(F.col("g") == 1).alias("ka"),
-        F.count_if(F.col("g") == 2).alias("kb"),
+        F.sum(F.when(F.col("_g") == 1, between)).alias("ss_a"),
+        F.sum(F.when(F.col("_g") == 2, between)).alias("ss_b"),
+        F.sum(F.when(F.col("_g") == 0, between)).alias("ss_cells"),
+        F.count_if(F.col("_g") == 1).alias("ka"),
+        F.count_if(F.col("_g") == 2).alias("kb"),
     )
     one = part.crossJoin(total).withColumn("ss_total", F.col("sq") - F.col("n") * F.col("mean") * F.col("mean"))
     one = one.withColumn("ss_ab", F.greatest(F.col("ss_cells") - F.col("ss_a") - F.col("ss_b"), F.lit(0.0)))
