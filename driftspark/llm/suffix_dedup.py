@@ -36,11 +36,11 @@ from driftspark.llm.induced_sort import Sorter
 from driftspark.llm.phrase_dedup import LAST, gram_hashes, minimisers, mix
 
 LENGTH = 100
-ANCHOR = 24
-SHARD_BYTES = 16 << 20
+ANCHOR = 40
+SHARD_BYTES = 8 << 20
 #: Anchors that a map task holds before it sends them on, and bytes of contexts in one sorted text.
-BUFFER = 1 << 18
-SORT_BYTES = 8 << 20
+BUFFER = 1 << 17
+SORT_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ASK = "shard int, done boolean, anchors binary, contexts binary, docs binary, starts binary, ids binary, keys binary, sizes binary"
 RANGES = "kind int, doc_id long, key long, start int, stop int, anchor long, at int"
