@@ -38,11 +38,11 @@ from driftspark.llm._common import cut, lean, map_batches, parts_for, pieces, te
 WINDOW = 50
 ANCHOR = 10
 #: Bytes of text behind one shard of windows.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 LAST = np.int64(2**63 - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Windows that a map task holds before it sends them on.
-BUFFER = 1 << 18
+BUFFER = 1 << 17
 PACKED = "shard int, kind int, anchors binary, hashes binary, docs binary, starts binary, first binary, ids binary, keys binary"
 SCHEMA = "doc_id long, text string, n_words long, removed array<int>"
 
