@@ -15,7 +15,7 @@ from driftspark.llm import bpe, decontaminate, jaccard_join, language_id, phrase
 from driftspark.llm._common import cut, read
 
 #: A document is rejected only if no language is found or the words hardly agree on one.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 #: Not expressible in SQL: the first stage is a learned model and the last one a tokenizer.
 ORACLE_SQL: str | None = None
 
