@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import map_batches
+from driftspark.llm._common import lean
 
-#: Words a worker remembers; it forgets them all when there are more.
+#: Words a task remembers; it forgets them all when there are more.
 CACHE_WORDS = 400_000
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how a normalised text is split into words.
@@ -102,9 +102,12 @@ class Automaton:
             if not users[old] and old:
                 free.append(old)
         live, leads = np.unique(np.append(0, leads), return_inverse=True)
-        self.rows = [table[s].tobytes() for s in live.tolist()]
-        self.leads = leads[1:].tolist()
-        self.start = int(leads[0])
+        # states with equal arcs are one state
+        seen: dict[bytes, int] = {}
+        same = np.array([seen.setdefault(table[s].tobytes(), len(seen)) for s in live.tolist()])
+        self.rows = list(seen)
+        self.leads = same[leads[1:]].tolist()
+        self.start = int(same[leads[0]])
 
     def encode_word(self, symbols: str) -> list[int]:
         """Tokens of a pre-split word, given as byte symbols."""
@@ -169,43 +172,43 @@ class Coder:
         return " ".join(map(self.a.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _coder(shared) -> Coder:
-    """One coder per worker process and automaton, so that words stay known across tasks."""
-    key = id(shared.value)
-    if _COD.get("key") != key:
-        _COD.update(key=key, coder=Coder(shared.value))
-    return _COD["coder"]
+def _coded(documents: DataFrame, vocabulary: str, batch, schema: str) -> DataFrame:
+    """``batch(coder, record batch)`` over documents; a task has one coder, which goes with it."""
+    shared = documents.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
 
+    def run(batches):
+        coder = Coder(shared.value)
+        for b in batches:
+            if b.num_rows:
+                yield batch(coder, b)
+        # an idle worker need not hold the tables; the next task reads them from its local copy again
+        shared.__dict__.pop("_value", None)
 
-_COD: dict = {}
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, text, ids (little-endian unsigned 32-bit integers) and decoded text of every document.
 
     ``vocabulary`` is a path on the driver; the compiled tables, whose size the vocabulary bounds, are broadcast."""
-    shared = documents.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        coder = _coder(shared)
+    def batch(coder: Coder, b: pa.RecordBatch) -> pa.RecordBatch:
         ids = [coder.encode(t) if t else b"" for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("text"), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.string())],
             names=["doc_id", "text", "ids", "decoded"],
         )
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batch, SCHEMA)
+    return _coded(documents, vocabulary, batch, SCHEMA)
 
 
 def digest_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encode_documents``, but only digests leave the worker."""
-    shared = documents.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        coder = _coder(shared)
+    def batch(coder: Coder, b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for t in b.column("text").to_pylist():
-            ids = coder.encode(t) if t else b""
+        for t in b.column("text"):
+            ids = coder.encode(text) if (text := t.as_py()) else b""
             decoded = coder.decode(ids).encode()
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         n, a, d = zip(*rows, strict=True)
@@ -214,8 +217,4 @@ def digest_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_batches(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-        batch,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    return _coded(documents, vocabulary, batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

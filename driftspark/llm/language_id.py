@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import crc_mod, lean
+from driftspark.llm._common import crc_mod, lean, trim
 
 UND = "und"
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 200, 600_000, 64
+SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 150, 400_000, 64
 LEXICON, FEATURES = 2000, 200_000
 CHUNK = 80
 ROUNDS, RATE, DECAY = 40, 0.4, 1e-5
@@ -91,27 +91,34 @@ class Model:
         self.lexicon = frozenset(w for c in by_label for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if k > 1)
         vocab: dict[str, int] = {}
         flat = [vocab.setdefault(x, len(vocab)) for w, _ in words for x in w]
-        found = [features(w, self.lexicon) for w in vocab]
-        seen = Counter(f for fs in found for f in set(fs))
+        seen = Counter(f for w in vocab for f in set(features(w, self.lexicon)))
         kept = sorted((f for f, k in seen.items() if k > 1 or f[0] == "="), key=lambda f: (-seen[f], f))[:FEATURES]
+        del seen
         self.index = {f: i for i, f in enumerate(kept)}
         self.weights = np.zeros((len(kept) + 1, n))  # the last row is the bias
         self.step, self.start = np.zeros((n, n)), np.zeros(n)
         if n > 1 and flat:
-            self._learn(np.array(flat), words, found, rounds)
+            self._learn(np.array(flat), words, list(vocab), rounds)
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, n))
 
-    def _rows(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the known features of words, end to end, and their numbers."""
         get, bias = self.index.get, len(self.index)
-        rows = [[i for f in fs if (i := get(f)) is not None] + [bias] for fs in found]
-        return np.array([i for r in rows for i in r], np.int64), np.array([len(r) for r in rows], np.int64)
-
-    def scores(self, found: list[list[str]]) -> np.ndarray:
-        at, n = self._rows(found)
+        flat, count = [], np.zeros(len(words), np.int64)
+        for k, w in enumerate(words):
+            rows = [i for f in features(w, self.lexicon) if (i := get(f)) is not None]
+            flat += rows
+            flat.append(bias)
+            count[k] = len(rows) + 1
+        return np.array(flat, np.int32), count
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        at, n = self._rows(words)
         return np.add.reduceat(self.weights[at], np.cumsum(n) - n)
 
     def _learn(self, flat, words, found, rounds) -> None:
+        """``flat`` has, for each word of all texts, its place in ``found``, the distinct words."""
         n = len(self.labels)
         y = np.concatenate([np.full(len(w), label) for w, label in words])
         sizes = np.concatenate([[CHUNK] * (len(w) // CHUNK) + ([len(w) % CHUNK] if len(w) % CHUNK else []) for w, _ in words]).astype(np.int64)
@@ -151,7 +158,7 @@ class Model:
         if len(known) > CACHE_WORDS:
             known.clear()
         if new := list(set(words).difference(known)):
-            e = self.scores([features(w, self.lexicon) for w in new])
+            e = self.scores(new)
             first = len(known)
             while first + len(new) > len(self.table):
                 self.table = np.vstack([self.table, np.zeros_like(self.table)])
@@ -208,7 +215,9 @@ def train(documents: DataFrame, learn_from) -> Model:
     sample = labelled.where(near).withColumn("n", F.row_number().over(order)).withColumn("size", size)
     sample = sample.where((F.col("n") <= SAMPLE_DOCS) & ((F.col("size") <= SAMPLE_BYTES) | (F.col("n") == 1)))
     rows = sample.select("text", "lang").collect() if share else []
-    return Model(sorted((r["text"], r["lang"]) for r in rows))
+    model = Model(sorted((r["text"], r["lang"]) for r in rows))
+    trim()
+    return model
 
 
 def predict(documents: DataFrame, model: Model, *kept: str) -> DataFrame:
