@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Swapped column pairs.
 SWAPS = (("C1", "C2"), ("C3", "C4"), ("card1", "card2"))
@@ -39,7 +40,7 @@ class DriftConfig:
             raise ValueError("swap_pairs are needed")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _draws(seed: pd.Series, idx: pd.Series) -> pd.Series:
     """The first uniform number of a generator seeded per row."""
     import numpy as np
