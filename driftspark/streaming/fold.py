@@ -162,8 +162,6 @@ def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
         train, run = pdf[pdf["train"]], pdf[~pdf["train"]]
         for _, x, y, _ in _rows(train, features):
             model.learn_one(x, y)
-        detectors: dict = {}
-        epoch_end = None
         for tx, x, y, s in _rows(run, features):
             p = model.predict_one(x)
             label = int(p >= 0.5)
@@ -171,7 +169,6 @@ def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
             epoch_end = (tx - cfg.warmup + 1) % cfg.interval == 0
             swap = epoch_end and not cfg.no_swap
             out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, swap, "global" if epoch_end else None, None, None, n, frauds))
-        del detectors
         return _frame(out)
 
     return rows.groupBy("epoch").applyInPandas(fold, RECORDS)
@@ -196,7 +193,14 @@ def alarms(records: DataFrame, detector: str = "adwin", by: str | None = None) -
         pdf = pdf.sort_values("tx_index")
         d = make_detector(detector)
         hits = [t for t, e in zip(pdf["tx_index"], pdf["error"], strict=True) if d.update(float(e))]
-        return pd.DataFrame({"stream_key": [pdf["stream_key"].iloc[0]] * len(hits), "tx_index": hits, "detector_type": detector})
+        key, n = str(pdf["stream_key"].iloc[0]), len(hits)
+        return pd.DataFrame(
+            {
+                "stream_key": pd.Series([key] * n, dtype=object),
+                "tx_index": pd.Series(hits, dtype="int64"),
+                "detector_type": pd.Series([detector] * n, dtype=object),
+            }
+        )
 
     rows = records.select(key.alias("stream_key"), "tx_index", F.col("error").cast("double").alias("error"))
     return rows.groupBy("stream_key").applyInPandas(scan, "stream_key string, tx_index long, detector_type string")
