@@ -208,7 +208,7 @@ def alarms(records: DataFrame, detector: str = "adwin", by: str | None = None) -
 
 def prequential(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
     """Records of a run by the widest plan that its policy allows."""
-    if cfg.policy == "P1":
+    if cfg.policy == "P1" and not cfg.no_swap:  # without a swap, a model outlives its epoch
         return epochs(stream, features, cfg)
     if cfg.policy == "P3":
         return by_segment(stream, features, cfg)
