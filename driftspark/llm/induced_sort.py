@@ -6,7 +6,9 @@ by bucket in ascending order and S suffixes in descending order. All suffixes th
 queues of the buckets of their first bytes. A bucket's queue thus yields its suffixes in order, which is what a priority
 queue over (byte, rank) would do; queues beyond ``MEMORY`` rows go to a file. Everything works on whole buckets at once.
 
-Common-prefix values of neighbours come from hashes of prefixes, up to ``most`` bytes.
+Common-prefix values of neighbours come from hashes of prefixes; where ``most`` is given, a value is ``most`` if that many
+bytes or more are shared, else 0. A queue's file is the task's own scratch: it lies in the folders that Spark gives its
+executors, is written only when a queue outgrows memory, and anew when a task runs again.
 """
 
 from __future__ import annotations
@@ -68,7 +70,9 @@ def _spread(queues: list[Queue], chars: np.ndarray, rows: np.ndarray) -> None:
 
 def induce(t: np.ndarray, is_s: np.ndarray, first: np.ndarray, size: int, memory: int = MEMORY) -> np.ndarray:
     """All suffixes in order, from the leftmost S suffixes in order (or their substrings' order, if only those are)."""
-    with tempfile.TemporaryDirectory() as folder:
+    # Spark names its executors' own folders to their workers
+    own = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+    with tempfile.TemporaryDirectory(dir=own) as folder:
         starts = np.searchsorted(t[first], np.arange(size + 1))  # ``first`` ascends by its first byte
         queues = [Queue(folder, f"l{c}", memory) for c in range(size)]
         queues[int(t[-1])].push(np.array([len(t) - 1], np.int32))
@@ -182,14 +186,23 @@ class Sorter:
         sums, powers = self._sums(self.text)
         a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
         out = np.zeros(n, np.int64)
+        least = self.most or 0
+        at = np.flatnonzero(np.maximum(a, b) + least <= n)
+        if least:
+            # only prefixes of ``most`` or more count, and one comparison finds them
+            at = at[self._equal(sums, powers, a[at], b[at], least)]
+            out[at + 1] = least
+            return out
         shared = np.zeros(n - 1, np.int64)
-        bit = 1 << (min(self.most or n, n).bit_length() - 1)
+        bit = 1 << (n.bit_length() - 1)
         while bit:
-            fits = np.maximum(a, b) + shared + bit <= n
-            at = np.flatnonzero(fits)
-            i, j = a[at] + shared[at], b[at] + shared[at]
-            same = sums[i + bit] - sums[i] * powers[bit] == sums[j + bit] - sums[j] * powers[bit]
+            at = np.flatnonzero(np.maximum(a, b) + shared + bit <= n)
+            same = self._equal(sums, powers, a[at] + shared[at], b[at] + shared[at], bit)
             shared[at[same]] += bit
             bit >>= 1
         out[1:] = shared
         return out
+
+    @staticmethod
+    def _equal(sums: np.ndarray, powers: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
+        return sums[i + width] - sums[i] * powers[width] == sums[j + width] - sums[j] * powers[width]

@@ -14,7 +14,8 @@ document with a smaller doc_id. Windows are judged on the input, not on what is
 3. *Stream all documents.* Every document runs through its shard's automaton, which locates every occurrence of every
    passage; an occurrence counts in documents after the passage's source.
 
-Nothing grows with a key: a frequent passage is one window per block, and a shard's work is linear in its windows.
+Nothing grows with a key: a frequent passage is one window per block, and a shard's work is linear in its windows. The
+many different windows of a frequent anchor (``hot_anchors``) are spread over the shards by their own hashes.
 
 Defined results: a null or short text loses nothing; rows that repeat a doc_id are judged as one document's rows (none
 is smaller than the other); a null doc_id is judged as the largest (2**63 - 1, which no document may have); further
@@ -24,7 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -41,6 +42,9 @@ ANCHOR = 10
 SHARD_BYTES = 3 << 20
 LAST = np.int64(2**63 - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: One of how many documents is looked at for frequent anchors, from how many places on an anchor is frequent there, and
+#: how many frequent anchors are told to the tasks (8 bytes each).
+HOT_SHARE, HOT_LEAST, HOT_MOST = 64, 256, 50_000
 #: Windows that a map task holds before it sends them on.
 BUFFER = 1 << 17
 PACKED = "shard int, kind int, anchors binary, hashes binary, docs binary, starts binary, first binary, ids binary, keys binary"
@@ -73,8 +77,26 @@ def gram_hashes(h: np.ndarray, n: int, mult: np.uint64) -> np.ndarray:
     return mix(out)
 
 
+def sliding_least(g: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each w consecutive values."""
+    m = len(g) - w + 1
+    size = 1
+    while size * 2 <= w:
+        g = np.minimum(g[: len(g) - size], g[size:])
+        size *= 2
+    return np.minimum(g[:m], g[w - size : w - size + m])
+
+
 def minimisers(g: np.ndarray, w: int) -> np.ndarray:
     """Position of the leftmost smallest of each w consecutive values."""
+    low = np.uint64(0xFFFFFFFF)
+    g = np.asarray(g).astype(np.uint64, copy=False)
+    best = (sliding_least((g & ~low) | np.arange(len(g), dtype=np.uint64), w) & low).astype(np.int32)
+    # the upper halves decide, but where they tie
+    return best if np.array_equal(g[best], sliding_least(g, w)) else _minimisers_by_position(g, w)
+
+
+def _minimisers_by_position(g: np.ndarray, w: int) -> np.ndarray:
     m = len(g) - w + 1
     size = 1
     best = np.arange(len(g), dtype=np.int32)
@@ -101,13 +123,40 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
 
 
-def _windows(documents: DataFrame, n_shards: int, window: int, anchor: int) -> DataFrame:
+def hot_anchors(documents: DataFrame, of: Callable[[bytes], np.ndarray], share: int = HOT_SHARE) -> np.ndarray:
+    """Sorted hashes of anchors that are frequent in one of ``share`` documents (chosen by doc_id): at most ``HOT_MOST``,
+    the most frequent ones. They only decide which shard an anchor's windows go to, never what is found; an anchor that
+    the sample misses is an ordinary one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, sizes = text_bytes(b.column("text"))
+            for lo, hi in pieces(sizes):
+                found = [of(t) for t in texts[lo:hi] if t]
+                if found:
+                    a, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    total = sample.mapInArrow(lean(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = total.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "anchor").limit(HOT_MOST).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+
+
+def is_hot(a: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(a), bool)
+    return hot[np.minimum(np.searchsorted(hot, a), len(hot) - 1)] == a
+
+
+def _windows(documents: DataFrame, n_shards: int, window: int, anchor: int, hot: np.ndarray) -> DataFrame:
     """Packed arrays, one row per buffer of windows and shard. A buffer settles the windows that several of its own
     documents have (kind 1: already confirmed, with their first document) and sends one of each kind on (kind 0), so a
     frequent passage reaches its shard once per buffer."""
 
     def pack(kind, a, h, d, s, first, ids, keys):
-        shard = (a % np.uint64(n_shards)).astype(np.uint16 if n_shards < 1 << 16 else np.int64)
+        shard = np.where(is_hot(a, hot), h, a) % np.uint64(n_shards)
+        shard = shard.astype(np.uint16 if n_shards < 1 << 16 else np.int64)
         order = np.argsort(shard, kind="stable")
         a, h, d, s, first, shard = a[order], h[order], d[order], s[order], first[order], shard[order]
         cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
@@ -177,7 +226,16 @@ def _windows(documents: DataFrame, n_shards: int, window: int, anchor: int) -> D
 def recurring(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, key, start, n, source: runs of n windows, from word ``start`` on, that also start in a smaller document;
     ``source`` is the largest of the windows' smallest documents. ``key`` tells rows of one doc_id apart by their text."""
-    packed = _windows(documents, parts_for(total_bytes(documents), SHARD_BYTES), window, anchor)
+
+    def of(text: bytes) -> np.ndarray:
+        split = words(text)
+        if len(split) < window:
+            return np.zeros(0, np.uint64)
+        g = gram_hashes(WordHashes()(split), anchor, _M1)
+        return g[minimisers(g, window - anchor + 1)]
+
+    n_shards = parts_for(total_bytes(documents), SHARD_BYTES)
+    packed = _windows(documents, n_shards, window, anchor, hot_anchors(documents, of))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, h, d, k, s, done = [], [], [], [], [], []

@@ -13,8 +13,10 @@ document and an earlier start). Strings are judged on the input, not on what is
    common prefix of ``length`` or more form groups, and every member but the earliest is covered.
 4. Covered ranges meet their documents.
 
-An anchor with very many occurrences is pre-aggregated in each buffer (one occurrence per context and buffer goes on),
-and shards of texts are bounded by splitting groups of contexts between shards by anchor.
+An anchor with very many occurrences is pre-aggregated in each buffer (one occurrence per context and buffer goes on).
+The occurrences of anchors that a sample shows to be frequent are settled by context, over all shards. An anchor with
+more than ``MOST`` different contexts is not sorted in one task: its strings are settled by their own hashes, likewise
+over all shards, so no text or group grows with an anchor.
 
 Defined results: a null or short text loses nothing; rows that repeat a doc_id are judged one after another by their
 text's hash, and equal rows as one; a null doc_id is judged as the largest (2**63 - 1, which no document may have);
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from driftspark.llm._common import cut, lean, parts_for, text_bytes, total_bytes
 from driftspark.llm.induced_sort import Sorter
-from driftspark.llm.phrase_dedup import LAST, gram_hashes, minimisers, mix
+from driftspark.llm.phrase_dedup import LAST, gram_hashes, hot_anchors, is_hot, minimisers, mix
 
 LENGTH = 100
 ANCHOR = 40
@@ -42,6 +45,8 @@ SHARD_BYTES = 8 << 20
 BUFFER = 1 << 17
 SORT_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Different contexts of one anchor that are sorted in one text.
+MOST = 4096
 ASK = "shard int, done boolean, anchors binary, contexts binary, docs binary, starts binary, ids binary, keys binary, sizes binary"
 RANGES = "kind int, doc_id long, key long, start int, stop int, anchor long, at int"
 
@@ -50,7 +55,8 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Positions of a text's anchors (ascending), their hashes, and hashes of their contexts."""
     raw = np.frombuffer(text, np.uint8).astype(np.uint64)
     g = gram_hashes(mix(raw + np.uint64(1)), ANCHOR, _M1)
-    at = np.unique(minimisers(g, length - ANCHOR + 1))
+    at = minimisers(g, length - ANCHOR + 1)
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]  # they ascend
     low = np.maximum(at - (length - ANCHOR), 0)
     high = np.minimum(at + length, len(raw))
     # prefix sums of a polynomial give the hash of any range
@@ -65,21 +71,43 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 _INVERSE = np.uint64(pow(int(_M2), -1, 1 << 64))
 
 
-def _ask(documents: DataFrame, n_shards: int, length: int) -> DataFrame:
-    """Anchors in packed rows by shard. A buffer keeps the first occurrence of each (anchor, context) and marks the
-    others as covered (``done``)."""
+def later(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether a row's place differs from that of the first row of its group (``first`` marks those)."""
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return np.logical_or.reduce([x != x[head] for x in place])
 
-    def flush(kept, ids, keys, sizes):
-        a, c, d, s = (np.concatenate(x) for x in zip(*kept, strict=True))
-        ids, keys, sizes = np.array(ids, np.int64), np.array(keys, np.int64), np.array(sizes, np.int32)
+
+class _Buffer:
+    """Occurrences in packed rows by shard. It keeps the first occurrence of each (anchor, context) and marks the others
+    as covered (``done``)."""
+
+    def __init__(self, n_shards: int, hot: np.ndarray):
+        self.n_shards, self.hot = n_shards, hot
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept, self.ids, self.keys, self.sizes, self.held = [], [], [], [], 0
+
+    def add(self, a: np.ndarray, c: np.ndarray, at: np.ndarray, doc: int, key: int, size: int) -> None:
+        self.kept.append((a, c, np.full(len(at), len(self.ids), np.int32), at.astype(np.int32)))
+        self.ids.append(doc)
+        self.keys.append(key)
+        self.sizes.append(size)
+        self.held += len(at)
+
+    def flush(self) -> pa.RecordBatch:
+        a, c, d, s = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        ids, keys, sizes = np.array(self.ids, np.int64), np.array(self.keys, np.int64), np.array(self.sizes, np.int32)
+        self.clear()
         order = np.lexsort((s, keys[d], ids[d], c, a))
         a, c, d, s = a[order], c[order], d[order], s[order]
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
         out = []
-        for done, keep in ((False, first), (True, ~first)):
+        for done, keep in ((False, first), (True, later(first, ids[d], keys[d], s))):
             at = np.flatnonzero(keep)
             at = at[np.lexsort((s[at], d[at]))]
-            shard = ((a[at] >> np.uint64(20)) % np.uint64(n_shards)).astype(np.uint16 if n_shards < 1 << 16 else np.int64)
+            shard = (np.where(is_hot(a[at], self.hot), c[at], a[at]) >> np.uint64(20)) % np.uint64(self.n_shards)
+            shard = shard.astype(np.uint16 if self.n_shards < 1 << 16 else np.int64)
             order = np.argsort(shard, kind="stable")
             at, shard = at[order], shard[order]
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
@@ -106,8 +134,12 @@ def _ask(documents: DataFrame, n_shards: int, length: int) -> DataFrame:
             names=ASK.replace(",", "").split()[::2],
         )
 
+
+def _ask(documents: DataFrame, n_shards: int, length: int, hot: np.ndarray) -> DataFrame:
+    """Anchors of all documents, with their contexts' hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, ids, keys, sizes, held = [], [], [], [], 0
+        buffer = _Buffer(n_shards, hot)
         for b in batches:
             texts, _ = text_bytes(b.column("text"))
             own, text_keys = b.column("doc_id").fill_null(int(LAST)).to_pylist(), b.column("key").to_pylist()
@@ -115,20 +147,32 @@ def _ask(documents: DataFrame, n_shards: int, length: int) -> DataFrame:
                 if not t or len(t) < length:
                     continue
                 at, g, c = anchors(t, length)
-                kept.append((g, c, np.full(len(at), len(ids), np.int32), at.astype(np.int32)))
-                ids.append(own[i])
-                keys.append(text_keys[i])
-                sizes.append(len(t))
-                held += len(at)
-                if held >= BUFFER:
-                    yield flush(kept, ids, keys, sizes)
-                    kept, ids, keys, sizes, held = [], [], [], [], 0
-        if kept:
-            yield flush(kept, ids, keys, sizes)
+                buffer.add(g, c, at, own[i], text_keys[i], len(t))
+                if buffer.held >= BUFFER:
+                    yield buffer.flush()
+        if buffer.held:
+            yield buffer.flush()
 
     return documents.select("doc_id", "key", "text").mapInArrow(lean(run), ASK)
 
 
+def _ask_strings(contexts: DataFrame, n_shards: int, length: int) -> DataFrame:
+    """Strings of ``length`` bytes that hold the anchor of a context, each as its own anchor and context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = _Buffer(n_shards, np.zeros(0, np.uint64))
+        for b in batches:
+            for doc, key, start, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "start", "context")), strict=True):
+                h = gram_hashes(mix(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)), length, _M2)
+                buffer.add(h, h, start + np.arange(len(h)), doc, key, start + len(text))
+                if buffer.held >= BUFFER:
+                    yield buffer.flush()
+        if buffer.held:
+            yield buffer.flush()
+
+    return contexts.select("doc_id", "key", "start", "context").mapInArrow(lean(run), ASK)
+
+
 def _ranges(kind, d, k, start, stop, a, at) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -158,9 +202,12 @@ def joined(d, k, start, stop) -> tuple[np.ndarray, ...]:
     return d[at], k[at], start[at], (reach - shift)[np.append(at[1:], len(d)) - 1]
 
 
-def _settle(length: int):
+def _settle(before: int, after: int, hot: np.ndarray, most: int):
+    """For anchors whose contexts go from ``before`` bytes before them to ``after`` bytes after their start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Covered ranges (kind 0), and contexts of anchors that have several (kind 1), one occurrence of each."""
+        """Covered ranges (kind 0), and contexts of anchors that have several, one occurrence of each (kind 1; kind 2 if
+        there are more than ``most``, or may be)."""
         rows, done = [], []
         for b in batches:
             for r in b.to_pylist():
@@ -178,14 +225,20 @@ def _settle(length: int):
             a, c, d, k, s, n = (x[order] for x in (a, c, d, k, s, n))
             same = a[1:] == a[:-1]
             first = np.concatenate(([True], ~same | (c[1:] != c[:-1])))
-            done.append((d[~first], k[~first], s[~first], n[~first]))
+            over = later(first, d, k, s)
+            done.append((d[over], k[over], s[over], n[over]))
             a, d, k, s, n = (x[first] for x in (a, d, k, s, n))
             same = a[1:] == a[:-1]
-            several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            a, d, k, s, n = (x[several] for x in (a, d, k, s, n))
-            yield _ranges(1, d, k, np.maximum(s - (length - ANCHOR), 0), np.minimum(s + length, n), a.view(np.int64), s)
-        d, k, s, n = (np.concatenate(x) for x in zip(*done, strict=True))
-        d, k, start, stop = joined(d, k, np.maximum(s - (length - ANCHOR), 0).astype(np.int64), np.minimum(s + length, n).astype(np.int64))
+            group = np.cumsum(np.concatenate(([0], ~same)))
+            count = np.bincount(group)[group]
+            many = (count > most) | is_hot(a, hot)
+            for kind, keep in ((1, (count > 1) & ~many), (2, many)):
+                if keep.any():
+                    at = s[keep]
+                    stop = np.minimum(at + after, n[keep])
+                    yield _ranges(kind, d[keep], k[keep], np.maximum(at - before, 0), stop, a[keep].view(np.int64), at)
+        d, k, s, n = (np.concatenate(x) for x in zip(*done, strict=True))  # of a group, which has a row at least
+        d, k, start, stop = joined(d, k, np.maximum(s - before, 0).astype(np.int64), np.minimum(s + after, n).astype(np.int64))
         zero = np.zeros(len(d), np.int64)
         yield _ranges(0, d, k, start, stop, zero, zero)
 
@@ -200,12 +253,13 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (t, asked) in enumerate(zip(texts, b.column("asked").to_pylist(), strict=True)):
             own = b.column("doc_id")[i].as_py()
             for r in asked:
-                rows.append((r["anchor"], r["start"], r["at"], t[r["start"] : r["stop"]]))
+                rows.append((r["kind"], r["anchor"], r["start"], r["at"], t[r["start"] : r["stop"]]))
                 doc.append(int(LAST) if own is None else own)
                 key.append(b.column("key")[i].as_py())
-        a, start, at, text = zip(*rows, strict=True) if rows else ((), (), (), ())
+        kind, a, start, at, text = zip(*rows, strict=True) if rows else ((), (), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [
+                pa.array(kind, pa.int32()),
                 pa.array(a, pa.int64()),
                 pa.array(doc, pa.int64()),
                 pa.array(key, pa.int64()),
@@ -213,7 +267,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(at, pa.int32()),
                 pa.array(text, pa.binary()),
             ],
-            names=["anchor", "doc_id", "key", "start", "at", "context"],
+            names=["kind", "anchor", "doc_id", "key", "start", "at", "context"],
         )
 
 
@@ -261,35 +315,44 @@ def _covered(rows, texts, sizes, d, k, s, length):
     order = np.lexsort((start, k[row], d[row], group))
     group, row, start = group[order], row[order], start[order]
     new = np.concatenate(([True], group[1:] != group[:-1]))
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (d[row] != d[row[head]]) | (k[row] != k[row[head]]) | (start != start[head])
-    row, start = row[later], start[later].astype(np.int64)
+    over = later(new, d[row], k[row], start)
+    row, start = row[over], start[over].astype(np.int64)
     return d[row], k[row], start, start + length
 
 
-def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """doc_id, key, start, stop: byte ranges that earlier strings cover; ranges may overlap."""
-    n_shards = parts_for(total_bytes(documents), SHARD_BYTES)
-    found = _ask(documents, n_shards, length).groupBy("shard").applyInArrow(lean(_settle(length)), RANGES)
-    found = cut(found, "anchors")
+
+    def of(text: bytes) -> np.ndarray:
+        return anchors(text, length)[1] if len(text) >= length else np.zeros(0, np.uint64)
+
+    n_shards, hot = parts_for(total_bytes(documents), SHARD_BYTES), hot_anchors(documents, of)
+    settle = _settle(length - ANCHOR, length, hot, most)
+    found = cut(_ask(documents, n_shards, length, hot).groupBy("shard").applyInArrow(lean(settle), RANGES), "anchors")
     whole = F.when(F.col("doc_id") != int(LAST), F.col("doc_id"))
-    asked = found.where("kind = 1").groupBy(whole.alias("doc_id"), "key").agg(
-        F.collect_list(F.struct("start", "stop", "anchor", "at")).alias("asked")
+    asked = found.where("kind > 0").groupBy(whole.alias("doc_id"), "key").agg(
+        F.collect_list(F.struct("kind", "start", "stop", "anchor", "at")).alias("asked")
     )
     on = F.col("t.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("t.key") == F.col("q.key"))
     # equal rows are one document here
     one = documents.alias("t").join(asked.alias("q"), on).select("t.doc_id", "t.key", "t.text", "q.asked")
-    fetched = one.mapInArrow(lean(_fetch), "anchor long, doc_id long, key long, start int, at int, context binary")
+    fetched = one.mapInArrow(lean(_fetch), "kind int, anchor long, doc_id long, key long, start int, at int, context binary")
+    strings = not found.where("kind = 2").isEmpty()
+    if strings:
+        fetched = cut(fetched, "contexts")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int").alias("shard")
-    sorted_ = fetched.select(shard, "anchor", "doc_id", "key", "start", "context").groupBy("shard")
-    sorted_ = cut(sorted_.applyInArrow(lean(_sort(length)), RANGES), "sorted")
-    both = found.where("kind = 0").union(sorted_)
-    return both.select(whole.alias("doc_id"), "key", "start", "stop")
+    few = fetched.where("kind = 1").select(shard, "anchor", "doc_id", "key", "start", "context").groupBy("shard")
+    parts = [found.where("kind = 0"), cut(few.applyInArrow(lean(_sort(length)), RANGES), "sorted")]
+    if strings:
+        each = _ask_strings(fetched.where("kind = 2"), n_shards, length).groupBy("shard")
+        nothing = np.zeros(0, np.uint64)
+        parts.append(cut(each.applyInArrow(lean(_settle(0, length, nothing, 1)), RANGES), "strings"))
+    return reduce(DataFrame.union, parts).select(whole.alias("doc_id"), "key", "start", "stop")
 
 
-def _with_ranges(documents: DataFrame, length: int) -> DataFrame:
+def _with_ranges(documents: DataFrame, length: int, most: int = MOST) -> DataFrame:
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    ranges = repeated_ranges(table, length).groupBy("doc_id", "key").agg(
+    ranges = repeated_ranges(table, length, most).groupBy("doc_id", "key").agg(
         F.collect_list(F.struct("start", "stop")).alias("ranges")
     )
     on = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.key") == F.col("r.key"))
@@ -326,7 +389,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return _with_ranges(documents, length).mapInArrow(lean(run), "doc_id long, text string, removed array<int>")
 
 
-def digest_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def digest_documents(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: as ``repeated_spans``, but only digests leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,6 +408,6 @@ def digest_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return _with_ranges(documents, length).mapInArrow(
+    return _with_ranges(documents, length, most).mapInArrow(
         lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )

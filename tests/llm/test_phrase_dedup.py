@@ -32,6 +32,22 @@ def test_matches_brute_force(spark):
     assert sum(x[2] > 0 for x in got) > 30
 
 
+def test_frequent_anchor_with_many_windows(spark, monkeypatch):
+    rnd = random.Random(4)
+    shared = [f"k{i}" for i in range(30)]
+    docs = []
+    for d in range(80):
+        left, right = ([f"{rnd.choice('abc')}{i}" for i in range(3)] + [f"{side}{i}" for i in range(25)] for side in rnd.choices("xyz", k=2))
+        docs.append((d, " ".join([*left, *shared, *right[::-1]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    one, seen = phrase_dedup.hot_anchors, []
+    monkeypatch.setattr(phrase_dedup, "HOT_LEAST", 20)
+    monkeypatch.setattr(phrase_dedup, "hot_anchors", lambda docs, of: seen.append(one(docs, of, 1)) or seen[-1])
+    got = rows(phrase_dedup.digest_documents(df))
+    assert len(seen[0]) and got == sorted(brute.repeated_words(docs), key=str)
+    assert sum(x[2] > 0 for x in got) > 20
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"q{i}" for i in range(60))
     docs = [(5, text), (5, text), (5, "x " + text + " y"), (None, text), (7, None), (9, "tail " + text)]

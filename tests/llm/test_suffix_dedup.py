@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tests.llm import brute
 
-from driftspark.llm import queries, suffix_dedup
+from driftspark.llm import phrase_dedup, queries, suffix_dedup
 from driftspark.llm.induced_sort import Queue, Sorter
 
 
@@ -54,6 +54,35 @@ def test_matches_brute_force(spark):
     assert sum(x[2] > 0 for x in got) > 20
 
 
+@pytest.mark.parametrize("sampled", [False, True])
+def test_frequent_anchor_with_many_contexts(spark, sampled, monkeypatch):
+    rnd = random.Random(5)
+    shared = "".join(rnd.choices("klmnop", k=70))
+    docs = []
+    for d in range(90):
+        left, right = ("".join(rnd.choices("ab", k=rnd.randint(0, 9))) + "qrs"[rnd.randint(0, 2)] * 40 for _ in range(2))
+        docs.append((d, (left + shared + right[::-1]) * rnd.randint(1, 2)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    seen = []
+    whole = suffix_dedup._ask_strings
+    monkeypatch.setattr(suffix_dedup, "_ask_strings", lambda *a: seen.append(1) or whole(*a))
+    monkeypatch.setattr(suffix_dedup, "BUFFER", 500)
+    if sampled:
+        one = suffix_dedup.hot_anchors
+        monkeypatch.setattr(phrase_dedup, "HOT_LEAST", 20)
+        monkeypatch.setattr(suffix_dedup, "hot_anchors", lambda docs, of: one(docs, of, 1))
+    got = rows(suffix_dedup.digest_documents(df, most=4096 if sampled else 5))
+    assert seen and got == sorted(brute.repeated_bytes(docs), key=str)
+    assert 20 < sum(x[2] > 0 for x in got)
+
+
+def test_equal_rows_are_one(spark):
+    text = "".join(random.Random(2).choices("abcdefgh", k=300))
+    df = spark.createDataFrame([(3, text), (3, text), (4, text), (4, text)], "doc_id long, text string")
+    got = rows(suffix_dedup.repeated_spans(df).select("doc_id", "removed"))
+    assert got == [(3, []), (3, []), (4, [0, 300]), (4, [0, 300])]
+
+
 def test_odd_rows(spark):
     text = "".join(random.Random(1).choices("abcdefgh", k=150))
     docs = [(None, text), (3, "x" + text), (4, None), (4, "")]
