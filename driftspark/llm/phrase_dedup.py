@@ -42,9 +42,9 @@ ANCHOR = 10
 SHARD_BYTES = 3 << 20
 LAST = np.int64(2**63 - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: One of how many documents is looked at for frequent anchors, from how many places on an anchor is frequent there, and
-#: how many frequent anchors are told to the tasks (8 bytes each).
-HOT_SHARE, HOT_LEAST, HOT_MOST = 64, 256, 50_000
+#: One of how many documents is looked at for frequent anchors; how many different windows make one there (64 times as
+#: many would fill about half a shard); how many of them are told to the tasks at most (8 bytes each).
+HOT_SHARE, HOT_LEAST, HOT_MOST = 64, 4096, 50_000
 #: Windows that a map task holds before it sends them on.
 BUFFER = 1 << 17
 PACKED = "shard int, kind int, anchors binary, hashes binary, docs binary, starts binary, first binary, ids binary, keys binary"
@@ -123,23 +123,25 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
 
 
-def hot_anchors(documents: DataFrame, of: Callable[[bytes], np.ndarray], share: int = HOT_SHARE) -> np.ndarray:
-    """Sorted hashes of anchors that are frequent in one of ``share`` documents (chosen by doc_id): at most ``HOT_MOST``,
-    the most frequent ones. They only decide which shard an anchor's windows go to, never what is found; an anchor that
-    the sample misses is an ordinary one."""
+def hot_anchors(documents: DataFrame, of: Callable[[bytes], tuple[np.ndarray, np.ndarray]], share: int = HOT_SHARE) -> np.ndarray:
+    """Sorted hashes of the anchors that have many different contexts in one of ``share`` documents (chosen by doc_id): at
+    most ``HOT_MOST``, those with the most. ``of`` gives a text's anchors and the hashes of what is filed under them;
+    copies count once, as buffers settle them. This only decides which shard an anchor's windows go to, never what is
+    found; an anchor that the sample misses is an ordinary one."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes = text_bytes(b.column("text"))
             for lo, hi in pieces(sizes):
                 found = [of(t) for t in texts[lo:hi] if t]
                 if found:
-                    a, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+                    a, h = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(h)], names=["anchor", "context"])
 
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
-    total = sample.mapInArrow(lean(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    rows = total.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "anchor").limit(HOT_MOST).select("anchor").collect()
+    different = sample.mapInArrow(lean(pairs), "anchor long, context long").distinct()
+    many = different.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST)
+    rows = many.orderBy(F.desc("n"), "anchor").limit(HOT_MOST).select("anchor").collect()
     return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -227,12 +229,13 @@ def recurring(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """doc_id, key, start, n, source: runs of n windows, from word ``start`` on, that also start in a smaller document;
     ``source`` is the largest of the windows' smallest documents. ``key`` tells rows of one doc_id apart by their text."""
 
-    def of(text: bytes) -> np.ndarray:
+    def of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         split = words(text)
         if len(split) < window:
-            return np.zeros(0, np.uint64)
-        g = gram_hashes(WordHashes()(split), anchor, _M1)
-        return g[minimisers(g, window - anchor + 1)]
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        h = WordHashes()(split)
+        g = gram_hashes(h, anchor, _M1)
+        return g[minimisers(g, window - anchor + 1)], gram_hashes(h, window, _M2)
 
     n_shards = parts_for(total_bytes(documents), SHARD_BYTES)
     packed = _windows(documents, n_shards, window, anchor, hot_anchors(documents, of))

@@ -323,8 +323,10 @@ def _covered(rows, texts, sizes, d, k, s, length):
 def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """doc_id, key, start, stop: byte ranges that earlier strings cover; ranges may overlap."""
 
-    def of(text: bytes) -> np.ndarray:
-        return anchors(text, length)[1] if len(text) >= length else np.zeros(0, np.uint64)
+    def of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if len(text) < length:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return anchors(text, length)[1:]
 
     n_shards, hot = parts_for(total_bytes(documents), SHARD_BYTES), hot_anchors(documents, of)
     settle = _settle(length - ANCHOR, length, hot, most)
