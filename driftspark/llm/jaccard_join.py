@@ -19,7 +19,9 @@ exactly on whole texts, each document's most frequent pair first, then those tha
 of a bucket meet in the group of its smallest document. Where a group is not connected by then, its members outside its
 largest part are compared with all of it by sketch, in pieces of bounded size, and what is left is verified. So every
 link between different texts is found or follows from verified ones, and a large group of copies costs pairs in
-proportion to its size. Equal sets are linked by a 128-bit digest first.
+proportion to its size. Equal sets are linked by a 128-bit digest first. A bucket that a sample shows to be frequent is
+spread over all shards by its members; each part gives its smallest document, and the smallest of all (one row a
+frequent bucket) then forms the same star pairs. Star pairs are counted in shards of pairs, not of their first document.
 
 Defined results: no words: an empty set, linked with nothing; fewer words than n: the whole sequence is one shingle;
 rows that share a doc_id are one node; a null doc_id is linked with nothing and has a null component; further columns
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from driftspark.llm._common import cut, lean, lower_words, parts_for, text_bytes, total_bytes
 from driftspark.llm.components import components
-from driftspark.llm.phrase_dedup import WordHashes, gram_hashes, mix
+from driftspark.llm.phrase_dedup import WordHashes, gram_hashes, hot_anchors, is_hot, mix
 
 SHINGLE = 5
 PER_CENT = 80
@@ -156,6 +158,15 @@ def entries(tokens: np.ndarray, sizes: np.ndarray, per_cent: int) -> tuple[np.nd
     return np.concatenate(out_h), np.concatenate(out_d)
 
 
+def _entries_of(text: bytes, shingle: int, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of one text, and a hash of its set for each of them."""
+    tokens = shingle_set(lower_words(text), WordHashes(), shingle)
+    if len(tokens) < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h, _ = entries(tokens, np.array([len(tokens)]), per_cent)
+    return h, np.full(len(h), np.bitwise_xor.reduce(mix(tokens)), np.uint64)
+
+
 def sketch_bytes(size: int) -> int:
     """A power of two that gives two to four bits a token."""
     return 1 << max(3, (2 * size - 1).bit_length() - 3) if size else 8
@@ -182,7 +193,7 @@ def differing(r: bytes, s: bytes) -> int:
     return int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum())
 
 
-def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int) -> DataFrame:
+def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int, hot: np.ndarray) -> DataFrame:
     """Packed index entries by shard (kind 0) and a row of sizes and digests for the documents of a buffer (kind 1)."""
 
     def flush(sets, ids):
@@ -198,7 +209,8 @@ def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int) ->
         rows = np.sort(x[new & (sizes[x] > 1)])
         if len(rows):
             h, d = entries(np.concatenate([sets[i] for i in rows.tolist()]), sizes[rows], per_cent)
-            shard = ((h >> np.uint64(40)) % np.uint64(n_shards)).astype(np.uint16 if n_shards < 1 << 16 else np.int64)
+            place = np.where(is_hot(h, hot), mix(h ^ ids[rows][d].view(np.uint64)), h)
+            shard = ((place >> np.uint64(40)) % np.uint64(n_shards)).astype(np.uint16 if n_shards < 1 << 16 else np.int64)
             order = np.argsort(shard, kind="stable")
             h, d, shard = h[order], d[order], shard[order]
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
@@ -236,9 +248,20 @@ def _starts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
 
 
-def _stars(batches: Iterator[pa.RecordBatch], n_subs: int) -> Iterator[pa.RecordBatch]:
-    """Documents of a shard (kind 1: a, n, low, high, sketch) and its star pairs (smallest of a bucket, other member),
-    packed (kind 0: a = sub-shard, n = number of pairs)."""
+def _pairs(a: np.ndarray, b: np.ndarray, n_subs: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Star pairs packed by sub-shards of pairs: sub-shards, numbers of pairs, packed pairs."""
+    sub = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64) + np.uint64(1))) % np.uint64(n_subs)).astype(np.int64)
+    order = np.argsort(sub, kind="stable")
+    a, b, sub = a[order], b[order], sub[order]
+    cuts = [0, *(np.flatnonzero(np.diff(sub)) + 1).tolist(), len(sub)]
+    spans = [(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j]
+    return [int(sub[i]) for i, _ in spans], [j - i for i, j in spans], [a[i:j].tobytes() + b[i:j].tobytes() for i, j in spans]
+
+
+def _stars(batches: Iterator[pa.RecordBatch], n_subs: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Documents of a shard (kind 1: a, n, low, high, sketch), its star pairs (smallest of a bucket, other member), packed
+    (kind 0: a = sub-shard, n = number of pairs), and its parts of frequent buckets (kind 2: a = bucket, b = smallest
+    member, n = number of members, packed members)."""
     hashes, docs = [], []
     for batch in batches:
         for r in batch.to_pylist():
@@ -257,20 +280,37 @@ def _stars(batches: Iterator[pa.RecordBatch], n_subs: int) -> Iterator[pa.Record
     order = np.lexsort((d, h))
     h, d = h[order], d[order]
     start = _starts(h)
-    least = np.repeat(d[start], np.diff(np.append(start, len(h))))
-    pair = least != d
-    a, b = least[pair], d[pair]
-    # packed by sub-shards of a, which count the pairs of all shards
-    sub = (mix(a.view(np.uint64)) % np.uint64(n_subs)).astype(np.int64)
-    order = np.argsort(sub, kind="stable")
-    a, b, sub = a[order], b[order], sub[order]
-    cuts = [0, *(np.flatnonzero(np.diff(sub)) + 1).tolist(), len(sub)]
-    spans = [(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j]
-    if spans:
-        first = np.array([i for i, _ in spans])
-        zero = np.zeros(len(spans), np.int64)
-        packed = [a[i:j].tobytes() + b[i:j].tobytes() for i, j in spans]
-        yield _found(0, sub[first], zero, np.array([j - i for i, j in spans]), zero, zero, packed)
+    size = np.diff(np.append(start, len(h)))
+    frequent = is_hot(h[start], hot)
+    least = np.repeat(d[start], size)
+    pair = (least != d) & ~np.repeat(frequent, size)
+    sub, n, packed = _pairs(least[pair], d[pair], n_subs)
+    if sub:
+        zero = np.zeros(len(sub), np.int64)
+        yield _found(0, np.array(sub), zero, np.array(n), zero, zero, packed)
+    if frequent.any():
+        at, n = start[frequent], size[frequent]
+        zero = np.zeros(len(at), np.int64)
+        members = [d[i : i + k].tobytes() for i, k in zip(at.tolist(), n.tolist(), strict=True)]
+        yield _found(2, h[at].view(np.int64), d[at], n, zero, zero, members)
+
+
+def _frequent_pairs(found: DataFrame, n_subs: int) -> DataFrame:
+    """sub, sketch: packed star pairs of the frequent buckets, once the parts' smallest documents are known."""
+    parts = found.where("kind = 2").select("a", "b", "sketch")
+    least = parts.groupBy("a").agg(F.min("b").alias("least"))  # one row a frequent bucket, of which there are HOT_MOST at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if not x.num_rows:
+                continue
+            members = [np.frombuffer(m, np.int64) for m in x.column("sketch").to_pylist()]
+            first = np.repeat(x.column("least").to_numpy(), list(map(len, members)))
+            other = np.concatenate(members)
+            sub, _, packed = _pairs(first[other != first], other[other != first], n_subs)
+            yield pa.RecordBatch.from_arrays([pa.array(sub, pa.int64()), pa.array(packed, pa.binary())], names=["sub", "sketch"])
+
+    return parts.join(F.broadcast(least), "a").select("least", "sketch").mapInArrow(lean(run), "sub long, sketch binary")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,13 +487,16 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, per_cent: int
     """doc_id, n_shingles, component_id of every document."""
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_shards = parts_for(total_bytes(table), SHARD_BYTES)
-    shards = _index(table, n_shards, shingle, per_cent).groupBy("shard")
-    found = cut(shards.applyInArrow(lean(lambda batches: _stars(batches, n_shards)), FOUND), "found")
+    hot = hot_anchors(table.where("doc_id is not null"), lambda text: _entries_of(text, shingle, per_cent))
+    shards = _index(table, n_shards, shingle, per_cent, hot).groupBy("shard")
+    found = cut(shards.applyInArrow(lean(lambda batches: _stars(batches, n_shards, hot)), FOUND), "found")
     sets = found.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "low", "high", "sketch")
     least = sets.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("b"))
     equal = sets.join(least, ["n", "low", "high"]).where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
-    packed = found.where("kind = 0").select(F.col("a").alias("sub"), "sketch").groupBy("sub")
-    star = cut(packed.applyInArrow(lean(_count), "a long, b long, n long"), "stars")
+    packed = found.where("kind = 0").select(F.col("a").alias("sub"), "sketch")
+    if len(hot):
+        packed = packed.union(_frequent_pairs(found, n_shards))
+    star = cut(packed.groupBy("sub").applyInArrow(lean(_count), "a long, b long, n long"), "stars")
     good = cut(_plausible(star, sets, per_cent).join(star, ["a", "b"]), "good")
     texts = involved(table, good.select(F.col("a").alias("doc_id")).union(good.select("b")).distinct())
     # each document and the representative with which it shares most buckets, then the other star pairs

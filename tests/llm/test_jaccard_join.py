@@ -4,7 +4,7 @@ import numpy as np
 from tests.llm import brute
 
 from driftspark.llm import jaccard_join as jj
-from driftspark.llm import queries
+from driftspark.llm import phrase_dedup, queries
 from driftspark.llm.components import components
 
 
@@ -72,6 +72,18 @@ def test_copies_that_differ_from_one_another(spark):
     assert rows(jj.near_duplicates(df)) == sorted(brute.jaccard_components(docs), key=str)
 
 
+def test_frequent_buckets(spark, monkeypatch):
+    """Buckets that are spread over the shards by their members give the same links."""
+    docs = near_copies(6, groups=6, copies=60)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    one, seen = jj.hot_anchors, []
+    monkeypatch.setattr(phrase_dedup, "HOT_LEAST", 5)
+    monkeypatch.setattr(jj, "hot_anchors", lambda docs, of: seen.append(one(docs, of, 1)) or seen[-1])
+    monkeypatch.setattr(jj, "BUFFER", 1500)
+    assert rows(jj.near_duplicates(df)) == sorted(brute.jaccard_components(docs), key=str)
+    assert len(seen[0])
+
+
 def test_odd_rows(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F")]
     got = rows(jj.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
