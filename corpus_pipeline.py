@@ -1,6 +1,7 @@
 """A training-data pipeline over ``documents``: each stage applies one operator and its decisions take effect.
 
 Every stage gets what its predecessor kept, written as a table, and all but the last return the columns of documents.
+A decision is on its row, never joined back by doc_id, which may be null or repeated.
 Part of the optional ``driftspark.llm`` operators.
 """
 
@@ -30,22 +31,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest doc_id, once."""
-    found = jaccard_join.near_duplicates(docs)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates, the one with the smallest doc_id (null: the largest).
+
+    The join works on row numbers, so rows without a doc_id and rows that share one are compared like all others.
+    Rows without words are in no group; those that share a doc_id are kept once."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    nodes = rows.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").alias("_id"))
+    found = jaccard_join.near_duplicates(nodes, kept=("_id",))
+    wordless = (F.col("n_shingles") == 0) & F.col("_id").isNotNull()
+    group = F.struct(wordless.alias("wordless"), F.when(wordless, F.col("_id")).otherwise(F.col("component_id")).alias("of"))
+    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("doc_id").alias("row"))
+    first = found.groupBy(group.alias("group")).agg(F.min(rank)["row"].alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the words of passages that a document with a smaller doc_id has; drops a document that has no others."""
-    return _with_texts(docs, phrase_dedup.kept_texts(phrase_dedup.repeated_spans(docs)))
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    spans = phrase_dedup.repeated_spans(docs, kept=columns)
+    out = phrase_dedup.kept_texts(spans, "removed", *columns).where("text is null or text != ''")
+    length = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", length).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a benchmark passage."""
-    found = cut(decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).drop("text"), "contamination")
-    bad = found.where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), kept=columns)
+    return found.where(F.size("spans") == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +66,6 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, queries.tokenizer_file())
 
 
-def _with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the texts of another frame of one row per row of docs; n_chars follows the text."""
-    same = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    out = docs.join(same, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_text is null or _text != ''")
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    changed = ~F.col("text").eqNullSafe(F.col("_text"))
-    return out.select(*(F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in docs.columns))
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language),
     ("jaccard_join", near_duplicates),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def with_columns(schema: str, df: DataFrame, names: Sequence[str]) -> str:
+    """A schema with further columns of a frame at its end."""
+    return ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)])
+
+
 def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The same function over batches, giving freed memory back to the system after each batch it makes."""
 

@@ -8,11 +8,13 @@ What is broadcast is bounded: the benchmark is cut into chunks of at most ``CHUN
 scanned once per chunk and the spans found so far travel with each document. One chunk is the usual case.
 
 Defined results: a null text has no words; a null or wordless item has no window; repeated items count by distinct
-item_id (a null id reads as the empty string); repeated documents each keep a row; further columns are ignored.
+item_id (a null id reads as the empty string); repeated documents each keep a row; further columns are ignored, or
+returned if asked for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import repeat
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import alnum_words, cut, map_batches, pieces, text_bytes
+from driftspark.llm._common import alnum_words, cut, map_batches, pieces, text_bytes, with_columns
 
 WINDOW = 10
 CHUNK_BYTES = 32 << 20
@@ -87,7 +89,8 @@ def _chunks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
 
 
 def scan(documents: DataFrame, items: list[tuple[str, bytes]], window: int = WINDOW) -> DataFrame:
-    """One pass of documents (doc_id, text, spans, items) over the windows of some items; adds to spans and items."""
+    """One pass of documents (doc_id, text, spans, items, further columns) over the windows of some items; adds to spans
+    and items."""
     shared = documents.sparkSession.sparkContext.broadcast(Index(items, window))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -119,11 +122,13 @@ def scan(documents: DataFrame, items: list[tuple[str, bytes]], window: int = WIN
                 pa.array(counts),
                 pa.array([merged(s) for s in spans], pa.list_(pa.int32())),
                 pa.array([n or [] for n in names], pa.list_(pa.string())),
+                *(b.column(c) for c in kept),
             ],
-            names=["doc_id", "text", "n_words", "spans", "items"],
+            names=["doc_id", "text", "n_words", "spans", "items", *kept],
         )
 
-    return map_batches(documents.select("doc_id", "text", "spans", "items"), batch, SCHEMA)
+    kept = [c for c in documents.columns if c not in ("doc_id", "text", "n_words", "spans", "items")]
+    return map_batches(documents.select("doc_id", "text", "spans", "items", *kept), batch, with_columns(SCHEMA, documents, kept))
 
 
 def merged(flat: list[int] | None) -> list[int]:
@@ -137,11 +142,16 @@ def merged(flat: list[int] | None) -> list[int]:
     return out
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, n_words, spans (flat [start, end) pairs of hit words), items (sorted) for every document."""
+def contamination(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, kept: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, text, n_words, spans (flat [start, end) pairs of hit words), items (sorted) and the columns named in
+    ``kept`` for every document."""
+    own = {c: f"kept_{i}" for i, c in enumerate(kept)}  # a name of the operator's own may be among them
     out = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
+        *(F.col(c).alias(n) for c, n in own.items()),
         F.lit(None).cast("array<int>").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
     )
@@ -150,7 +160,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         out = scan(out, items, window)
         if k + 1 < len(chunks):
             out = cut(out, "contamination")
-    return out
+    return out.withColumnsRenamed({n: c for c, n in own.items()})
 
 
 def clean_documents(documents: DataFrame, found: DataFrame, most_words: int = 0) -> DataFrame:

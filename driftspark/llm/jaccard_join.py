@@ -30,7 +30,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from math import exp, factorial
 
@@ -483,8 +483,10 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return named.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def near_duplicates(
+    documents: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT, kept: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, the columns named in ``kept``, n_shingles, component_id of every document."""
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_shards = parts_for(total_bytes(table), SHARD_BYTES)
     hot = hot_anchors(table.where("doc_id is not null"), lambda text: _entries_of(text, shingle, per_cent))
@@ -512,8 +514,11 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, per_cent: int
     if not across.isEmpty():
         texts = involved(table, across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct())
         parts = components(links.union(verified(texts, across, shingle, per_cent)))
-    rows = table.select("doc_id").join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *kept).join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select(
-        "doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id",
+        *kept,
+        F.coalesce("n", F.lit(0)).alias("n_shingles"),
+        F.coalesce("component", "doc_id").alias("component_id"),
     )

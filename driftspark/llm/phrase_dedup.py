@@ -25,7 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import cut, lean, map_batches, parts_for, pieces, text_bytes, total_bytes, words
+from driftspark.llm._common import cut, lean, map_batches, parts_for, pieces, text_bytes, total_bytes, with_columns, words
 
 WINDOW = 50
 ANCHOR = 10
@@ -281,7 +281,7 @@ def recurring(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Streams batches of (doc_id, text, passages) through the automaton of each shard of documents."""
+    """Streams batches of (doc_id, text, passages, further columns) through the automaton of each shard of documents."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -315,8 +315,9 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 b.column("text"),
                 pa.array(counts, pa.int64()),
                 pa.array(removed, pa.list_(pa.int32())),
+                *b.columns[3:],
             ],
-            names=["doc_id", "text", "n_words", "removed"],
+            names=["doc_id", "text", "n_words", "removed", *b.schema.names[3:]],
         )
 
 
@@ -342,17 +343,24 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _with_passages(documents: DataFrame, window: int, anchor: int) -> DataFrame:
+def _with_passages(documents: DataFrame, window: int, anchor: int, kept: Sequence[str] = ()) -> DataFrame:
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     runs = cut(recurring(table, window, anchor), "recurring")
     passages = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "source")).alias("passages"))
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))
-    return table.alias("d").join(passages.alias("p"), on, "left").select("d.doc_id", "d.text", "p.passages")
+    own = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(kept)]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text", *own)
+    out = rows.alias("d").join(passages.alias("p"), on, "left")
+    return out.select("d.doc_id", "d.text", "p.passages", *(F.col(f"d.kept_{i}").alias(c) for i, c in enumerate(kept)))
 
 
-def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, text, n_words, removed (flat [start, end) pairs of word positions) for every row of documents."""
-    return _with_passages(documents, window, anchor).mapInArrow(lean(lambda batches: _locate(batches, window)), SCHEMA)
+def repeated_spans(
+    documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, kept: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, text, n_words, removed (flat [start, end) pairs of word positions) and the columns named in ``kept`` for
+    every row of documents."""
+    rows = _with_passages(documents, window, anchor, kept)
+    return rows.mapInArrow(lean(lambda batches: _locate(batches, window)), with_columns(SCHEMA, documents, kept))
 
 
 def digest_documents(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -381,15 +389,18 @@ def kept_words(text: bytes | None, removed: list[int]) -> list[bytes]:
     return [w for w in split if w is not None]
 
 
-def kept_texts(spans: DataFrame) -> DataFrame:
-    """doc_id, text of every row of ``repeated_spans``: untouched texts stay, others keep their words in one line."""
+def kept_texts(spans: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, text and the columns named in ``kept`` of every row of ``repeated_spans``: untouched texts stay, others
+    keep their words in one line."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, _ = text_bytes(b.column("text"))
         gone = b.column("removed").to_pylist()
         out = [b" ".join(kept_words(t, g)) if g else t for t, g in zip(texts, gone, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "text"]
+            [b.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), *(b.column(c) for c in kept)],
+            names=["doc_id", "text", *kept],
         )
 
-    return map_batches(spans.select("doc_id", "text", "removed"), batch, "doc_id long, text string")
+    rows = spans.select("doc_id", "text", *dict.fromkeys(["removed", *kept]))
+    return map_batches(rows, batch, with_columns("doc_id long, text string", spans, kept))

@@ -37,3 +37,30 @@ def test_stages(spark):
             assert {r["doc_id"] for r in docs.collect()} == set(before)
         if name != "bpe":
             assert docs.columns == columns
+
+
+def test_null_and_repeated_doc_ids(spark, tmp_path):
+    """Each row has its own decision and its own text, whether or not its doc_id is null or shared."""
+    word = lambda c, n: [f"{c}{i}" for i in range(n)]
+    one, two, three, four, five, six = (" ".join(word(c, 120)) for c in "abcdef")
+    leak = "benchmark words that no training document may hold at all"
+    rows = [(1, one), (1, one), (2, two), (2, three), (None, three + " end"), (None, four), (None, four), (None, five)]
+    rows += [(None, f"{two} {six}"), (7, leak), (7, "clean row of a shared id"), (None, leak + " yet a longer row than that one is"), (9, None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, t, "en", "s", t and len(t)) for d, t in rows], columns)
+    plain = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    once = [(1, one), (2, two), (2, three), (None, four), (None, five), (None, f"{two} {six}"), *rows[-4:]]
+    kept = cut(P.near_duplicates(spark, docs, D), "kept")
+    assert plain(kept) == sorted(once, key=str)
+    blank = spark.createDataFrame([(3, "", "en", "s", 0)] * 2 + [(4, None, "en", "s", None)] * 2, columns)
+    assert plain(P.near_duplicates(spark, blank, D)) == [(3, ""), (4, None)]
+
+    alone = cut(P.repeated_passages(spark, kept, D), "alone")
+    want = [(d, six if t == f"{two} {six}" else t) for d, t in once]
+    assert plain(alone) == sorted(want, key=str)
+    assert alone.where("n_chars is distinct from length(text)").count() == 0 and alone.columns == docs.columns
+
+    bench = spark.createDataFrame([("1", leak)], "item_id string, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = P.benchmark_passages(spark, alone, str(tmp_path))
+    assert plain(clean) == sorted([x for x in want if leak not in (x[1] or "")], key=str) and clean.columns == docs.columns
