@@ -7,7 +7,8 @@ the swapped model first predicts the next row.
 
 What runs in parallel without changing results: runs; the epochs of P1 (an epoch's model is a function of the W rows up
 to its trigger and its own rows); the segments of P3 (each reads only its own state). P0 and P2 are sequential by nature.
-Global alarms of P1 and P3 never feed back, so they are a second pass over the error column.
+Alarms of P1 and global alarms of P3 never feed back, so they are a second pass over the error column. A global detector
+reads its errors in order, so that pass is one task; it holds an index and an error a row.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftspark.plans.layout import written
 from driftspark.streaming.learners import DriftMonitor, HoeffdingTree, make_detector
 
 POLICIES = {"static": "P0", "periodic": "P1", "global_drift_triggered": "P2", "segment_drift_triggered": "P3"}
@@ -145,7 +147,8 @@ def _needed(stream: DataFrame, features: list[str]) -> DataFrame:
 
 
 def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
-    """P1 by epoch: rows of the W before an epoch's trigger are copied to it as training rows."""
+    """P1 by epoch: rows of the W before an epoch's trigger are copied to it as training rows. ``prequential`` adds the
+    alarms; n_window and n_fraud_window are the rows that the next epoch trains on."""
     after = F.col("tx_index") - cfg.warmup
     own = F.greatest(F.floor(after / cfg.interval), F.lit(0)).cast("long")
     # epoch k > 0 trains on rows (trigger - W, trigger], trigger = warmup + k * interval - 1
@@ -154,11 +157,12 @@ def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
     train = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
     base = _needed(stream, features).where(F.col("tx_index").isNotNull())
     last = base.agg(F.max(own)).first()[0]
-    training = base.withColumn("epoch", F.explode(train)).where(F.col("epoch") <= F.lit(last)).withColumn("train", F.lit(True))
+    trained = base.withColumn("epoch", F.explode(train))
+    training = trained.where(F.col("epoch") <= F.lit(last)).withColumn("train", F.lit(True))
     rows = base.withColumn("epoch", own).withColumn("train", F.col("tx_index") < cfg.warmup).unionByName(training)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, out, n, frauds = cfg.learner(), [], None, None
+        model, out = cfg.learner(), []
         train, run = pdf[pdf["train"]], pdf[~pdf["train"]]
         for _, x, y, _ in _rows(train, features):
             model.learn_one(x, y)
@@ -168,14 +172,19 @@ def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
             model.learn_one(x, y)
             epoch_end = (tx - cfg.warmup + 1) % cfg.interval == 0
             swap = epoch_end and not cfg.no_swap
-            out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, swap, "global" if epoch_end else None, None, None, n, frauds))
+            out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, swap, "global" if epoch_end else None, None, None, None, None))
         return _frame(out)
 
-    return rows.groupBy("epoch").applyInPandas(fold, RECORDS)
+    sizes = trained.groupBy((cfg.warmup + F.col("epoch") * cfg.interval - 1).alias("tx_index")).agg(
+        F.count("*").cast("int").alias("n_window"), F.sum("y").cast("int").alias("n_fraud_window")
+    )
+    out = rows.groupBy("epoch").applyInPandas(fold, RECORDS).drop("n_window", "n_fraud_window")
+    return out.join(sizes, "tx_index", "left").select(*_COLUMNS)
 
 
 def by_segment(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
-    """P3 by segment: each reads only its own state; a window still ends W global rows back, by tx_index."""
+    """P3 by segment: each reads only its own state; a window still ends W global rows back, by tx_index.
+    ``prequential`` adds the global alarms."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = _frame(run_fold(_rows(pdf, features), cfg))
@@ -206,12 +215,33 @@ def alarms(records: DataFrame, detector: str = "adwin", by: str | None = None) -
     return rows.groupBy("stream_key").applyInPandas(scan, "stream_key string, tx_index long, detector_type string")
 
 
+def _with_alarms(records: DataFrame, cfg: RunConfig, by: dict[str, str | None]) -> DataFrame:
+    """Records with the alarm columns named in ``by`` from passes over the error column, global (None) or per value of a
+    column, whose null has no detector."""
+    records = written(records, "records")
+    out = records.drop(*by)
+    for name, key in by.items():
+
+        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("tx_index", kind="stable")
+            d = make_detector(cfg.detector, **cfg.detector_kwargs)
+            hits = [t for t, e in zip(pdf["tx_index"].tolist(), pdf["error"].tolist(), strict=True) if d.update(e)]
+            return pd.DataFrame({"tx_index": pd.Series(hits, dtype="int64")})
+
+        of = F.lit("global") if key is None else F.col(key)
+        rows = records.select(of.alias("of"), "tx_index", "error").where("of is not null")
+        hits = rows.groupBy("of").applyInPandas(scan, "tx_index long").withColumn(name, F.lit(True))
+        out = out.join(hits, "tx_index", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.select(*_COLUMNS)
+
+
 def prequential(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
-    """Records of a run by the widest plan that its policy allows."""
+    """Records of a run by the widest plan that its policy allows; equal to the sequential fold in every column."""
     if cfg.policy == "P1" and not cfg.no_swap:  # without a swap, a model outlives its epoch
-        return epochs(stream, features, cfg)
+        both = {"drift_detected_global": None, "drift_detected_segment": "segment_key"}
+        return _with_alarms(epochs(stream, features, cfg), cfg, both)
     if cfg.policy == "P3":
-        return by_segment(stream, features, cfg)
+        return _with_alarms(by_segment(stream, features, cfg), cfg, {"drift_detected_global": None})
     return sequential(stream, features, cfg)
 
 

@@ -104,3 +104,16 @@ def test_config_rules():
     assert fold.RunConfig("x", "segment_drift_triggered", detector="hddm").detector == "hddm_w"
     with pytest.raises(RuntimeError):
         fold.Retrainer(fold.RunConfig("x")).fit()
+
+
+@pytest.mark.parametrize("policy", ["P1", "P3"])
+def test_parallel_plans_equal_the_sequential_fold_in_all_columns(spark, policy):
+    from pyspark.sql import functions as F
+
+    df = _stream(spark).withColumn("segment_key", F.when(F.col("tx_index") % 7 > 0, F.col("segment_key")))
+    # 800 = 150 + 5 * 130: the last row is an epoch's trigger, whose next epoch has no rows
+    for rows in (df, df.where("tx_index < 800")):
+        one, many = (sorted(f(rows, ["odd", "k"], _cfg(policy)).collect()) for f in (fold.sequential, fold.prequential))
+        assert one == many
+        assert any(r["drift_detected_global"] for r in one) and any(r["n_fraud_window"] for r in one)
+    assert any(r["drift_detected_segment"] for r in many)
