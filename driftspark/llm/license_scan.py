@@ -2,11 +2,15 @@
 
 A block is any window of ``2 * |T|`` consecutive words (the whole text, if shorter), T being a template's token set. A
 block joins a template when it holds at least ``THRESHOLD`` of the template's distinct tokens. Tokens are ordered by
-their frequency over all documents, rarest first, and three exact filters apply:
+their frequency over all documents, rarest first, and two exact filters apply:
 
-* prefix: a block that meets ``need = ceil(THRESHOLD * |T|)`` holds one of the ``|T| - need + 1`` rarest tokens of T;
-* length: a text of fewer than ``need`` words holds no such block;
-* position: if the rarest shared token has rank i in T, at most ``|T| - i`` tokens are shared.
+* prefix: a block that meets ``need = ceil(THRESHOLD * |T|)`` holds one of the ``|T| - need + 1`` rarest tokens of T, so
+  only blocks around the places of these are looked at;
+* length: a text of fewer than ``need`` words holds no such block.
+
+The position filter (a rarest shared token of rank i leaves at most ``|T| - i`` shared) says the same as the prefix, as
+blocks are counted exactly. Every block that joins is returned; neighbouring ones overlap in all but a word, so they are
+given as maximal runs, from the start of the first to the end of the last.
 
 Only templates and the counts of their own tokens are broadcast; both are bounded by the templates, not by the data.
 Beside the join, fixed phrases are counted wherever their words stand consecutively.
@@ -89,7 +93,12 @@ class Matcher:
             need = ceil(threshold * len(ids) - 1e-9)
             self.sets.append((label, {t: r for r, t in enumerate(ids)}, need, ids[: len(ids) - need + 1]))
         self.phrases = [([self.vocab[w] for w in alnum_words(p.encode())], label) for p, label in PHRASES]
-        self.prefixes = np.unique([t for s in self.sets for t in s[3]])
+        self.rank_of = np.full((len(self.sets), len(self.vocab) + 1), -1)
+        self.is_prefix = np.zeros(self.rank_of.shape, bool)
+        for k, (_, rank, _, prefix) in enumerate(self.sets):
+            self.rank_of[k, list(rank)] = list(rank.values())
+            self.is_prefix[k, prefix] = True
+        self.any_prefix = self.is_prefix.any(axis=0)
 
     def base(self, ids: np.ndarray) -> tuple[list[int], set[str]]:
         places, labels = [], set()
@@ -105,32 +114,48 @@ class Matcher:
         return places, labels
 
     def join(self, ids: np.ndarray) -> list[tuple[str, int, int, int, float]]:
-        """Best block of each template that meets the threshold: (label, template, start, end, containment)."""
+        """Maximal runs of blocks that meet a template's threshold: (label, template, start of the first block, end of the
+        last one, best containment), by template, then containment, then start."""
         n, out = len(ids), []
         at = np.flatnonzero(ids)
         known = ids[at]
-        seeds = set(self.prefixes[np.isin(self.prefixes, known)].tolist())
-        for k, (label, rank, need, prefix) in enumerate(self.sets):
-            if n < need or not seeds.intersection(prefix):
+        if not self.any_prefix[known].any():
+            return out
+        for k, (label, rank, need, _) in enumerate(self.sets):
+            if n < need or not len(seeds := at[self.is_prefix[k][known]]):
                 continue
             width = min(2 * len(rank), n)
-            mine = [(int(p), rank[t]) for p, t in zip(at.tolist(), known.tolist(), strict=True) if t in rank]
-            best = (0, 0)
-            # A best block can start at one of the template's tokens, or end with the text.
-            j, inside = 0, Counter()
-            for i, (p, r) in enumerate(mine):
-                while j < len(mine) and mine[j][0] < p + width:
-                    inside[mine[j][1]] += 1
+            ranks = self.rank_of[k][known]
+            mine, ranks = at[ranks >= 0], ranks[ranks >= 0]
+            # only blocks that hold a seed can join: tokens farther than a block from all seeds are in no such block
+            i = np.searchsorted(seeds, mine)
+            left, right = mine - seeds[np.maximum(i - 1, 0)], seeds[np.minimum(i, len(seeds) - 1)] - mine
+            near = (np.abs(left) < width) | (np.abs(right) < width)
+            mine, ranks = mine[near], ranks[near]
+            if np.count_nonzero(np.bincount(ranks)) < need:
+                continue
+            # starts at which what a block holds can change
+            breaks = np.unique(np.concatenate([np.maximum(mine - width + 1, 0), mine + 1]))
+            places, ranks = mine.tolist(), ranks.tolist()
+            inside, i, j, runs, start, best = Counter(), 0, 0, [], None, 0
+            for s in breaks[breaks <= n - width].tolist():
+                while j < len(places) and places[j] < s + width:
+                    inside[ranks[j]] += 1
                     j += 1
+                while i < j and places[i] < s:
+                    inside[ranks[i]] -= 1
+                    if not inside[ranks[i]]:
+                        del inside[ranks[i]]
+                    i += 1
                 held = len(inside)
-                if held >= need and len(rank) - min(inside) >= need and held > best[0]:
-                    best = (held, i)
-                inside[r] -= 1
-                if not inside[r]:
-                    del inside[r]
-            if best[0]:
-                start = min(mine[best[1]][0], n - width)
-                out.append((label, k, start, start + width, best[0] / len(rank)))
+                if held >= need:
+                    start, best = (s, held) if start is None else (start, max(best, held))
+                elif start is not None:
+                    runs.append((best / len(rank), start, s - 1 + width))
+                    start = None
+            if start is not None:
+                runs.append((best / len(rank), start, n))
+            out += [(label, k, a, b, x) for x, a, b in sorted(runs)]
         return out
 
 

@@ -105,6 +105,33 @@ def test_license_join_is_exact(spark):
         assert {x[1]: x[4] for x in matcher.join(ids(w))} == want
 
 
+def test_license_join_finds_all_blocks():
+    """Runs of windows that meet a template, against every window of every text; copies of a notice each count."""
+    import random
+
+    random.seed(5)
+    vocab = "licensed under the apache license version 2 0 cc by nc 4 this work is gnu general public x y z".split()
+    texts = [random.choices(vocab + ["x"] * pad, k=random.randint(1, 150)) for pad in (0, 3, 12) for _ in range(100)]
+    notice = "Released under the MIT License".lower().split()
+    texts.append((notice + ["x"] * 30) * 3)
+    # a mention with most words, a whole notice, and one at each end of the text
+    texts.append(notice[1:] + ["x"] * 30 + notice + ["x"] * 30 + notice[:-1])
+    matcher = license_scan.Matcher({"the".encode(): 9, "license".encode(): 5})
+    for w in texts:
+        want = []
+        for k, (label, t) in enumerate(license_scan.TEMPLATES):
+            tokens = set(t.split())
+            width = min(2 * len(tokens), len(w))
+            held = [len(tokens & set(w[i : i + width])) / len(tokens) for i in range(len(w) - width + 1)]
+            good = [i for i, x in enumerate(held) if x >= license_scan.THRESHOLD]
+            for a in [i for i in good if i - 1 not in good]:
+                b = next(i for i in range(a, len(w)) if i + 1 not in good)
+                want.append((label, k, a, b + width, max(held[a : b + 1])))
+        ids = license_scan.np.array([matcher.vocab.get(x.encode(), 0) for x in w])
+        assert sorted(matcher.join(ids)) == sorted(want)
+    assert [x[1] for x in matcher.join(ids)] == [0, 0, 0]
+
+
 def test_bpe_equals_library(spark, docs):
     from tokenizers import Tokenizer
 
