@@ -21,44 +21,67 @@ LEAST_SCORE = 0.3
 ORACLE_SQL: str | None = None
 
 
+def _kept(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """doc_id, text and every column of docs (these two again, too) under names that no operator uses for its own."""
+    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns)}
+    quoted = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *quoted), names
+
+
+def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language; learned from the stage's own input, as the query is."""
+    """Drops documents without a language; learned from the stage's own input, as the query is.
+
+    Defined results: a row is judged by its text alone; a null, empty or letterless text goes; repeated rows and rows
+    without a doc_id share one decision; further columns stay, whatever their names; an empty table stays empty."""
     model = language_id.train(docs, ~language_id.held_out())
-    columns = [c for c in docs.columns if c != "doc_id"]
-    found = language_id.predict(docs, model, *columns)
-    keep = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)
-    return found.where(keep).select(*docs.columns)
+    rows, names = _kept(docs)
+    found = language_id.predict(rows, model, *names.values())
+    return _named(found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, the one with the smallest doc_id (null: the largest).
 
-    The join works on row numbers, so rows without a doc_id and rows that share one are compared like all others.
-    Rows without words are in no group; those that share a doc_id are kept once."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    nodes = rows.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").alias("_id"))
-    found = jaccard_join.near_duplicates(nodes, kept=("_id",))
-    wordless = (F.col("n_shingles") == 0) & F.col("_id").isNotNull()
-    group = F.struct(wordless.alias("wordless"), F.when(wordless, F.col("_id")).otherwise(F.col("component_id")).alias("of"))
-    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("doc_id").alias("row"))
-    first = found.groupBy(group.alias("group")).agg(F.min(rank)["row"].alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    Defined results: the join works on row numbers, so rows without a doc_id and rows that share one are compared like
+    all others. Rows without words are in no group; those that share a doc_id are kept once. Further columns stay."""
+    rows, names = _kept(docs)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    nodes = rows.select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("id"))
+    found = jaccard_join.near_duplicates(nodes, kept=("id",))
+    wordless = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    group = F.struct(wordless.alias("wordless"), F.when(wordless, F.col("id")).otherwise(F.col("component_id")).alias("of"))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("doc_id").alias("row"))
+    first = found.groupBy(group.alias("group")).agg(F.min(rank)["row"].alias("row"))
+    return _named(rows.join(first, "row", "left_semi"), names)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the words of passages that a document with a smaller doc_id has; drops a document that has no others."""
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spans = phrase_dedup.repeated_spans(docs, kept=columns)
-    out = phrase_dedup.kept_texts(spans, "removed", *columns).where("text is null or text != ''")
-    length = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", length).select(*docs.columns)
+    """Removes the words of passages that a document with a smaller doc_id has; drops a document that has no others.
+
+    Defined results: rows that share a doc_id are one document's rows; a null doc_id is the largest; a null text stays,
+    an empty one goes; an untouched text stays as it is, another one keeps its words joined by one space and n_chars is
+    its new length; further columns stay."""
+    rows, names = _kept(docs)
+    spans = phrase_dedup.repeated_spans(rows, kept=list(names.values()))
+    out = phrase_dedup.kept_texts(spans, "removed", *names.values()).where("text is null or text != ''")
+    new = {"text": F.col("text")}
+    if "n_chars" in names:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size("removed") > 0, length).otherwise(F.col(names["n_chars"]))
+    return out.select(*(new.get(c, F.col(n)).alias(c) for c, n in names.items()))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a benchmark passage."""
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), kept=columns)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    """Removes documents that hold a benchmark passage.
+
+    Defined results: each row is judged by its text; a null or wordless text is clean; further columns stay."""
+    rows, names = _kept(docs)
+    found = decontaminate.contamination(rows, read(spark, sf_dir, "benchmark"), kept=list(names.values()))
+    return _named(found.where(F.size("spans") == 0), names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline on a small fixture: each stage against what a plain version of its decision keeps."""
 
+from pyspark.sql import functions as F
 from tests.llm import brute
 
 import corpus_pipeline as P
@@ -30,6 +31,8 @@ def test_stages(spark):
             left = {d: (n, gone) for d, n, gone, _ in brute.repeated_words(rows)}
             assert set(texts(docs)) == {d for d, (n, gone) in left.items() if n > gone or not gone and before[d]}
             assert all(t == before[d] for d, t in texts(docs).items() if not left[d][1])
+            kept = {d: sha for d, _, gone, sha in brute.repeated_words(rows) if gone}
+            assert all(brute.sha(t) == kept[d] for d, t in texts(docs).items() if d in kept)
         elif name == "decontaminate":
             assert set(texts(docs)) == {x[0] for x in brute.decontaminate(rows, items) if not x[5]}
         else:
@@ -64,3 +67,30 @@ def test_null_and_repeated_doc_ids(spark, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = P.benchmark_passages(spark, alone, str(tmp_path))
     assert plain(clean) == sorted([x for x in want if leak not in (x[1] or "")], key=str) and clean.columns == docs.columns
+
+
+def test_clashing_columns_and_empty_table(spark, tmp_path):
+    """Further columns whose names the operators use themselves stay as they are; an empty table stays empty."""
+    extra = ["score", "lang_pred", "_text", "row", "_row", "id", "removed", "spans", "items", "n_words", "kept_0", "passages", "key", "a.b"]
+    docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in extra))
+    docs = cut(docs, "docs")
+    for name, stage in P.STAGES:
+        out = cut(stage(spark, docs, D), name)
+        empty = stage(spark, docs.where("doc_id < 0"), D)
+        assert empty.count() == 0 and empty.columns == out.columns
+        if name != "bpe":
+            assert out.columns == docs.columns and out.count()
+            assert all(r[c] == f"{c} {r['doc_id']}" for r in out.collect() for c in extra)
+            docs = out
+
+
+def test_whole_texts(spark):
+    """A very long text goes through every stage whole, and a changed text is exactly what is left of it."""
+    long = " ".join(f"the{i % 9973} and of to in water{i}" for i in range(40_000))
+    passage = " ".join(f"common{i} the of and" for i in range(30))
+    rows = [(1, f"the first of the texts {passage} ends here"), (2, f"{long}  {passage}\nand the last words of it"), (3, "the end of it and of all")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = texts(P.repeated_passages(spark, docs, D))
+    left = {d: kept for d, _, gone, kept in brute.repeated_words(rows) if gone}
+    assert set(left) == {2} and brute.sha(out[2]) == left[2] and out[1] == rows[0][1] and out[3] == rows[2][1]
