@@ -22,14 +22,16 @@ ORACLE_SQL: str | None = None
 
 
 def _kept(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """doc_id, text and every column of docs (these two again, too) under names that no operator uses for its own."""
-    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns)}
+    """doc_id, text and the other columns of docs, these under names that no operator uses for its own."""
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     quoted = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *quoted), names
 
 
-def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
+def _like(docs: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rows with the columns of docs, in their order and under their own names."""
+    of = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType)}
+    return rows.select(*(of.get(c, F.col(names.get(c, c))).alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a doc_id share one decision; further columns stay, whatever their names; an empty table stays empty."""
     model = language_id.train(docs, ~language_id.held_out())
     rows, names = _kept(docs)
-    found = language_id.predict(rows, model, *names.values())
-    return _named(found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)), names)
+    found = language_id.predict(rows, model, "text", *names.values())
+    return _like(docs, found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group = F.struct(wordless.alias("wordless"), F.when(wordless, F.col("id")).otherwise(F.col("component_id")).alias("of"))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("doc_id").alias("row"))
     first = found.groupBy(group.alias("group")).agg(F.min(rank)["row"].alias("row"))
-    return _named(rows.join(first, "row", "left_semi"), names)
+    return _like(docs, rows.join(first, "row", "left_semi"), names)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +70,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows, names = _kept(docs)
     spans = phrase_dedup.repeated_spans(rows, kept=list(names.values()))
     out = phrase_dedup.kept_texts(spans, "removed", *names.values()).where("text is null or text != ''")
-    new = {"text": F.col("text")}
-    if "n_chars" in names:
+    if own := names.get("n_chars"):
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(F.size("removed") > 0, length).otherwise(F.col(names["n_chars"]))
-    return out.select(*(new.get(c, F.col(n)).alias(c) for c, n in names.items()))
+        out = out.withColumn(own, F.when(F.size("removed") > 0, length).otherwise(F.col(own)))
+    return _like(docs, out, names)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Defined results: each row is judged by its text; a null or wordless text is clean; further columns stay."""
     rows, names = _kept(docs)
     found = decontaminate.contamination(rows, read(spark, sf_dir, "benchmark"), kept=list(names.values()))
-    return _named(found.where(F.size("spans") == 0), names)
+    return _like(docs, found.where(F.size("spans") == 0), names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

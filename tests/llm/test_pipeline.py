@@ -71,7 +71,7 @@ def test_null_and_repeated_doc_ids(spark, tmp_path):
 
 def test_clashing_columns_and_empty_table(spark, tmp_path):
     """Further columns whose names the operators use themselves stay as they are; an empty table stays empty."""
-    extra = ["score", "lang_pred", "_text", "row", "_row", "id", "removed", "spans", "items", "n_words", "kept_0", "passages", "key", "a.b"]
+    extra = ["score", "lang_pred", "_text", "row", "_row", "id", "removed", "spans", "items", "n_words", "kept_0", "own_3", "passages", "key", "a.b"]
     docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 60")
     docs = docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in extra))
     docs = cut(docs, "docs")
