@@ -17,9 +17,20 @@ _ALNUM = bytes(
 )
 #: Text bytes that are held as Python words at once.
 PIECE_BYTES = 1 << 21
+#: Rows and bytes of the Arrow batches that travel to Python at most (a longer row is a batch of its own).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so that a worker's memory does not follow the length of the rows."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -47,6 +58,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share; it goes when the JVM ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="driftspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/driftspark-{uuid.uuid4().hex}"
@@ -59,10 +72,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame as a table in shared scratch space and reads it again: lineage ends here and lost executors lose nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}"
+    """Writes a frame as a table in shared scratch space and reads it again: lineage ends here and lost executors lose nothing.
+
+    Spark deletes a shuffle's files once its driver's collector finds that nothing refers to it; asking for a collection
+    here keeps the shuffles of finished steps from piling up on the executors' disks."""
+    spark = df.sparkSession
+    small_batches(spark)
+    path = f"{scratch_dir(spark)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.java.lang.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pieces(sizes: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
@@ -86,6 +105,7 @@ def text_bytes(column: pa.Array) -> tuple[list[bytes | None], np.ndarray]:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to one batch."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -135,6 +155,7 @@ _LIBC = _libc()
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column over all rows: one cheap aggregate, used only to size partitions."""
+    small_batches(df.sparkSession)
     return df.select(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 

@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import lean
+from driftspark.llm._common import lean, small_batches
 
 #: Words a task remembers; it forgets them all when there are more.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how a normalised text is split into words.
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -174,6 +174,7 @@ class Coder:
 
 def _coded(documents: DataFrame, vocabulary: str, batch, schema: str) -> DataFrame:
     """``batch(coder, record batch)`` over documents; a task has one coder, which goes with it."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
 
     def run(batches):

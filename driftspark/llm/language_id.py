@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import crc_mod, lean, trim
+from driftspark.llm._common import crc_mod, lean, small_batches, trim
 
 UND = "und"
 SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 150, 400_000, 64
@@ -222,6 +222,7 @@ def train(documents: DataFrame, learn_from) -> Model:
 
 def predict(documents: DataFrame, model: Model, *kept: str) -> DataFrame:
     """doc_id, lang_pred, score and the columns named in ``kept`` for every document; only texts are looked at."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *kept, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema[:-1])
