@@ -3,14 +3,17 @@
 The automaton accepts exactly the token sequences that BPE yields. It starts as one state with an arc for every base
 symbol; each merge (u, v), in rank order, splices in a gadget: the state q behind u is replaced, for u, by a copy
 without the arc v, and every state that has u gets an arc uv to where v leads. All arcs of one token lead to one state,
-so a state is stored as the bit set of its outgoing tokens and a token as the state that it leads to. Encoding a
-pre-split word walks the words' positions: the canonical sequence of every prefix is unique, so exactly one arc into
-each position comes from a live state, and the table says which. Decoding emits the arcs' labels.
+so a state is stored as the bit set of its outgoing tokens (tokens that the same states allow share a bit) and a token as
+the state that it leads to. Encoding a pre-split word is one pass over its bytes by tables: a goto table over all tokens'
+labels (with failure links) moves by one byte and names the tokens that end there, longest first; the canonical sequence
+of every prefix is unique, so exactly one of them is an arc out of the live state where it starts, and the bit sets say
+which. Decoding emits the arcs' labels.
 
 The tables have at most one state per token that is ever the left half of a merge (some thousands), whatever the data.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; repeated rows are kept; further
-columns are ignored; a document is encoded whole, whatever its length, and words of any length take linear time.
+columns are ignored; an empty table gives no rows; a document is encoded whole, whatever its length, and words of any
+length take linear time; a vocabulary file with another normaliser, splitter or decoder than ``RULES`` raises.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,20 @@ CACHE_WORDS = 150_000
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how a normalised text is split into words.
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: What a vocabulary file says of these rules, which are written out below.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+#: What is added to a word's last byte: tokens with a word end have symbols of their own.
+LAST_BYTE = 256
 SCHEMA = "doc_id long, text string, ids binary, decoded string"
 
 
@@ -43,22 +62,49 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """Compiled merges: ``rows[state]`` is the bit set of allowed tokens, ``leads[token]`` the state behind a token."""
+    """Compiled merges. ``rows[state]`` is the bit set of allowed token classes, ``group[token]`` a token's class and
+    ``leads[token]`` the state behind it. ``symbols`` and ``first`` are the goto table (the edges of node i are
+    ``first[i]`` to ``first[i + 1]``, edge k leads to node k + 1), ``fail`` its failure links; ``token``, ``shorter`` and
+    ``depth`` give a node's token, the next node with a shorter one, and its length."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if other := [k for k, v in RULES.items() if spec.get(k) != v]:
+            raise ValueError(f"{path}: unsupported {', '.join(other)}")
         model = spec["model"]
-        self.end = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
+        end, ids = model["end_of_word_suffix"], model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        n = max([*self.ids.values(), *self.special.values()]) + 1
+        n = max([*ids.values(), *self.special.values()]) + 1
         self.labels = [""] * n
-        for text, i in [*self.ids.items(), *self.special.items()]:
+        for text, i in [*ids.items(), *self.special.items()]:
             self.labels[i] = text
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self._compile([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in merges], n)
+        self._compile([(ids[a], ids[b], ids[a + b]) for a, b in merges], n)
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        words = {}
+        for text, t in ids.items():
+            if text not in self.special:
+                *most, last = (byte[c] for c in text.removesuffix(end))
+                words[(*most, last + LAST_BYTE * text.endswith(end))] = t
+        self._spell(words)
+
+    def _spell(self, words: dict[tuple[int, ...], int]) -> None:
+        """The goto table of all tokens' symbols, nodes numbered level by level."""
+        prefixes = sorted({w[:k] for w in words for k in range(1, len(w) + 1)}, key=lambda w: (len(w), w))
+        node = {(): 0}
+        for w in prefixes:
+            node[w] = len(node)
+        # levels are sorted by prefix, so a node's edges are neighbours and edge k leads to node k + 1
+        self.symbols = array("H", (w[-1] for w in prefixes))
+        count = np.bincount([node[w[:-1]] for w in prefixes], minlength=len(node))
+        self.first = array("i", np.concatenate(([0], np.cumsum(count))).tolist())
+        self.depth = array("H", [0, *map(len, prefixes)])
+        self.token = array("i", [-1, *(words.get(w, -1) for w in prefixes)])
+        self.fail, self.shorter = array("i", [0]) * len(node), array("i", [0]) * len(node)
+        for w in prefixes:
+            at, up = node[w], next(node[w[k:]] for k in range(1, len(w) + 1) if w[k:] in node)
+            self.fail[at], self.shorter[at] = up, up if self.token[up] >= 0 else self.shorter[up]
 
     def _compile(self, merges: list[tuple[int, int, int]], n: int) -> None:
         made = {uv for _, _, uv in merges}
@@ -105,27 +151,55 @@ class Automaton:
         # states with equal arcs are one state
         seen: dict[bytes, int] = {}
         same = np.array([seen.setdefault(table[s].tobytes(), len(seen)) for s in live.tolist()])
-        self.rows = list(seen)
-        self.leads = same[leads[1:]].tolist()
+        self.leads = array("i", same[leads[1:]].tolist())
         self.start = int(same[leads[0]])
-
-    def encode_word(self, symbols: str) -> list[int]:
-        """Tokens of a pre-split word, given as byte symbols."""
-        n, get, leads, rows = len(symbols), self.ids.get, self.leads, self.rows
-        state = [self.start] + [-1] * n
-        token = [0] * (n + 1)
-        back = [0] * (n + 1)
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                t = get(symbols[j:i] + tail)
-                if t is not None and state[j] >= 0 and rows[state[j]][t >> 3] >> (t & 7) & 1:
-                    state[i], token[i], back[i] = leads[t], t, j
+        # tokens that the same states allow are one class: columns of the table that are equal
+        states = np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), -1)
+        group: dict[bytes, int] = {}
+        self.group = array("i", [0]) * n
+        kept = []
+        for low in range(0, n, 512):
+            columns = np.unpackbits(states[:, low >> 3 : (low + 512) >> 3], axis=1, bitorder="little").T
+            for t, column in enumerate(np.packbits(columns, axis=1, bitorder="little")[: n - low], low):
+                key = hashlib.sha256(raw := column.tobytes()).digest()
+                if key not in group:
+                    group[key] = len(group)
+                    kept.append(np.frombuffer(raw, np.uint8))
+                self.group[t] = group[key]
+        del seen, table
+        back = lambda x: np.packbits(np.unpackbits(np.array(x), axis=1, count=len(states), bitorder="little").T, axis=1, bitorder="little")
+        bits = np.hstack([back(kept[i : i + 512]) for i in range(0, len(kept), 512)])
+        self.rows = [r.tobytes() for r in bits]
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """Tokens of a pre-split word."""
+        symbols, first, fail, token, shorter, depth = self.symbols, self.first, self.fail, self.token, self.shorter, self.depth
+        rows, group = self.rows, self.group
+        path = [*word[:-1], word[-1] + LAST_BYTE]
+        state = [self.start] + [-1] * len(path)
+        node = 0
+        into, back = [0] * len(state), [0] * len(state)
+        for i, x in enumerate(path, 1):
+            while True:
+                top = first[node + 1]
+                k = bisect_left(symbols, x, first[node], top)
+                if k < top and symbols[k] == x:
+                    node = k + 1
+                    break
+                if not node:
+                    break
+                node = fail[node]
+            at = node if token[node] >= 0 else shorter[node]
+            while at:
+                t, j = token[at], i - depth[at]
+                g = group[t]
+                if state[j] >= 0 and rows[state[j]][g >> 3] >> (g & 7) & 1:
+                    state[i], into[i], back[i] = self.leads[t], t, j
                     break
-        out = []
-        i = n
+                at = shorter[at]
+        out, i = [], len(path)
         while i:
-            out.append(token[i])
+            out.append(into[i])
             i = back[i]
         return out[::-1]
 
@@ -135,13 +209,12 @@ class Coder:
 
     def __init__(self, automaton: Automaton):
         self.a = automaton
-        self.symbols = byte_symbols()
         self.known: dict[str, bytes] = {}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, automaton.special)) + ")")
         self.marks = tuple(automaton.special)
 
     def _word(self, word: str) -> bytes:
-        ids = self.a.encode_word("".join([self.symbols[b] for b in word.encode()]))
+        ids = self.a.encode_word(word.encode())
         out = self.known[word] = np.array(ids, "<u4").tobytes()
         return out
 
