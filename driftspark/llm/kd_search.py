@@ -7,12 +7,13 @@ score so far stay closed (equal bounds are opened, as ties go to smaller ids).
 
 Queries travel in blocks. A block first visits one home shard; the kth scores found there go with it to all other
 shards, so that these open only what can still matter, and send only scores that reach the kth. Shards and blocks have a
-fixed number of rows; every pair of a block and a shard is one task's work, whatever the number of vectors.
+fixed number of rows. A shard stays in one task, which builds its tree once and answers block after block as they come,
+so memory holds one tree and one block, and what travels is each shard twice and each block once for every shard.
 
-Defined results: a vector that is null or empty, holds a null or non-finite component, has a null vec_id, or a component
-beyond +-2**27 after scaling (whose products could leave the range of a long) takes no part; vectors of different
-lengths are not compared; rows that share the query's vec_id are its own; repeated candidates count repeatedly; further
-columns are ignored.
+Defined results: a vector that is null or empty, holds a null or non-finite component, or has a null vec_id takes no
+part; vectors of different lengths are not compared; rows that share the query's vec_id are its own; repeated candidates
+count repeatedly; sums are exact whatever the components' size, and a scaled component or a score beyond the range of a
+long counts as the nearest long; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ K = 20
 SHARD_ROWS = 16384
 BLOCK_ROWS = 1024
 LEAF = 256
-LIMIT = 1 << 27
-_LOW = -(2**62)
+_LOW, _HIGH = -(2**63), 2**63 - 1
 
 
 class Tree:
-    """Median splits down to leaves; ``low`` and ``high`` are the boxes of the nodes, ``span`` the rows of each."""
+    """Median splits down to leaves; ``low`` and ``high`` are the boxes of the nodes, ``span`` the rows of each.
+
+    Rows are 64-bit integers. ``use`` chooses the numbers to count with: doubles where they are exact, else 64-bit
+    integers, else Python's."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
         order = np.arange(len(rows))
@@ -50,19 +53,30 @@ class Tree:
             span.append((a, b))
             child.append(())
             if b - a > leaf:
-                d = int(np.argmax(high[node] - low[node]))
+                d = int(np.argmax(high[node].astype(float) - low[node]))
                 mid = (b - a) // 2
                 order[a:b] = order[a:b][np.argpartition(part[:, d], mid)]
                 child[node] = (build(a, a + mid), build(a + mid, b))
             return node
 
         build(0, len(rows))
-        self.ids, self.rows = ids[order], rows[order]
-        self.low, self.high, self.span, self.child = np.array(low), np.array(high), span, child
+        self.ids, self.span, self.child = ids[order], span, child
+        self.whole = (rows[order], np.array(low), np.array(high))
+        self.most = max(abs(int(self.whole[1].min())), abs(int(self.whole[2].max())))
+        self.typed: dict = {}
+
+    def use(self, queries: np.ndarray) -> np.ndarray:
+        """The queries in the numbers that their products with this tree need."""
+        reach = max(abs(int(queries.min())), abs(int(queries.max()))) * self.most * queries.shape[1]
+        kind = np.float64 if reach < 1 << 52 else np.int64 if reach < 1 << 63 else object
+        if kind not in self.typed:
+            self.typed = {kind: [x.astype(kind) for x in self.whole]}
+        self.rows, self.low, self.high = self.typed[kind]
+        return queries.astype(kind)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Largest possible inner product of each query (row) with each node (column)."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return within(np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T)
 
     def search(self, own: int, query: np.ndarray, bound: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
         """(score, vec_id) of the k best rows of the tree with a score of ``least`` or more, in no order."""
@@ -79,7 +93,7 @@ class Tree:
                         heappush(heap, (-bound[c], c))
                 continue
             a, e = self.span[node]
-            scores = self.rows[a:e] @ query
+            scores = within(self.rows[a:e] @ query)
             at = np.flatnonzero(scores >= kth)
             for s, i in zip(scores[at].tolist(), self.ids[a:e][at].tolist(), strict=True):
                 if i == own:
@@ -93,13 +107,18 @@ class Tree:
         return [(s, -i) for s, i in best]
 
 
+def within(scores: np.ndarray) -> np.ndarray:
+    """Scores in the range of a long; only Python's integers can leave it."""
+    return np.minimum(np.maximum(scores, _LOW), _HIGH) if scores.dtype == object else scores
+
+
 def scaled(embeddings: DataFrame) -> DataFrame:
     """vec_id, dim, v (array of longs) of the vectors that take part."""
     whole = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
-    x = F.transform("e", lambda c: c.cast("double") * 64)
-    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LIMIT)
-    whole = whole.withColumn("x", x).where("vec_id is not null and size(e) > 0").where(F.forall("x", fine))
-    return whole.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c).cast("long")).alias("v"))
+    whole = whole.withColumn("e", F.transform("e", lambda c: c.cast("double")))
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    whole = whole.where("vec_id is not null and size(e) > 0").where(F.forall("e", fine))
+    return whole.select("vec_id", F.size("e").alias("dim"), F.transform("e", lambda c: F.floor(c * 64).cast("long")).alias("v"))
 
 
 BLOB = "dim int, part int, ids binary, data binary"
@@ -112,7 +131,8 @@ def _packed(rows: DataFrame, part) -> DataFrame:
         got = list(batches)
         first = got[0]
         ids = np.concatenate([b.column("vec_id").to_numpy(zero_copy_only=False) for b in got])
-        data = np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False) for b in got]).astype("<i4")
+        data = np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False) for b in got])
+        data = data.astype("<i4" if -(2**31) <= data.min() and data.max() < 2**31 else "<i8")
         yield pa.RecordBatch.from_arrays(
             [
                 first.column("dim")[:1],
@@ -128,50 +148,56 @@ def _packed(rows: DataFrame, part) -> DataFrame:
 
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], "<i8")
-    data = np.frombuffer(row["data"], "<i4").reshape(len(ids), row["dim"])
-    wide = float(np.abs(data.astype(np.int64)).max(initial=0)) ** 2 * row["dim"] >= 2.0**52
-    return ids, data.astype(np.int64 if wide else np.float64)
+    wide = len(row["data"]) == 8 * len(ids) * row["dim"]
+    return ids, np.frombuffer(row["data"], "<i8" if wide else "<i4").reshape(len(ids), row["dim"]).astype(np.int64)
 
 
 CELL = "dim int, part int, ids binary, data binary, kth binary, is_query boolean, shard int, block int"
 FOUND = "dim int, block int, ids binary, data binary, kth binary, query_id long, vec_id long, score long"
 
 
-def _visit(cells: DataFrame, k: int, carry: bool) -> DataFrame:
-    """Searches each cell's shard for its block. With ``carry``, blocks come out again, with their kth scores."""
+def _answer(block: dict, tree: Tree | None, k: int, carry: bool) -> pa.RecordBatch:
+    """What a block finds in a shard's tree, and with ``carry`` the block again, with its kth scores."""
+    ids, queries = _arrays(block)
+    kth = np.frombuffer(block["kth"], "<i8").copy() if block["kth"] else np.full(len(ids), _LOW, np.int64)
+    found: list[tuple[int, int, int]] = []
+    if tree is not None:
+        queries = tree.use(queries)
+        bounds = tree.bounds(queries)
+        for n, (own, q) in enumerate(zip(ids.tolist(), queries, strict=True)):
+            best = tree.search(own, q, bounds[n], k, int(kth[n]))
+            found += [(own, i, s) for s, i in best]
+            if len(best) == k:
+                kth[n] = max(int(kth[n]), min(s for s, _ in best))
+    n = len(found)
+    q, i, s = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+    if carry:
+        blob = [block["dim"], block["block"], block["ids"], block["data"], kth.astype("<i8").tobytes()]
+        columns = [[x] + [None] * n for x in blob] + [[None] + q, [None] + i, [None] + s]
+    else:
+        columns = [[None] * n] * 5 + [q, i, s]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def _visit(cells: DataFrame, n_shards: int, k: int, carry: bool) -> DataFrame:
+    """Searches each shard for its blocks. The shard's own row comes first, then its blocks, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        block = next((r for r in rows if r["is_query"]), None)
-        shard = next((r for r in rows if not r["is_query"]), None)
-        if block is None:
-            return
-        ids, queries = _arrays(block)
-        kth = np.frombuffer(block["kth"], "<i8").copy() if block["kth"] else np.full(len(ids), _LOW, np.int64)
-        found: list[tuple[int, int, int]] = []
-        if shard is not None:
-            members, data = _arrays(shard)
-            if data.dtype != queries.dtype:
-                data, queries = data.astype(np.int64), queries.astype(np.int64)
-            tree = Tree(members, data)
-            bounds = tree.bounds(queries)
-            for n, (own, q) in enumerate(zip(ids.tolist(), queries, strict=True)):
-                best = tree.search(own, q, bounds[n], k, int(kth[n]))
-                found += [(own, i, s) for s, i in best]
-                if len(best) == k:
-                    kth[n] = max(kth[n], min(s for s, _ in best))
-        n = len(found)
-        q, i, s = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-        if carry:
-            blob = [block["dim"], block["block"], block["ids"], block["data"], kth.astype("<i8").tobytes()]
-            columns = [[x] + [None] * n for x in blob] + [[None] + q, [None] + i, [None] + s]
-        else:
-            columns = [[None] * n] * 5 + [q, i, s]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in FOUND.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    return cells.groupBy("dim", "shard", "block").applyInArrow(lean(run), FOUND)
+        at, tree = None, None
+        for b in batches:
+            for n in range(b.num_rows):
+                row = {c: b.column(c)[n].as_py() for c in b.schema.names}
+                if (row["dim"], row["shard"]) != at:
+                    at, tree = (row["dim"], row["shard"]), None
+                if row["is_query"]:
+                    yield _answer(row, tree, k, carry)
+                else:
+                    tree = Tree(*_arrays(row))
+
+    dealt = cells.repartition(2 * n_shards, "dim", "shard").sortWithinPartitions("dim", "shard", "is_query", "block")
+    return dealt.mapInArrow(lean(run), FOUND)
 
 
 def top_k(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
@@ -186,29 +212,20 @@ def top_k(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     blocks = cut(_packed(table.where(is_query), hashed(2, n_blocks)), "blocks")
     none = F.lit(None).cast("binary")
 
-    def cells(queries: DataFrame, visits, shard_blocks) -> DataFrame:
-        """One row for a cell's block, one for its shard; ``visits``: shards of a block, ``shard_blocks``: the inverse."""
+    members = shards.select("dim", "part", "ids", "data", none.alias("kth"), F.lit(False).alias("is_query"), F.col("part").alias("shard"), F.lit(-1).alias("block"))
+
+    def cells(queries: DataFrame, visits) -> DataFrame:
+        """The shards, and each block once for every shard that it visits."""
         left = queries.select("dim", "part", "ids", "data", "kth", F.lit(True).alias("is_query"), F.explode(visits).alias("shard"), F.col("part").alias("block"))
-        right = shards.select("dim", "part", "ids", "data", none.alias("kth"), F.lit(False).alias("is_query"), F.col("part").alias("shard"), F.explode(shard_blocks).alias("block"))
-        return left.union(right)
-
-    all_shards, all_blocks = F.sequence(F.lit(0), F.lit(n_shards - 1)), F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    home = lambda block: F.pmod(block, F.lit(n_shards)).cast("int")
-    first = cells(
-        blocks.withColumn("kth", none),
-        F.array(home(F.col("part"))),
-        F.filter(all_blocks, lambda b: home(b) == F.col("part")),
-    )
-    first = cut(_visit(first, k, carry=True), "home")
-    carried = first.where("block is not null").select("dim", F.col("block").alias("part"), "ids", "data", "kth")
+        return members.union(left)
+
+    home = F.pmod("part", F.lit(n_shards)).cast("int")
+    first = cut(_visit(cells(blocks.withColumn("kth", none), F.array(home)), n_shards, k, carry=True), "home")
     found = first.where("query_id is not null").select("query_id", "vec_id", "score")
     if n_shards > 1:
-        rest = cells(
-            carried,
-            F.filter(all_shards, lambda s: s != home(F.col("part"))),
-            F.filter(all_blocks, lambda b: home(b) != F.col("part")),
-        )
-        found = found.union(_visit(rest, k, carry=False).select("query_id", "vec_id", "score"))
+        carried = first.where("block is not null").select("dim", F.col("block").alias("part"), "ids", "data", "kth")
+        others = F.filter(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: s != home)
+        found = found.union(_visit(cells(carried, others), n_shards, k, carry=False).select("query_id", "vec_id", "score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
