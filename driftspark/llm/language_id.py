@@ -5,12 +5,14 @@ word itself where a language's lexicon (its most frequent training words) holds
 neighbouring words, so a text that switches languages changes label where its words do. Forward-backward gives each
 word's label probabilities; a text's language is the one with the largest sum of them, and the score is their mean.
 
-Training takes a bounded sample of labelled documents: per language about ``SAMPLE_DOCS`` whole texts, the ones with the
-smallest hashes of their doc_id, of at most ``SAMPLE_BYTES`` together; and at most ``LANGUAGES`` languages, the most
-frequent. Everything else covers all rows.
-
-Defined results: a null text or one without a letter is ``und`` with score 0; without any training document every text
-is ``und``; a null doc_id counts as held out; repeated rows are kept; further columns are ignored.
+Training takes a bounded sample of labelled documents: about ``SAMPLE_DOCS`` whole texts of at most ``SAMPLE_BYTES``
+together, shared equally by all languages that occur (one text each at least): those with the smallest hashes of their
+doc_id, a text that would take more than an eighth of its language's bytes only where there is no other. Everything
+else covers all rows. The model's size follows the number of languages.
+
+Defined results: a null text or one without a letter (Unicode L*) is ``und`` with score 0; without any training document
+every text is ``und``; a null doc_id counts as held out; repeated rows are kept; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from driftspark.llm._common import crc_mod, lean, small_batches, trim
 
 UND = "und"
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 150, 400_000, 64
+SAMPLE_DOCS, SAMPLE_BYTES = 600, 1_600_000
 LEXICON, FEATURES = 2000, 200_000
 CHUNK = 80
+#: Values of the hash that orders documents.
+PLACES = 1_000_000_007
 ROUNDS, RATE, DECAY = 40, 0.4, 1e-5
 CACHE_WORDS = 200_000
 #: Words that are labelled at once.
@@ -38,7 +42,11 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def split(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters; numbers that are no decimal digits (such as fractions) are no letters either."""
+    words = _WORDS.findall(text.lower())
+    if text.isascii():
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def features(word: str, lexicon: frozenset[str] | set[str]) -> list[str]:
@@ -203,18 +211,20 @@ class Model:
 def train(documents: DataFrame, learn_from) -> Model:
     """A model of documents (doc_id, text, lang) that meet a condition, from a bounded sample."""
     labelled = documents.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labelled = labelled.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    # twice the expected number, then the smallest hashes of what that leaves
-    share = {r["lang"]: min(1.0, 2.0 * SAMPLE_DOCS / r["count"]) for r in counts}
-    near = F.lit(False)
-    for lang, x in share.items():
-        near = near | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000_007)) < int(x * 1_000_000_007) + 1))
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000_007)), "h", "text")
-    size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    sample = labelled.where(near).withColumn("n", F.row_number().over(order)).withColumn("size", size)
-    sample = sample.where((F.col("n") <= SAMPLE_DOCS) & ((F.col("size") <= SAMPLE_BYTES) | (F.col("n") == 1)))
-    rows = sample.select("text", "lang").collect() if share else []
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place")
+    labelled = labelled.select("text", F.col("lang").cast("string").alias("lang"), F.octet_length("text").alias("size"), place)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    docs, size = max(1, SAMPLE_DOCS // max(1, len(counts))), SAMPLE_BYTES // max(1, len(counts))
+    # twice the expected number, then the first of what that leaves
+    shares = documents.sparkSession.createDataFrame(
+        [(r["lang"], min(PLACES, 2 * docs * PLACES // r["n"] + 1)) for r in counts], "lang string, share long"
+    )
+    near = labelled.join(F.broadcast(shares), "lang").where("place < share")  # the driver has just held it
+    long = F.when(F.col("size") > size // 8, F.col("size")).otherwise(0)
+    order = Window.partitionBy("lang").orderBy(long, "place", "text")
+    together = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sample = near.withColumn("n", F.row_number().over(order)).withColumn("together", together)
+    rows = sample.where((F.col("n") <= docs) & ((F.col("together") <= size) | (F.col("n") == 1))).select("text", "lang").collect()
     model = Model(sorted((r["text"], r["lang"]) for r in rows))
     trim()
     return model
