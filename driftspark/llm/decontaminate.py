@@ -14,7 +14,7 @@ returned if asked for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -77,15 +77,15 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return h[:, None]
 
 
-def _chunks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """Items in chunks of bounded text; one chunk at a time comes to the driver."""
+def _chunks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The number of chunks of bounded text and the chunks; one at a time comes to the driver."""
     table = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")
     ).where(F.col("text").isNotNull())
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (CHUNK_BYTES // 2)))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r["item"], bytes(r["text"])) for r in table.where(part == k).collect()] for k in range(n)]
+    return n, ([(r["item"], bytes(r["text"])) for r in table.where(part == k).collect()] for k in range(n))
 
 
 def scan(documents: DataFrame, items: list[tuple[str, bytes]], window: int = WINDOW) -> DataFrame:
@@ -155,10 +155,10 @@ def contamination(
         F.lit(None).cast("array<int>").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
     )
-    chunks = _chunks(benchmark)
+    n, chunks = _chunks(benchmark)
     for k, items in enumerate(chunks):
         out = scan(out, items, window)
-        if k + 1 < len(chunks):
+        if k + 1 < n:
             out = cut(out, "contamination")
     return out.withColumnsRenamed({n: c for c, n in own.items()})
 
