@@ -157,14 +157,16 @@ def _ask(documents: DataFrame, n_shards: int, length: int, hot: np.ndarray) -> D
 
 
 def _ask_strings(contexts: DataFrame, n_shards: int, length: int) -> DataFrame:
-    """Strings of ``length`` bytes that hold the anchor of a context, each as its own anchor and context."""
+    """Strings of ``length`` bytes that hold the anchor of a context, each as anchor and context: two independent hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = _Buffer(n_shards, np.zeros(0, np.uint64))
         for b in batches:
             for doc, key, start, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "start", "context")), strict=True):
-                h = gram_hashes(mix(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)), length, _M2)
-                buffer.add(h, h, start + np.arange(len(h)), doc, key, start + len(text))
+                raw = np.frombuffer(text, np.uint8).astype(np.uint64)
+                h = gram_hashes(mix(raw + np.uint64(1)), length, _M2)
+                other = gram_hashes(mix(raw + np.uint64(977)), length, _M1)
+                buffer.add(h, other, start + np.arange(len(h)), doc, key, start + len(text))
                 if buffer.held >= BUFFER:
                     yield buffer.flush()
         if buffer.held:
@@ -342,13 +344,15 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, most: int = MOST
     strings = not found.where("kind = 2").isEmpty()
     if strings:
         fetched = cut(fetched, "contexts")
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int").alias("shard")
+    size = found.where("kind = 1").agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(parts_for(size, SHARD_BYTES))).cast("int").alias("shard")
     few = fetched.where("kind = 1").select(shard, "anchor", "doc_id", "key", "start", "context").groupBy("shard")
     parts = [found.where("kind = 0"), cut(few.applyInArrow(lean(_sort(length)), RANGES), "sorted")]
     if strings:
         each = _ask_strings(fetched.where("kind = 2"), n_shards, length).groupBy("shard")
         nothing = np.zeros(0, np.uint64)
-        parts.append(cut(each.applyInArrow(lean(_settle(0, length, nothing, 1)), RANGES), "strings"))
+        settled = each.applyInArrow(lean(_settle(0, length, nothing, 1)), RANGES)
+        parts.append(cut(settled.where("kind = 0"), "strings"))
     return reduce(DataFrame.union, parts).select(whole.alias("doc_id"), "key", "start", "stop")
 
 
