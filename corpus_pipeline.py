@@ -68,11 +68,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     an empty one goes; an untouched text stays as it is, another one keeps its words joined by one space and n_chars is
     its new length; further columns stay."""
     rows, names = _kept(docs)
-    spans = phrase_dedup.repeated_spans(rows, kept=list(names.values()))
-    out = phrase_dedup.kept_texts(spans, "removed", *names.values()).where("text is null or text != ''")
+    out = phrase_dedup.remaining_texts(rows, kept=list(names.values())).where("text is null or text != ''")
     if own := names.get("n_chars"):
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn(own, F.when(F.size("removed") > 0, length).otherwise(F.col(own)))
+        out = out.withColumn(own, F.when(F.col("n_removed") > 0, length).otherwise(F.col(own)))
     return _like(docs, out, names)
 
 

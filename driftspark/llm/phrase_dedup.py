@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import cut, lean, map_batches, parts_for, pieces, text_bytes, total_bytes, with_columns, words
+from driftspark.llm._common import cut, lean, parts_for, pieces, text_bytes, total_bytes, with_columns, words
 
 WINDOW = 50
 ANCHOR = 10
@@ -389,18 +389,22 @@ def kept_words(text: bytes | None, removed: list[int]) -> list[bytes]:
     return [w for w in split if w is not None]
 
 
-def kept_texts(spans: DataFrame, *kept: str) -> DataFrame:
-    """doc_id, text and the columns named in ``kept`` of every row of ``repeated_spans``: untouched texts stay, others
-    keep their words in one line."""
+def remaining_texts(
+    documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, kept: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, text, n_removed and the columns named in ``kept`` for every row of documents: untouched texts stay as they
+    are, others keep their words joined by one space."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts, _ = text_bytes(b.column("text"))
-        gone = b.column("removed").to_pylist()
-        out = [b" ".join(kept_words(t, g)) if g else t for t, g in zip(texts, gone, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), *(b.column(c) for c in kept)],
-            names=["doc_id", "text", *kept],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _locate(batches, window):
+            texts, _ = text_bytes(b.column("text"))
+            gone = b.column("removed").to_pylist()
+            out = [b" ".join(kept_words(t, g)) if g else t for t, g in zip(texts, gone, strict=True)]
+            n = [sum(g[1::2]) - sum(g[::2]) for g in gone]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), *b.columns[4:]],
+                names=["doc_id", "text", "n_removed", *b.schema.names[4:]],
+            )
 
-    rows = spans.select("doc_id", "text", *dict.fromkeys(["removed", *kept]))
-    return map_batches(rows, batch, with_columns("doc_id long, text string", spans, kept))
+    rows = _with_passages(documents, window, anchor, kept)
+    return rows.mapInArrow(lean(run), with_columns("doc_id long, text string, n_removed long", documents, kept))

@@ -56,7 +56,7 @@ def test_repeated_and_null_ids(spark):
     assert got[(5, text)] == [] and got[(5, "x " + text + " y")] == []
     assert got[(9, "tail " + text)] == [1, 61] and got[(None, text)] == [0, 60]
     assert phrase_dedup.repeated_spans(df.where("false")).count() == 0
-    kept = {r["doc_id"]: r["text"] for r in phrase_dedup.kept_texts(phrase_dedup.repeated_spans(df)).collect()}
+    kept = {r["doc_id"]: r["text"] for r in phrase_dedup.remaining_texts(df).collect()}
     assert kept[9] == "tail" and kept[7] is None
 
 
