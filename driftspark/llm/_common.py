@@ -74,14 +74,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as a table in shared scratch space and reads it again: lineage ends here and lost executors lose nothing.
 
-    Spark deletes a shuffle's files once its driver's collector finds that nothing refers to it; asking for a collection
-    here keeps the shuffles of finished steps from piling up on the executors' disks."""
-    spark = df.sparkSession
+    Spark deletes a shuffle's files once its driver's collector finds that nothing refers to it, and its scheduler refers to
+    the last job until another one runs. A job of one row and a collection release the shuffles of this step, which would
+    else pile up on the executors' disks."""
+    spark, schema = df.sparkSession, df.schema
     small_batches(spark)
     path = f"{scratch_dir(spark)}/{name}"
     df.write.parquet(path)
+    del df
+    spark.range(1).collect()
     spark.sparkContext._jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def pieces(sizes: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
