@@ -116,5 +116,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_SPACED = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express, in DuckDB's; brute force over whole tables, for small ones."""
+    return {
+        "op3_kd_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+ s AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0), k AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s)),
+ x AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k))),
+ h AS (SELECT doc_id, item, unnest(range(i, i + n)) AS pos FROM x JOIN k USING (n, g)), t AS (SELECT doc_id, count(DISTINCT pos) AS n_hit, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN t USING (doc_id)""",
+        "op5_phrase_dedup": f"""WITH d AS (SELECT doc_id, {_SPACED.format("text")} AS w FROM documents), x AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d)),
+ f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g HAVING min(doc_id) < max(doc_id)), h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM x JOIN f USING (g) WHERE doc_id > first),
+ s AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d), k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM s ANTI JOIN h USING (doc_id, pos) GROUP BY doc_id)
+ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+        "op9_chat_format": r"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+ o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+ 8 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)(/?s>)', '<\\\1\2', 'g')) + length(regexp_replace(text, '<(\\*)(/?s>)', '<\\\1\2', 'g')) AS chars FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+ e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+        "op10_jaccard_join": f"""WITH d AS (SELECT doc_id, {_SPACED.format(_LOWER)} AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k))
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN
+ (WITH RECURSIVE r AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id""",
+    }

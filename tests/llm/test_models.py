@@ -143,3 +143,37 @@ def test_forward_backward_is_exact():
                 want[i, y] += w
         assert np.allclose(got[at : at + n], want / want.sum(axis=1, keepdims=True))
         at += n
+
+
+def test_large_components_are_exact(spark):
+    """Vectors beyond what doubles or longs can multiply take part; a score beyond a long is the nearest long."""
+    rows = [(0, [1.0, 1.0]), (1, [3e6, 0.0]), (2, [1.0, 0.0]), (3, [-3e6, 5.0]), (20, [2.5e15, -1.0]), (21, [2.5e15, 2.0]), (40, [1e300, 1.0]), (41, [1e300, 2.0])]
+    rows += [(50, [1.0, None]), (51, [float("nan"), 1.0]), (52, [float("inf"), 1.0]), (53, None), (54, []), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    low, high = -(2**63), 2**63 - 1
+    clip = lambda x: max(low, min(high, x))
+    whole = {i: [clip(math.floor(c * 64)) for c in v] for i, v in rows[:8]}
+    want = []
+    for q in (0, 20, 40):
+        score = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(score[:20], 1)]
+    for shard in (16384, 3):
+        old, kd_search.SHARD_ROWS = kd_search.SHARD_ROWS, shard
+        try:
+            got = sorted(map(tuple, kd_search.top_k(df, queries.F.col("vec_id") % 20 == 0).collect()))
+        finally:
+            kd_search.SHARD_ROWS = old
+        assert got == want
+
+
+def test_letters_and_languages(spark):
+    """A text without a letter is und; every language that occurs is learned; a long text does not end a sample."""
+    assert language_id.split("½ ² Ⅷ 12 _") == [] and language_id.split("x²y Ⅷa é") == ["x", "y", "a", "é"]
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 5, f"l{i % 90}") for i in range(900)]
+    rows += [(1000 + i, "long " * 100_000, "l0") for i in range(5)] + [(2000, "½ ²", None), (2001, None, "l1"), (2002, "", "l2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' as score", "'y' as lang_pred", "1 as place")
+    model = language_id.train(df, queries.F.lit(True))
+    assert len(model.labels) == 90
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df).collect()}
+    assert len(got) == len(rows) and all(got[i] == ("und", 0.0) for i in (2000, 2001, 2002))
+    assert language_id.identify(df.where("false")).count() == 0
