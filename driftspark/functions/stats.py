@@ -143,19 +143,46 @@ def paired_comparison(a: list[float], b: list[float], policy_a: str, policy_b: s
     t = mean / se if se else None
     half = t_ppf(1 - alpha / 2, n - 1) * se
     dz = mean / sd if sd else 0.0
+    p = None if t is None else 2 * t_sf(abs(t), n - 1)
+    w = wilcoxon_p(d)
+    digits = lambda v, k: None if v is None else round(v, k)
     return {
-        "policy_a": policy_a, "policy_b": policy_b, "n": n, "mean_diff": round(mean, 5), "std_diff": round(sd, 5),
-        "ci_95": [round(mean - half, 5), round(mean + half, 5)], "t_stat": None if t is None else round(t, 4),
-        "t_p": None if t is None else round(2 * t_sf(abs(t), n - 1), 6), "shapiro_p": shapiro_p(d),
-        "wilcoxon_p": wilcoxon_p(d), "dz": round(dz, 4), "gz": round(dz * (1 - 3 / (4 * (n - 1) - 1)) if n > 2 else dz, 4),
+        "policy_a": policy_a, "policy_b": policy_b, "n_seeds": n, "mean_diff": round(mean, 5), "std_diff": round(sd, 5), "se_diff": round(se, 5),
+        "ci_95": (round(mean - half, 5), round(mean + half, 5)), "t_statistic": digits(t, 4), "t_pvalue": digits(p, 6),
+        "shapiro_pvalue": digits(shapiro_p(d), 4), "wilcoxon_statistic": None if w is None else signed_rank(d), "wilcoxon_pvalue": digits(w, 6),
+        "cohens_dz": round(dz, 4), "hedges_gz": round(dz * (1 - 3 / (4 * (n - 1) - 1)) if n > 2 else dz, 4),
+        "significant_at_alpha": p is not None and p < alpha,
     }
 
 
+def signed_rank(d: list[float]) -> float:
+    """The smaller of the rank sums of positive and negative differences; zeros take no part, ties share their mean rank."""
+    x = sorted((abs(v), v > 0) for v in d if v)
+    up = down = 0.0
+    i = 0
+    while i < len(x):
+        j = i
+        while j < len(x) and x[j][0] == x[i][0]:
+            j += 1
+        positive = sum(s for _, s in x[i:j])
+        up, down = up + positive * (i + 1 + j) / 2, down + (j - i - positive) * (i + 1 + j) / 2
+        i = j
+    return min(up, down)
+
+
+def compare_policies(runs: DataFrame, a: str, b: str, metric: str, policy: str = "policy", seed: str = "seed", alpha: float = 0.05) -> dict:
+    """All figures of a paired comparison of two policies over a table of runs, aligned on seed (one row a seed)."""
+    side = lambda p, name: runs.where(F.col(policy) == p).select(seed, F.col(metric).cast("double").alias(name))
+    rows = side(a, "x").join(side(b, "y"), seed).orderBy(seed).collect()  # a seed is a run: few
+    return paired_comparison([r["x"] for r in rows], [r["y"] for r in rows], a, b, alpha)
+
+
 def holm_sidak(p_values: DataFrame, alpha: float = 0.05) -> DataFrame:
     """pos, p, adjusted, rejected (per step): p are the tests of one family, a table of bounded size."""
     order = Window.orderBy("p", "pos")
     ranked = p_values.withColumn("i", F.row_number().over(order)).crossJoin(F.broadcast(p_values.agg(F.count("*").alias("m"))))
-    raw = 1 - F.pow(1 - F.col("p"), F.col("m") - F.col("i") + 1)
+    inside = F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0))
+    raw = 1 - F.pow(1 - inside, F.col("m") - F.col("i") + 1)
     step = 1 - F.pow(F.lit(1 - alpha), 1.0 / (F.col("m") - F.col("i") + 1))
     adjusted = F.least(F.max(raw).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
     return ranked.select("pos", "p", adjusted.alias("adjusted"), (F.col("p") <= step).alias("rejected"))

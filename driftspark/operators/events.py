@@ -6,6 +6,8 @@ drift onset counts in) or "global" (record indices are compared with the onset a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,19 @@ def pre_post_ap(records: DataFrame, t: int, horizon: int) -> DataFrame:
     )
 
 
-def degradation_slope(records: DataFrame, t: int, horizon: int, n_post: int) -> DataFrame:
+def degradation_slope(records: DataFrame, t: int, horizon: int, n_post: int, place: str | None = None) -> DataFrame:
     """One row: least-squares slope (8 digits) of the average precision of expanding prefixes of the post slice against
-    the position of each prefix's last row; null below 200 rows, 3 points, or without spread."""
+    the position of each prefix's last row; null below 200 rows, 3 points, or without spread.
+
+    ``place`` numbers the rows of the slice from 0; without it they are taken to follow each other."""
     step = max(50, n_post // 20)
-    post = records.withColumn("i", F.col("pos") - t).where((F.col("i") >= 0) & (F.col("i") < horizon))
-    ap = safe_ap(prefixes(post, step, n_post, "i"), "k").where("ap is not null")
-    x = (F.col("k") * step - 1).cast("double")
-    spread = F.regr_sxx("ap", x)
+    post = records.withColumn("i", F.col(place) if place else F.col("pos") - t).where((F.col("pos") >= t) & (F.col("pos") < t + horizon))
+    spread_out = prefixes(post, step, n_post, "i")
+    last = spread_out.groupBy("k").agg(F.max(F.col("pos") - t).cast("double").alias("x"))
+    ap = safe_ap(spread_out, "k").where("ap is not null").join(F.broadcast(last), "k")  # at most 20 prefixes or one for 50 rows
+    spread = F.regr_sxx("ap", "x")
     fine = (F.count("*") >= 3) & (spread > 1e-12) & F.lit(n_post >= 200)
-    return ap.agg(F.round(F.when(fine, F.regr_slope("ap", x)), 8).alias("slope"))
+    return ap.agg(F.round(F.when(fine, F.regr_slope("ap", "x")), 8).alias("slope"))
 
 
 def detection(alarms: DataFrame, t: int, pos: str = "pos") -> DataFrame:
@@ -59,11 +64,36 @@ def detection(alarms: DataFrame, t: int, pos: str = "pos") -> DataFrame:
 
 
 def recovery_time(records: DataFrame, t: int, horizon: int, n_post: int, window: int, pre_ap: float | None, tolerance: float = 0.05) -> DataFrame:
-    """One row: the first position (from the onset) whose trailing window inside the post slice has recovered."""
-    post = records.withColumn("i", F.col("pos") - t).where((F.col("i") >= 0) & (F.col("i") < horizon))
-    ap = safe_ap(strided(post, window, 1, n_post, "i"), "k")
-    good = ap.where(F.col("ap") >= F.lit(None if pre_ap is None else pre_ap - tolerance).cast("double"))
-    return good.agg((F.min("k") + window - 1).alias("recovery"))
+    """One row: the first position (from the onset) whose trailing window inside the post slice has recovered. The slice
+    has at most ``horizon`` rows, so one task goes through it and holds one window."""
+    post = records.where((F.col("pos") >= t) & (F.col("pos") < t + horizon)).select("pos", "y_prob", "y")
+    none = F.lit(None).cast("long").alias("recovery")
+    if pre_ap is None or n_post < window:
+        return records.sparkSession.range(1).select(none)
+    goal = pre_ap - tolerance
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        score, y, pos = pdf["y_prob"].to_numpy(float), pdf["y"].to_numpy(), pdf["pos"].tolist()
+        for end in range(window, len(pdf) + 1):
+            ap = plain_ap(y[end - window : end], score[end - window : end])
+            if ap is not None and ap >= goal:
+                return pd.DataFrame({"recovery": [pos[end - 1] - t]})
+        return pd.DataFrame({"recovery": pd.Series([], dtype="int64")})
+
+    found = post.groupBy(F.lit(0).alias("slice")).applyInPandas(scan, "recovery long")
+    return found.agg(F.min("recovery").alias("recovery"))
+
+
+def plain_ap(y: np.ndarray, score: np.ndarray) -> float | None:
+    """Average precision of a few rows; null with fewer than two rows or classes."""
+    n_pos = int(y.sum())
+    if len(y) < 2 or not 0 < n_pos < len(y):
+        return None
+    order = np.argsort(-score, kind="stable")
+    ends = np.flatnonzero(np.append(np.diff(score[order]) != 0, True))
+    hits = np.cumsum(y[order])[ends]
+    return float((np.diff(hits, prepend=0) / n_pos * hits / (ends + 1)).sum())
 
 
 def trajectory(records: DataFrame, n: int, window: int = 5000, max_points: int = 150, index: str = "i") -> DataFrame:

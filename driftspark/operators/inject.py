@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Swapped column pairs.
+#: Swapped column pairs; the regimes; the event names below.
 SWAPS = (("C1", "C2"), ("C3", "C4"), ("card1", "card2"))
 REGIMES = ("sudden", "gradual", "recurring", "localized")
 
@@ -73,8 +73,13 @@ def drift_state(df: DataFrame, cfg: DriftConfig, warmup: int, index: str = "tx_i
         hit, event = idx >= t, F.when(idx < t, "baseline_concept_a").otherwise("sudden_concept_b")
     elif cfg.regime == "gradual":
         late = idx >= t + cfg.transition_width
-        draw = _draws(F.lit(cfg.seed).cast("long"), F.greatest(idx, F.lit(0)))
-        hit = F.when(idx < t, False).when(late, True).otherwise(draw < p)
+        # a Python function is not short-circuited, so only the rows of the transition go through it
+        df = df.withColumn("stream_idx", (F.col(index) - warmup).cast("long"))
+        inside = (idx >= t) & ~late
+        draw = _draws(F.lit(cfg.seed).cast("long"), idx)
+        drawn = df.where(inside).withColumn("_hit", draw < p)
+        df = drawn.unionByName(df.where(~inside).withColumn("_hit", late))
+        hit = F.col("_hit")
         event = F.when(idx < t, "gradual_pre_drift_a").when(late, "gradual_post_drift_b").otherwise("gradual_transition_window")
     elif cfg.regime == "recurring":
         hit, cycle = p == 1.0, F.floor((idx - t) / cfg.recurrence_period)
@@ -91,7 +96,7 @@ def drift_state(df: DataFrame, cfg: DriftConfig, warmup: int, index: str = "tx_i
     hit = F.when(warm, False).otherwise(hit)
     interval = F.struct(t.cast("long").alias("start"), (t + cfg.transition_width).cast("long").alias("end"))
     none = F.lit(None).cast("struct<start:bigint,end:bigint>")
-    return df.withColumn("stream_idx", (F.col(index) - warmup).cast("long")).withColumns(
+    out = df.withColumn("stream_idx", (F.col(index) - warmup).cast("long")).withColumns(
         {
             "regime": F.lit(cfg.regime),
             "event_id": F.when(warm, "warmup_baseline").otherwise(event),
@@ -106,6 +111,7 @@ def drift_state(df: DataFrame, cfg: DriftConfig, warmup: int, index: str = "tx_i
             "drift_prob": F.when(warm, 0.0).otherwise(p),
         }
     )
+    return out.drop("_hit")
 
 
 def swap(df: DataFrame, pairs: tuple[tuple[str, str], ...] = SWAPS, when: str = "is_affected") -> DataFrame:
@@ -118,6 +124,39 @@ def swap(df: DataFrame, pairs: tuple[tuple[str, str], ...] = SWAPS, when: str =
     return df
 
 
-def inject(df: DataFrame, cfg: DriftConfig, warmup: int, index: str = "tx_index", segment: str = "segment_key") -> DataFrame:
-    """Drift state and swapped columns of a whole stream; labels are untouched."""
+def inject(df: DataFrame, cfg: DriftConfig, warmup: int, index: str = "tx_index", segment: str = "segment_key", n: int | None = None) -> DataFrame:
+    """Drift state and swapped columns of a whole stream; labels are untouched. A warmup beyond ``n`` rows, where that is
+    given, is refused."""
+    if n is not None and warmup > n:
+        raise ValueError(f"a warmup of {warmup} rows exceeds the {n} rows there are")
     return swap(drift_state(df, cfg, warmup, index, segment), cfg.swap_pairs)
+
+
+def inject_stream(stream: DataFrame, cfg: DriftConfig, index: str = "stream_idx", segment: str = "segment_key") -> DataFrame:
+    """The same for a stream without warmup whose rows carry their position; batch or Structured Streaming, as all of it
+    is a projection (the draw of a gradual drift, too)."""
+    moved = stream.withColumn("_at", F.col(index))
+    return inject(moved, cfg, 0, "_at", segment).drop("_at")
+
+
+def inject_event(x: dict, segment: str | None, idx: int, cfg: DriftConfig) -> tuple[dict, bool]:
+    """One event outside of Spark: its features, swapped where the concept at position ``idx`` is the new one, and
+    whether that is so."""
+    import numpy as np
+
+    since, width = idx - cfg.t_drift, cfg.transition_width
+    if since < 0:
+        hit = False
+    elif cfg.regime == "gradual":
+        slope = 10.0 / width * (since - width / 2.0)
+        chance = 1.0 / (1.0 + np.exp(-min(50.0, max(-50.0, slope))))
+        hit = since >= width or np.random.RandomState((cfg.seed + idx * 1009) % 2**32).rand() < chance
+    elif cfg.regime == "recurring":
+        hit = since // cfg.recurrence_period % 2 == 0
+    else:
+        hit = cfg.regime == "sudden" or segment == cfg.target_segment
+    out = dict(x)
+    for a, b in cfg.swap_pairs if hit else ():
+        if a in out and b in out:
+            out[a], out[b] = out[b], out[a]
+    return out, bool(hit)

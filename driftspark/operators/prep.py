@@ -2,7 +2,8 @@
 
 The fit is one aggregate job plus one job for all vocabularies; the fitted state is small (a row per column, a row per
 category) and is kept as plain values, so the transform stays a single code-generated stage. Vocabularies beyond
-``INLINE`` categories are joined instead of inlined; a join side is broadcast by size, by the planner.
+``INLINE`` categories stay tables, which no driver holds, and are joined; a join side is broadcast by size, by the
+planner. Only saving the state as JSON brings them to the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftspark.plans.layout import written
+
 INLINE = 256
 #: The segment column of each dataset type.
 SEGMENTS = {"ieee_cis": "ProductCD", "paysim": "type", "ulb": None}
@@ -76,14 +79,19 @@ class Preprocessor:
     categorical: list[str] = field(default_factory=list)
     numeric: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     vocabularies: dict[str, dict[str, int]] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def fit(self, warmup: DataFrame) -> Preprocessor:
         self.features = feature_columns(warmup, self.target, self.temporal, self.ident)
         self.categorical, numerical = split_columns(warmup, self.features, self.custom_categorical)
         self.numeric = {r["column"]: (r["median"], r["mean"], r["std"]) for r in fit_numeric(warmup, numerical).collect()}
-        self.vocabularies = {c: {} for c in self.categorical}
-        for r in fit_vocabulary(warmup, self.categorical).orderBy("column", "code").toLocalIterator():
-            self.vocabularies[r["column"]][r["category"]] = r["code"]
+        self.vocabularies, self.tables = {c: {} for c in self.categorical}, {}
+        if self.categorical:
+            codes = written(fit_vocabulary(warmup, self.categorical), "vocabulary")
+            large = [r["column"] for r in codes.groupBy("column").count().where(F.col("count") > INLINE).collect()]
+            self.tables = {c: codes.where(F.col("column") == c).select("category", "code") for c in large}
+            for r in codes.where(~F.col("column").isin(large)).collect():  # INLINE rows a column at most
+                self.vocabularies[r["column"]][r["category"]] = r["code"]
         return self
 
     def transform(self, df: DataFrame, *keep: str, scale: bool = False) -> DataFrame:
@@ -100,10 +108,13 @@ class Preprocessor:
                 out.append((((x - mean) / std) if scale else x).alias(c))
             elif c not in df.columns:
                 out.append(F.lit(0).alias(c))
-            elif len(self.vocabularies[c]) <= INLINE:
+            elif c not in self.tables and len(self.vocabularies[c]) <= INLINE:
                 out.append(encode(F.col(c), self.vocabularies[c]).alias(c))
             else:
-                table = df.sparkSession.createDataFrame(list(self.vocabularies[c].items()), f"`_{c}` string, `_{c}_code` int")
+                table = self.tables.get(c)
+                if table is None:  # from a state in JSON
+                    table = df.sparkSession.createDataFrame(list(self.vocabularies[c].items()), "category string, code int")
+                table = table.select(F.col("category").alias(f"_{c}"), F.col("code").alias(f"_{c}_code"))
                 joined = joined.join(table, joined[c].cast("string") == table[f"_{c}"], "left")
                 out.append(F.coalesce(F.col(f"_{c}_code"), F.lit(0)).alias(c))
         if self.target in df.columns:
@@ -116,7 +127,9 @@ class Preprocessor:
         return self.fit(warmup).transform(warmup, *keep, scale=scale)
 
     def to_dict(self) -> dict:
-        return {k: list(v) if isinstance(v, tuple) else v for k, v in self.__dict__.items()}
+        state = {k: list(v) if isinstance(v, tuple) else v for k, v in self.__dict__.items() if k != "tables"}
+        rows = lambda table: {r["category"]: r["code"] for r in table.orderBy("code").collect()}
+        return {**state, "vocabularies": {**self.vocabularies, **{c: rows(t) for c, t in self.tables.items()}}}
 
     @classmethod
     def from_dict(cls, state: dict) -> Preprocessor:

@@ -19,6 +19,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names; it goes when the JVM ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="driftspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/driftspark-{uuid.uuid4().hex}/{name}"
@@ -41,13 +43,14 @@ def with_index(df: DataFrame, *order: str | Column, name: str = "tx_index") -> D
     placed = written(ranged.withColumn("_row", F.monotonically_increasing_id()), "index")
     part = F.shiftright("_row", 33)
     sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    start, total = {}, 0
+    start, total = [], 0
     for p, n in sizes:
-        start[p], total = total, total + n
-    if not start:
-        return placed.withColumn(name, F.lit(None).cast("long")).drop("_row")
-    offsets = F.create_map(*(F.lit(x).cast("long") for pair in start.items() for x in pair))
-    return placed.withColumn(name, offsets[part] + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row")
+        start.append((p, total))
+        total += n
+    # one row a partition: the driver has just held it, and a hash lookup finds a row's offset
+    offsets = df.sparkSession.createDataFrame(start, "_part long, _start long")
+    found = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return found.withColumn(name, F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row", "_part", "_start")
 
 
 def with_halo(df: DataFrame, before: int, after: int, index: str = "tx_index", chunk: int = CHUNK) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions import metrics, stats
-from driftspark.operators import events, inject, prep, profile
+from driftspark.operators import events, inject, prep, profile, reports
 from driftspark.plans.layout import over_rows, with_index
+from driftspark.sources import datasets
 from driftspark.sources.datasets import fingerprint, left_join
 from driftspark.streaming import fold
 
@@ -359,10 +360,52 @@ def degradation_slope(spark, d):
     return events.degradation_slope(records, _T, _H, n_post)
 
 
-@query("WITH {TX}, " + _POS + ", al AS (SELECT pos FROM pos WHERE pos % 700 = 699) SELECT count(*) FILTER (WHERE pos < 3000) AS false_alarms, min(pos) FILTER (WHERE pos >= 3000) AS first_alarm, min(pos) FILTER (WHERE pos >= 3000) - 3000 AS delay FROM al")
+_ALARM_SQL = "al AS (SELECT pos, segment_key FROM pos WHERE y = 1 AND y_prob >= 0.97)"
+
+
+def _events_of(records: DataFrame) -> DataFrame:
+    """Stand-ins for alarms that SQL can name as well: positives with a very high score."""
+    return records.where("y = 1 and y_prob >= 0.97")
+
+
+@query("WITH {TX}, " + _POS + ", " + _ALARM_SQL + " SELECT count(*) FILTER (WHERE pos < 3000) AS false_alarms, min(pos) FILTER (WHERE pos >= 3000) AS first_alarm, min(pos) FILTER (WHERE pos >= 3000) - 3000 AS delay FROM al")
 def detection_delay(spark, d):
     records, _ = _records(spark, d)
-    return events.detection(records.where("pos % 700 = 699"), _T)
+    return events.detection(_events_of(records), _T)
+
+
+def _event_sql(segment: str | None) -> str:
+    keep = f" WHERE segment_key = '{segment}'" if segment else ""
+    return "WITH {TX}, " + _POS + ", seg AS (SELECT * FROM pos" + keep + "), " + _ALARM_SQL.replace("FROM pos", "FROM seg") + """, ad AS (SELECT pos, k / 1000.0 AS s FROM (SELECT tx_index - w AS pos, k FROM tx, size WHERE tx_index >= w AND (tx_index - w + 1) % 1000 = 0)),
+ fl AS (SELECT y_prob AS s, y FROM seg), """ + ap_sql("fl").replace("g AS", "g0 AS", 1).replace("FROM g)", "FROM g0)").replace("r AS (SELECT *", "r0 AS (SELECT *", 1).replace("FROM r ", "FROM r0 ").replace("ap AS (SELECT max", "apf AS (SELECT max", 1) + """,
+ ph AS (SELECT CASE WHEN pos < 3000 THEN 'a' ELSE 'b' END AS ph, y_prob AS s, y FROM seg WHERE pos >= 1000 AND pos < 5000), """ + ap_sql("ph", "ph").replace("g AS", "g1 AS", 1).replace("FROM g)", "FROM g1)").replace("r AS (SELECT *", "r1 AS (SELECT *", 1).replace("FROM r ", "FROM r1 ").replace("ap AS (SELECT ph", "app AS (SELECT ph", 1) + """,
+ po AS (SELECT pos - 3000 AS x, row_number() OVER (ORDER BY pos) - 1 AS i, y_prob, y FROM seg WHERE pos >= 3000 AND pos < 5000), np AS (SELECT count(*) AS n, greatest(50, count(*) // 20) AS step FROM po),
+ ks AS (SELECT unnest(range(1, n // step + 1)) AS k, step FROM np), pk AS (SELECT k, y_prob AS s, y, x FROM ks JOIN po ON i < k * step), px AS (SELECT k, CAST(max(x) AS DOUBLE) AS x FROM pk GROUP BY k), """ + ap_sql("pk", "k").replace("g AS", "g2 AS", 1).replace("FROM g)", "FROM g2)").replace("r AS (SELECT *", "r2 AS (SELECT *", 1).replace("FROM r ", "FROM r2 ").replace("ap AS (SELECT k", "apk AS (SELECT k", 1) + """,
+ sl AS (SELECT round(CASE WHEN count(*) >= 3 AND (SELECT n FROM np) >= 200 THEN regr_slope(ap, x) END, 8) AS slope FROM apk JOIN px USING (k) WHERE ap IS NOT NULL),
+ rk AS (SELECT unnest(range(0, n - 200 + 1)) AS k FROM np), rq AS (SELECT k, y_prob AS s, y, x FROM rk JOIN po ON i >= k AND i < k + 200), rx AS (SELECT k, max(x) AS x FROM rq GROUP BY k), """ + ap_sql("rq", "k").replace("g AS", "g3 AS", 1).replace("FROM g)", "FROM g3)").replace("r AS (SELECT *", "r3 AS (SELECT *", 1).replace("FROM r ", "FROM r3 ").replace("ap AS (SELECT k", "apr AS (SELECT k", 1) + """,
+ pp AS (SELECT max(ap) FILTER (WHERE ph = 'a') AS a, max(ap) FILTER (WHERE ph = 'b') AS b, max(n) FILTER (WHERE ph = 'a') AS na, max(n) FILTER (WHERE ph = 'b') AS nb FROM app)
+ SELECT 'sudden' AS regime, CAST(3000 AS BIGINT) AS t_drift, CAST(2000 AS BIGINT) AS horizon, round(a, 5) AS pre_drift_pr_auc, round(b, 5) AS post_drift_pr_auc, round(b - a, 5) AS delta_pr_auc, (SELECT slope FROM sl) AS degradation_slope,
+ (SELECT min(pos) - 3000 FROM al WHERE pos >= 3000) AS detection_delay, (SELECT count(*) FROM al WHERE pos < 3000) AS false_alarms_before_drift, (SELECT min(x) FROM apr JOIN rx USING (k) WHERE ap >= a - 0.05) AS recovery_time,
+ (SELECT count(*) FROM ad WHERE pos >= 3000) AS adaptation_count_post_drift, (SELECT coalesce(sum(s), 0.0) FROM ad WHERE pos >= 3000) AS total_retrain_time_post_s, (SELECT round(ap, 5) FROM apf) AS full_stream_pr_auc,
+ CAST(coalesce(na, 0) AS BIGINT) AS n_pre_samples, CAST(coalesce(nb, 0) AS BIGINT) AS n_post_samples, CAST(""" + (f"'{segment}'" if segment else "NULL") + " AS VARCHAR) AS segment_evaluated FROM pp"
+
+
+def _event_metrics(spark, d, segment):
+    df = stream(spark, d)
+    _, w = sizes(df)
+    records = df.where(F.col("tx_index") >= w)
+    retrains = df.join(_triggers(df, w), "tx_index").withColumn("duration_s", F.col("k") / 1000.0)
+    return reports.event_metrics(records, _events_of(records), retrains, "sudden", _T, _H, 200, 0.05, segment, w)
+
+
+@query(_event_sql(None))
+def event_metrics(spark, d):
+    return _event_metrics(spark, d, None)
+
+
+@query(_event_sql("view"))
+def event_metrics_segment(spark, d):
+    return _event_metrics(spark, d, "view")
 
 
 @query("WITH {TX}, " + _POS + """, post AS (SELECT pos - 3000 AS i, y_prob, y FROM pos WHERE pos >= 3000 AND pos < 5000), np AS (SELECT count(*) AS n FROM post),
@@ -520,21 +563,139 @@ def seed_invariance(spark, d):
     return _runs(spark, d).groupBy("policy").agg(F.round(F.stddev_pop("v"), 6).alias("spread"), (F.stddev_pop("v") == 0).alias("invariant"))
 
 
-@query("WITH {TX} SELECT segment_key AS policy, count(*) AS n_events, CAST(sum(k) AS DOUBLE) AS total, round(avg(CAST(k AS DOUBLE)), 6) AS mean FROM tx WHERE tx_index % 100 = 0 GROUP BY 1")
+@query("WITH {TX} SELECT segment_key AS policy, count(*) AS n_events, CAST(sum(k) AS DOUBLE) AS total, round(avg(CAST(k AS DOUBLE)), 6) AS mean FROM tx GROUP BY 1")
 def artifact_json_explode(spark, d):
-    """Retrain totals from runs' JSON logs: logs are written as JSON, parsed, and exploded."""
+    """Totals from runs' JSON logs: logs are written as JSON in pieces of bounded size, parsed, and exploded."""
     log = F.to_json(F.collect_list(F.struct("tx_index", F.col("k").cast("double").alias("duration_s"))))
-    logs = stream(spark, d).where("tx_index % 100 = 0").groupBy(F.col("segment_key").alias("policy")).agg(log.alias("log"))
+    logs = stream(spark, d).groupBy(F.col("segment_key").alias("policy"), F.floor(F.col("tx_index") / 1000).alias("piece")).agg(log.alias("log"))
     rows = logs.select("policy", F.explode(F.from_json("log", "array<struct<tx_index: bigint, duration_s: double>>")).alias("e"))
     return rows.groupBy("policy").agg(F.count("*").alias("n_events"), F.sum("e.duration_s").alias("total"), F.round(F.avg("e.duration_s"), 6).alias("mean"))
 
 
+# --- reports ----------------------------------------------------------------------------------------------------
+
+
+@query("WITH {TX}, " + _POS + ", " + _ALARM_SQL + " SELECT segment_key AS stream_key, count(*) AS n FROM al GROUP BY 1")
+def drift_counts(spark, d):
+    records, _ = _records(spark, d)
+    return reports.drift_counts(_events_of(records), "segment_key")
+
+
+@query("SELECT DISTINCT event_type AS segment_key FROM events WHERE event_type IS NOT NULL")
+def known_segments(spark, d):
+    return reports.known_segments(stream(spark, d))
+
+
+_LOG_SQL = "lg AS (SELECT tx_index, 'P1:periodic:every_1000_tx' AS trigger, k / 1000.0 AS s FROM tx, size WHERE tx_index >= w AND (tx_index - w + 1) % 1000 = 0)"
+
+
+def _log(spark, d):
+    """The retrain log of P1: its triggers are a function of the position."""
+    df = stream(spark, d)
+    _, w = sizes(df)
+    due = (F.col("tx_index") >= w) & ((F.col("tx_index") - w + 1) % WINDOW == 0)
+    rows = df.withColumn("adaptation_scope", F.when(due, "global")).withColumn("adapted", due).withColumn("duration_s", F.col("k") / 1000.0)
+    return reports.adaptation_log(rows, "P1", WINDOW)
+
+
+@query("WITH {TX}, " + _LOG_SQL + " SELECT 'P1' AS policy, tx_index, 'global' AS scope, s AS duration_s, trigger, row_number() OVER (ORDER BY tx_index) - 1 AS adaptation_event_index, true AS trigger_occurred, true AS replacement_performed FROM lg")
+def adaptation_log(spark, d):
+    return _log(spark, d)
+
+
+@query("WITH {TX}, " + _LOG_SQL + " SELECT trigger, count(*) AS n_adaptations, round(sum(s), 6) AS total_s FROM lg GROUP BY 1")
+def adaptation_totals(spark, d):
+    return reports.adaptation_totals(_log(spark, d), "trigger").withColumn("total_s", F.round("total_s", 6))
+
+
+@query("WITH h AS (" + _SQL["pre_post_horizon_ap"] + ") SELECT count(*) AS n_events, round(avg(pre_ap), 5) AS mean_pre, round(avg(post_ap), 5) AS mean_post, round(avg(delta), 5) AS mean_delta, count(*) FILTER (WHERE delta < 0) AS n_drops, round(count(*) FILTER (WHERE delta < 0) / nullif(count(delta), 0), 6) AS drop_share FROM h")
+def horizon_means(spark, d):
+    out = reports.horizon_means(pre_post_horizon_ap(spark, d))
+    return out.select("n_events", *(F.round(c, 5).alias(c) for c in ("mean_pre", "mean_post", "mean_delta")), "n_drops", F.round("drop_share", 6).alias("drop_share"))
+
+
+@query("WITH {TX}, q AS (SELECT y_prob AS s, y FROM tx, size WHERE tx_index >= w), " + ap_sql("q") + ", " + _POS + ", " + _ALARM_SQL + ", " + _LOG_SQL + ", c AS (" + _CONF.format(g="", by="").replace("FROM tx)", "FROM tx, size WHERE tx_index >= w)") + """)
+ SELECT 'P1' AS policy, 'adwin' AS detector_type, w AS n_warmup, size.n - w AS n_stream, 2.5 AS total_wall_time_s, round(ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) AS recall,
+ (SELECT round(quantile_cont(CAST(k AS DOUBLE) / 1000, 0.95), 6) FROM tx) AS latency_p95_s, (SELECT count(*) FROM lg) AS n_adaptations, (SELECT count(*) FROM al) AS n_drift_events, (size.n - w) / 2.5 AS throughput_tx_per_sec FROM ap, c, size""")
+def run_summary(spark, d):
+    df = stream(spark, d)
+    n, w = sizes(df)
+    records = df.where(F.col("tx_index") >= w)
+    latency = metrics.latency_percentiles(df.withColumn("latency", F.col("k") / F.lit(1000.0)), "latency")
+    run = {"policy": "P1", "detector_type": "adwin", "n_warmup": w, "n_stream": n - w, "total_wall_time_s": 2.5}
+    out = reports.run_summary(metrics.snapshot(records), _log(spark, d), _events_of(records), latency, run)
+    return out.select(*(F.round(c, 6).alias(c) if c in ("pr_auc", "roc_auc", "f1", "recall", "latency_p95_s") else F.col(c).cast("long").alias(c) if c[:2] == "n_" else F.col(c) for c in out.columns))
+
+
+@query("WITH {TX} SELECT segment_key, round(avg(k) / 1000.0 * 1000.0, 4) AS p50_ms, round(count(*) / (sum(k) / 1000.0), 4) AS per_second FROM tx GROUP BY 1")
+def throughput_and_ms(spark, d):
+    per = stream(spark, d).groupBy("segment_key").agg((F.avg("k") / 1000.0).alias("p"), F.count("*").alias("n"), (F.sum("k") / 1000.0).alias("s"))
+    none = F.lit(None).cast("double")
+    return per.select("segment_key", reports.milliseconds(F.col("p"), none).alias("p50_ms"), F.round(reports.throughput(F.col("n"), F.col("s")), 4).alias("per_second"))
+
+
+@query("WITH {TX}, " + _RUN_SQL + ", p AS (SELECT a.v - b.v AS d FROM runs a JOIN runs b USING (seed) WHERE a.policy = 'click' AND b.policy = 'view') SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(stddev_samp(d), 6) AS std_diff FROM p")
+def paired_by_seed(spark, d):
+    pairs = reports.paired_by_seed(_runs(spark, d), "click", "view", "v")
+    return stats.effect_sizes(pairs).select("n", *six("mean_diff", "std_diff"))
+
+
+@query("WITH {TX} SELECT segment_key, tx_index, tx_id FROM (SELECT *, row_number() OVER (PARTITION BY segment_key ORDER BY amount DESC, tx_index) AS r FROM tx) WHERE r = 1")
+def first_member(spark, d):
+    rows = stream(spark, d).select("segment_key", "tx_index", "tx_id", "amount")
+    return reports.first_member(rows, ["segment_key"], F.desc("amount"), "tx_index").drop("amount")
+
+
+def _labelled(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
+    return left_join(docs, spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+
+
+@query("""WITH j AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)), c AS (SELECT 'lang' AS "column", count(*) - count(lang) AS n_missing, count(*) AS n FROM j UNION ALL SELECT 'source', count(*) - count(source), count(*) FROM j
+ UNION ALL SELECT 'quality', count(*) - count(quality), count(*) FROM j UNION ALL SELECT 'toxic', count(*) - count(toxic), count(*) FROM j) SELECT "column", n_missing, round(100.0 * n_missing / n, 6) AS pct_missing FROM c WHERE n_missing > 0""")
+def missing_sorted(spark, d):
+    return reports.missing_sorted(_labelled(spark, d).drop("doc_id")).select("column", "n_missing", *six("pct_missing"))
+
+
+@query("WITH " + _GRID_SQL + " SELECT job_id, seed FROM grid WHERE starts_with(job_id, 'e3_P3') AND contains(job_id, 'local')")
+def named_like(spark, d):
+    return reports.named_like(grid(spark), "job_id", "e3_P3", "local").select("job_id", "seed")
+
+
+@query("""SELECT 'orders' AS name, count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS n_missing, 0.0 AS pct_missing FROM orders
+ UNION ALL SELECT 'labelled', count(*), CAST(5 AS BIGINT), CAST(5 * count(*) - count(doc_id) - count(lang) - count(source) - count(quality) - count(toxic) AS BIGINT), round(100.0 * (5 * count(*) - count(doc_id) - count(lang) - count(source) - count(quality) - count(toxic)) / (5 * count(*)), 6) FROM documents LEFT JOIN labels USING (doc_id)""")
+def frame_profile(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    out = reports.frame_profile({"orders": orders, "labelled": _labelled(spark, d)})
+    return out.select("name", "n_rows", "n_columns", "n_missing", *six("pct_missing"))
+
+
+@query('SELECT l_returnflag, round(sum(l_quantity), 4) AS total, max(l_quantity) AS most, round(avg(l_quantity), 6) AS mean, count(*) AS n FROM lineitem GROUP BY 1')
+def chart_totals(spark, d):
+    out = reports.chart(spark.read.parquet(f"{d}/lineitem.parquet"), "l_returnflag", "l_quantity")
+    return out.select("l_returnflag", F.round("total", 4).alias("total"), "most", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("WITH {TX} SELECT round(avg(CASE WHEN tx_index - w >= 3000 AND segment_key = 'view' AND amount IS DISTINCT FROM CAST(k AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS changed_share, round(avg(y), 6) AS prevalence_before, round(avg(y), 6) AS prevalence_after FROM tx, size")
+def injection_effect(spark, d):
+    before = stream(spark, d).withColumn("a", F.col("amount")).withColumn("b", F.col("k").cast("double"))
+    out = reports.injection_effect(before, _drifted(spark, d, "localized"), ["a", "b"])
+    return out.select(*six(*out.columns))
+
+
+@query("WITH {TX} SELECT tx_index, tx_id, quality FROM (SELECT * FROM tx WHERE tx_index < 500) LEFT JOIN labels ON doc_id = tx_id")
+def sliced_join(spark, d):
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("tx_id"), "quality")
+    return datasets.sliced_join(stream(spark, d), labels, "tx_id", 500).select("tx_index", "tx_id", "quality")
+
+
 # --- stateful operators -----------------------------------------------------------------------------------------
 
-FEATURES = ["user_id", "k", "hour"]
+FEATURES = ["amount", "k", "hour"]
 
 
 def _learnable(spark, d):
+    """The stream with features that carry its label (y is amount > 120) and others that do not."""
     return stream(spark, d).withColumn("hour", F.hour(F.col("ts").cast("timestamp")).cast("double"))
 
 
@@ -554,6 +715,15 @@ _QUERIES["prequential_no_swap"] = _run("P1", no_swap=True)
 _QUERIES["prequential_frozen"] = _run("P0", frozen=True)
 
 
+@query("""WITH {TX} SELECT tx_index, y AS y_true, segment_key, (tx_index - w + 1) % 2000 = 0 AS adapted, CASE WHEN (tx_index - w + 1) % 2000 = 0 THEN 'global' END AS adaptation_scope, true AS consistent,
+ CASE WHEN (tx_index - w + 1) % 2000 = 0 THEN least(1000, tx_index + 1) END AS n_window, CASE WHEN (tx_index - w + 1) % 2000 = 0 THEN CAST(sum(y) OVER (ORDER BY tx_index ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS INTEGER) END AS n_fraud_window FROM tx, size QUALIFY tx_index >= w""")
+def prequential_p1_log(spark, d):
+    """What a run of P1 must record whatever its learner predicts."""
+    out = _run("P1")(spark, d)
+    fine = (F.col("y_pred") == (F.col("y_prob") >= 0.5).cast("int")) & (F.col("error") == F.abs(F.col("y_true") - F.col("y_pred"))) & F.col("y_prob").between(0, 1)
+    return out.select("tx_index", "y_true", "segment_key", "adapted", "adaptation_scope", fine.alias("consistent"), F.col("n_window").cast("long").alias("n_window"), "n_fraud_window")
+
+
 def _alarms(kind: str) -> Query:
     def run(spark, d):
         error = F.abs(F.col("y") - metrics.decision("y_prob"))

@@ -138,6 +138,35 @@ def save_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def resolve_dir(file_name: str, *roots: str) -> str:
+    """The folder of the first file of a name below the first of some roots that has one."""
+    for root in roots:
+        if Path(root).exists() and (found := sorted(Path(root).rglob(file_name))):
+            return str(found[0].parent)
+    raise FileNotFoundError(f"{file_name} below {', '.join(roots)}")
+
+
+def head_rows(df: DataFrame, n: int, index: str = "tx_index") -> DataFrame:
+    """The first n rows by their index, which a bare limit would not be."""
+    return df.where(F.col(index) < n)
+
+
+def sliced_join(left: DataFrame, right: DataFrame, key: str, n: int, index: str = "tx_index") -> DataFrame:
+    """The left join of the first n rows; the slice comes before the join."""
+    return left_join(head_rows(left, n, index), right, key)
+
+
+def save_latex(df: DataFrame, path: str, rows: int = 100) -> str:
+    """A small result table (its first ``rows`` rows) as a LaTeX tabular."""
+    special = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", **{c: "\\" + c for c in "&%$#_{}"}}
+    text = lambda v: "".join(special.get(c, c) for c in ("" if v is None else str(v)))
+    line = lambda r: " & ".join(map(text, r)) + r" \\"
+    body = [rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", line(df.columns), r"\hline", *map(line, df.limit(rows).collect()), r"\hline", r"\end{tabular}"]
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    Path(path).write_text("\n".join(body) + "\n", encoding="utf-8")
+    return "\n".join(body)
+
+
 def save_markdown(df: DataFrame, path: str, rows: int = 100) -> str:
     """A small result table (its first ``rows`` rows) as Markdown."""
     got = df.limit(rows).collect()

@@ -14,7 +14,9 @@ reads its errors in order, so that pass is one task; it holds an index and an er
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from time import perf_counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ POLICIES = {"static": "P0", "periodic": "P1", "global_drift_triggered": "P2", "s
 DETECTORS = {"hddm": "hddm_w", "none": "adwin"}
 RECORDS = (
     "run_id string, tx_index long, y_true int, y_prob double, y_pred int, error int, segment_key string, adapted boolean, "
-    "adaptation_scope string, drift_detected_global boolean, drift_detected_segment boolean, n_window int, n_fraud_window int"
+    "adaptation_scope string, drift_detected_global boolean, drift_detected_segment boolean, n_window int, n_fraud_window int, duration_s double"
 )
 
 
@@ -44,6 +46,12 @@ class RunConfig:
     frozen: bool = False
     no_swap: bool = False
     detector_kwargs: dict = field(default_factory=dict)
+    #: Makes a learner: anything with predict_one, learn_one and fit_batch. None: the Hoeffding tree.
+    learner_factory: Callable | None = None
+    #: Makes the model that replaces another, from the window: retrain(buffer, segment_key=...). None: a fresh learner's fit.
+    retrain: Callable | None = None
+    #: Measures retrains (duration_s); by the sequential plan only.
+    timed: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "policy", POLICIES.get(self.policy, self.policy))
@@ -54,8 +62,16 @@ class RunConfig:
             raise ValueError("interval and window are positive")
         make_detector(self.detector, **self.detector_kwargs)
 
-    def learner(self) -> HoeffdingTree:
-        return HoeffdingTree(self.grace_period, self.delta)
+    def learner(self):
+        return self.learner_factory() if self.learner_factory else HoeffdingTree(self.grace_period, self.delta)
+
+    @classmethod
+    def named(cls, policy: str, detector: str, grace_period: int = 200, delta: float = 1e-7, window_size: int = 5000, n_interval: int = 10_000, p0_mode: str = "incremental", seed: int = 42, **more) -> RunConfig:
+        """A configuration by the names of an experiment file; ``p0_mode`` is incremental or frozen."""
+        if p0_mode not in ("incremental", "frozen"):
+            raise ValueError(f"p0_mode is incremental or frozen, not {p0_mode!r}")
+        run = f"{POLICIES.get(policy, policy)}_seed{seed}"
+        return cls(run, policy, detector, grace_period=grace_period, delta=delta, window=window_size, interval=n_interval, frozen=p0_mode == "frozen", **more)
 
 
 class Retrainer:
@@ -72,10 +88,17 @@ class Retrainer:
     def window(self, segment: str | None = None) -> list[tuple[dict, int]]:
         return [(x, y) for _, x, y, s in self.rows if segment is None or s == segment]
 
-    def fit(self, segment: str | None = None) -> HoeffdingTree:
+    def fit(self, segment: str | None = None):
+        """The model that replaces another; by the configuration's own function, if it has one."""
+        if self.cfg.retrain:
+            return self.cfg.retrain(self, segment_key=segment)
         if not (rows := self.window(segment)):
             raise RuntimeError("no rows to retrain on")
-        return self.cfg.learner().fit_batch(rows)
+        model = self.cfg.learner()
+        return model.fit_batch(rows) or model
+
+    def reset(self) -> None:
+        self.rows.clear()
 
 
 def run_fold(rows, cfg: RunConfig) -> list[tuple]:
@@ -105,13 +128,16 @@ def run_fold(rows, cfg: RunConfig) -> list[tuple]:
             "P3": part and segment is not None,
         }[cfg.policy]
         scope = (segment if by_segment else "global") if due else None
-        n = frauds = None
+        n = frauds = seconds = None
         if due:
             window = buffer.window(segment if by_segment else None)
             n, frauds = len(window), sum(v for _, v in window)
+            began = perf_counter()
             if not cfg.no_swap:
-                models[keyed(segment)] = cfg.learner().fit_batch(window)
-        out.append((cfg.run_id, tx, y, p, label, error, segment, due and not cfg.no_swap, scope, whole, part, n, frauds))
+                models[keyed(segment)] = buffer.fit(segment if by_segment else None)
+            if cfg.timed:
+                seconds = 0.0 if cfg.no_swap else perf_counter() - began
+        out.append((cfg.run_id, tx, y, p, label, error, segment, due and not cfg.no_swap, scope, whole, part, n, frauds, seconds))
     return out
 
 
@@ -122,6 +148,7 @@ def _frame(records: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(records, columns=_COLUMNS)
     for c in ("n_window", "n_fraud_window"):
         out[c] = out[c].astype("Int64")
+    out["duration_s"] = out["duration_s"].astype(float)
     return out
 
 
@@ -172,7 +199,7 @@ def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
             model.learn_one(x, y)
             epoch_end = (tx - cfg.warmup + 1) % cfg.interval == 0
             swap = epoch_end and not cfg.no_swap
-            out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, swap, "global" if epoch_end else None, None, None, None, None))
+            out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, swap, "global" if epoch_end else None, None, None, None, None, None))
         return _frame(out)
 
     sizes = trained.groupBy((cfg.warmup + F.col("epoch") * cfg.interval - 1).alias("tx_index")).agg(
@@ -237,7 +264,9 @@ def _with_alarms(records: DataFrame, cfg: RunConfig, by: dict[str, str | None])
 
 def prequential(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
     """Records of a run by the widest plan that its policy allows; equal to the sequential fold in every column."""
-    if cfg.policy == "P1" and not cfg.no_swap:  # without a swap, a model outlives its epoch
+    if cfg.timed:
+        return sequential(stream, features, cfg)
+    if cfg.policy == "P1" and not cfg.no_swap and not cfg.retrain:  # without a swap, a model outlives its epoch
         both = {"drift_detected_global": None, "drift_detected_segment": "segment_key"}
         return _with_alarms(epochs(stream, features, cfg), cfg, both)
     if cfg.policy == "P3":

@@ -50,6 +50,11 @@ def test_preprocessor(spark, tmp_path):
     old, prep.INLINE = prep.INLINE, 0
     try:
         assert [tuple(r) for r in p.transform(df, "id").orderBy("id").collect()] == out
+        large = prep.Preprocessor("paysim", "y", "t", "id").fit(df.where("id < 4"))
+        assert large.vocabularies == {"type": {}} and set(large.tables) == {"type"} and large.to_dict() == p.to_dict()
+        assert [tuple(r) for r in large.transform(df, "id").orderBy("id").collect()] == out
+        both = prep.Preprocessor("paysim", "y", "t", "id").fit_transform(df.where("id < 4"), "id")
+        assert [tuple(r) for r in both.orderBy("id").collect()] == out[:3]
     finally:
         prep.INLINE = old
     with pytest.raises(ValueError):
@@ -69,6 +74,23 @@ def test_injection(spark):
         inject.DriftConfig("sudden", window_size=5)
     with pytest.raises(ValueError):
         inject.DriftConfig("other")
+    with pytest.raises(ValueError):
+        inject.inject(df, cfg, 101, n=100)
+
+
+@pytest.mark.parametrize("regime", inject.REGIMES)
+def test_events_and_streams_equal_the_frame(spark, regime):
+    """The same rows, whole, as a stream with positions, and one by one outside of Spark; draws are NumPy's own."""
+    df = spark.range(300).select(F.col("id").alias("tx_index"), F.col("id").cast("double").alias("C1"), (-F.col("id")).cast("double").alias("C2"), F.when(F.col("id") % 3 == 0, "C").alias("segment_key"))
+    cfg = inject.DriftConfig(regime, t_drift=40, transition_width=100, recurrence_period=30)
+    frame = inject.inject(df, cfg, 50)
+    one = {r["stream_idx"]: (r["C1"], r["C2"], r["is_affected"]) for r in frame.where("stream_idx >= 0").collect()}
+    moved = inject.inject_stream(df.where("tx_index >= 50").withColumn("stream_idx", F.col("tx_index") - 50), cfg)
+    assert one == {r["stream_idx"]: (r["C1"], r["C2"], r["is_affected"]) for r in moved.collect()} and len(one) == 250
+    for i, got in one.items():
+        x, hit = inject.inject_event({"C1": i + 50.0, "C2": -i - 50.0}, "C" if (i + 50) % 3 == 0 else None, i, cfg)
+        assert got == (x["C1"], x["C2"], hit)
+    assert 0 < sum(hit for *_, hit in one.values()) < 250
 
 
 def test_layout(spark):
@@ -110,7 +132,10 @@ def test_tails():
     assert stats.wilcoxon_p([1, 2, 3, 4, 5]) == 0.0625 and stats.wilcoxon_p([0, 0]) is None
     assert abs(stats.shapiro_p([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]) - 0.00670) < 2e-4
     out = stats.paired_comparison([3, 4, 5, 6], [1, 2, 3, 4], "a", "b")
-    assert out["dz"] == 0.0 and out["t_stat"] is None and out["mean_diff"] == 2
+    assert out["cohens_dz"] == 0.0 and out["t_statistic"] is None and out["mean_diff"] == 2 and not out["significant_at_alpha"]
+    out = stats.paired_comparison([3.1, 4.4, 5.2, 6.9], [1, 2, 3, 4], "a", "b")
+    assert out["significant_at_alpha"] and out["wilcoxon_statistic"] == 0.0 and out["n_seeds"] == 4 and out["se_diff"] > 0
+    assert stats.signed_rank([1, -1, 2, 0, 3]) == 1.5
     with pytest.raises(ValueError):
         stats.paired_comparison([1], [2], "a", "b")
 
