@@ -17,9 +17,10 @@ set has an odd sketch: bits that each token flips. Sketches of two sets differ i
 tokens, so a pair whose sketches differ in too many bits is settled without its texts. The other star pairs are verified
 exactly on whole texts, each document's most frequent pair first, then those that still join something new. All members
 of a bucket meet in the group of its smallest document. Where a group is not connected by then, its members outside its
-largest part are compared with all of it by sketch, in pieces of bounded size, and what is left is verified. So every
-link between different texts is found or follows from verified ones, and a large group of copies costs pairs in
-proportion to its size. Equal sets are linked by a 128-bit digest first. A bucket that a sample shows to be frequent is
+largest part look for partners in its other parts by sketch, in pieces of bounded size. Each gives its nearest ones that
+were not tried, first one, then four times as many in each round; what verifies joins parts, and rounds go on until no
+plausible pair between two parts is untried. So every link between different texts is found or follows from verified
+ones, and a large group of copies costs pairs in proportion to its size. Equal sets are linked by a 128-bit digest first. A bucket that a sample shows to be frequent is
 spread over all shards by its members; each part gives its smallest document, and the smallest of all (one row a
 frequent bucket) then forms the same star pairs. Star pairs are counted in shards of pairs, not of their first document.
 
@@ -36,6 +37,7 @@ from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,8 +355,9 @@ def _plausible(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return both.mapInArrow(lean(run), "a long, b long")
 
 
-def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Plausible pairs between the parts of each group of star pairs that is not connected."""
+def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, tried: DataFrame, per_cent: int, most: int) -> DataFrame:
+    """Plausible pairs between the parts of each group of star pairs that is not connected: for each member outside the
+    largest part, the ``most`` nearest that were not tried (in each piece of work)."""
     member = star.select("a", F.col("b").alias("doc_id")).union(star.select("a", F.col("a").alias("doc_id")).distinct())
     named = member.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = cut(named.select("a", "doc_id", F.coalesce("component", "doc_id").alias("part")), "members")
@@ -374,14 +377,29 @@ def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int) -
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     members = mine.select("a", "doc_id", "part", F.lit(False).alias("out"), place("member_parts").alias("x"), F.explode(spread("outlier_parts")).alias("y"))
     outliers = mine.where(out).select("a", "doc_id", "part", F.lit(True).alias("out"), F.explode(spread("member_parts")).alias("x"), place("outlier_parts").alias("y"))
-    rows = members.union(outliers).join(sets.select("doc_id", "n", "sketch"), "doc_id")
+    rows = members.union(outliers).join(sets.select("doc_id", "n", "sketch"), "doc_id").withColumn("other", F.lit(None).cast("long"))
+    # pairs that were tried go to the piece of work that would find them again
+    both = tried.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).union(tried.select("b", "a"))
+    known = both.join(mine.where(out).select("a", "doc_id", "member_parts", "outlier_parts"), "doc_id").select(
+        "doc_id", "a", F.lit(None).cast("long").alias("part"), F.lit(None).cast("boolean").alias("out"),
+        F.pmod(F.xxhash64("other"), F.col("member_parts")).cast("int").alias("x"), place("outlier_parts").alias("y"),
+        F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), "other",
+    )
+    rows = rows.unionByName(known)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
+        old = t.filter(pc.is_valid(t.column("other")))
+        skip: dict[int, list[int]] = {}
+        for i, j in zip(old.column("doc_id").to_pylist(), old.column("other").to_pylist(), strict=True):
+            skip.setdefault(i, []).append(j)
+        t = t.filter(pc.is_null(t.column("other")))
+        if not t.num_rows:
+            return
         ids, part, n, out = (t.column(c).to_numpy() for c in ("doc_id", "part", "n", "out"))
         raw = t.column("sketch").to_pylist()
         width = np.array([len(r) for r in raw])
-        found = []
+        nearest: dict[int, list[tuple[int, int]]] = {}
         for w in np.unique(width[out]).tolist():
             o = np.flatnonzero(out & (width == w))
             own = np.frombuffer(b"".join(raw[i] for i in o.tolist()), np.uint8).reshape(len(o), w)
@@ -399,15 +417,18 @@ def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int) -
                 high = np.searchsorted(n[m], n[o] * 100 // per_cent, side="right")
                 for k, i in enumerate(o.tolist()):
                     near = slice(low[k], high[k])
-                    most = (n[i] + n[m[near]]) * (100 - per_cent) // (100 + per_cent)
-                    ok = np.bitwise_count(b[near] ^ a[k]).sum(axis=1) <= most
+                    far = np.bitwise_count(b[near] ^ a[k]).sum(axis=1).astype(np.int64)
+                    ok = far <= (n[i] + n[m[near]]) * (100 - per_cent) // (100 + per_cent)
                     ok &= part[m[near]] != part[i]
-                    for j in ids[m[near]][ok].tolist():
-                        found.append((min(int(ids[i]), j), max(int(ids[i]), j)))
+                    if ok.any() and (gone := skip.get(int(ids[i]))):
+                        ok &= ~np.isin(ids[m[near]], gone)
+                    best = np.lexsort((ids[m[near]][ok], far[ok]))[:most]
+                    nearest.setdefault(i, []).extend(zip(far[ok][best].tolist(), ids[m[near]][ok][best].tolist(), strict=True))
+        found = sorted({(min(int(ids[i]), j), max(int(ids[i]), j)) for i, v in nearest.items() for _, j in sorted(v)[:most]})
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.select("a", "x", "y", "doc_id", "part", "n", "sketch", "out").groupBy("a", "x", "y").applyInArrow(
+    return rows.select("a", "x", "y", "doc_id", "part", "n", "sketch", "out", "other").groupBy("a", "x", "y").applyInArrow(
         lean(compare), "a long, b long"
     ).distinct()
 
@@ -509,11 +530,15 @@ def near_duplicates(
     if not rest.isEmpty():
         links = cut(links.union(verified(texts, rest, shingle, per_cent)), "links")
         parts = components(links)
-    tried = best.union(rest)
-    across = cut(_across(star, parts, sets, per_cent).join(tried, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
+    tried, most = best.union(rest), 1
+    while True:
+        across = cut(_across(star, parts, sets, tried, per_cent, most), "across")
+        if across.isEmpty():
+            break
         texts = involved(table, across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct())
-        parts = components(links.union(verified(texts, across, shingle, per_cent)))
+        links = cut(links.union(verified(texts, across, shingle, per_cent)), "links")
+        parts = components(links)
+        tried, most = tried.union(across), 4 * most
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *kept).join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select(
