@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import lean, small_batches
+from driftspark.llm._common import lean, small_batches, trim
 
 #: Words a task remembers; it forgets them all when there are more.
 CACHE_WORDS = 150_000
@@ -150,24 +150,25 @@ class Automaton:
         live, leads = np.unique(np.append(0, leads), return_inverse=True)
         # states with equal arcs are one state
         seen: dict[bytes, int] = {}
-        same = np.array([seen.setdefault(table[s].tobytes(), len(seen)) for s in live.tolist()])
+        same = np.array([seen.setdefault(hashlib.sha256(table[s].tobytes()).digest(), len(seen)) for s in live.tolist()])
+        states = live[np.unique(same, return_index=True)[1]]
         self.leads = array("i", same[leads[1:]].tolist())
         self.start = int(same[leads[0]])
         # tokens that the same states allow are one class: columns of the table that are equal
-        states = np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), -1)
         group: dict[bytes, int] = {}
         self.group = array("i", [0]) * n
         kept = []
         for low in range(0, n, 512):
-            columns = np.unpackbits(states[:, low >> 3 : (low + 512) >> 3], axis=1, bitorder="little").T
+            columns = np.unpackbits(table[states, low >> 3 : (low + 512) >> 3], axis=1, bitorder="little").T
             for t, column in enumerate(np.packbits(columns, axis=1, bitorder="little")[: n - low], low):
                 key = hashlib.sha256(raw := column.tobytes()).digest()
                 if key not in group:
                     group[key] = len(group)
                     kept.append(np.frombuffer(raw, np.uint8))
                 self.group[t] = group[key]
-        del seen, table
-        back = lambda x: np.packbits(np.unpackbits(np.array(x), axis=1, count=len(states), bitorder="little").T, axis=1, bitorder="little")
+        count = len(states)
+        del seen, table, allowed
+        back = lambda x: np.packbits(np.unpackbits(np.array(x), axis=1, count=count, bitorder="little").T, axis=1, bitorder="little")
         bits = np.hstack([back(kept[i : i + 512]) for i in range(0, len(kept), 512)])
         self.rows = [r.tobytes() for r in bits]
 
@@ -248,7 +249,10 @@ class Coder:
 def _coded(documents: DataFrame, vocabulary: str, batch, schema: str) -> DataFrame:
     """``batch(coder, record batch)`` over documents; a task has one coder, which goes with it."""
     small_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
+    automaton = Automaton(vocabulary)
+    trim()
+    shared = documents.sparkSession.sparkContext.broadcast(automaton)
+    del automaton
 
     def run(batches):
         coder = Coder(shared.value)

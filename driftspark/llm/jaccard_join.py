@@ -18,8 +18,8 @@ tokens, so a pair whose sketches differ in too many bits is settled without its
 exactly on whole texts, each document's most frequent pair first, then those that still join something new. All members
 of a bucket meet in the group of its smallest document. Where a group is not connected by then, its members outside its
 largest part look for partners in its other parts by sketch, in pieces of bounded size. Each gives its nearest ones that
-were not tried, first one, then four times as many in each round; what verifies joins parts, and rounds go on until no
-plausible pair between two parts is untried. So every link between different texts is found or follows from verified
+were not tried, first ``NEAREST``, then 16 times as many in each round; what verifies joins parts, and rounds go on until
+no plausible pair between two parts is untried. So every link between different texts is found or follows from verified
 ones, and a large group of copies costs pairs in proportion to its size. Equal sets are linked by a 128-bit digest first. A bucket that a sample shows to be frequent is
 spread over all shards by its members; each part gives its smallest document, and the smallest of all (one row a
 frequent bucket) then forms the same star pairs. Star pairs are counted in shards of pairs, not of their first document.
@@ -58,6 +58,8 @@ BITMAP = 26
 LEAST = 2
 #: Members and outliers of a group of star pairs that are compared in one piece of work.
 MEMBERS, OUTLIERS = 4096, 2048
+#: Partners that a member of an unconnected group gives in the first round.
+NEAREST = 4
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 PACKED = "shard int, kind int, entries binary, docs binary, ids binary, sizes binary, low binary, high binary, sketches binary"
 FOUND = "kind int, a long, b long, n long, low long, high long, sketch binary"
@@ -530,7 +532,7 @@ def near_duplicates(
     if not rest.isEmpty():
         links = cut(links.union(verified(texts, rest, shingle, per_cent)), "links")
         parts = components(links)
-    tried, most = best.union(rest), 1
+    tried, most = best.union(rest), NEAREST
     while True:
         across = cut(_across(star, parts, sets, tried, per_cent, most), "across")
         if across.isEmpty():
@@ -538,7 +540,10 @@ def near_duplicates(
         texts = involved(table, across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct())
         links = cut(links.union(verified(texts, across, shingle, per_cent)), "links")
         parts = components(links)
-        tried, most = tried.union(across), 4 * most
+        sides = across.select("a").union(across.select("b")).groupBy("a").agg(F.count("*").alias("n"))
+        if sides.agg(F.max("n")).first()[0] < most:
+            break  # no member had more to give
+        tried, most = tried.union(across), 16 * most
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *kept).join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select(
