@@ -12,17 +12,19 @@ equal ones is among them. A set with more also indexes the one-deletion neighbou
 double), which makes up for what the costly ones lose; if even that is too little, it indexes those too. c is chosen for
 each band by expected cost: one entry more for every set, against neighbourhoods for sets with over c costly segments.
 
-*Buckets.* Sets whose entries are equal meet in a bucket, which sends star pairs (its smallest document, another). Every
-set has an odd sketch: bits that each token flips. Sketches of two sets differ in at most as many bits as the sets in
-tokens, so a pair whose sketches differ in too many bits is settled without its texts. The other star pairs are verified
-exactly on whole texts, each document's most frequent pair first, then those that still join something new. All members
-of a bucket meet in the group of its smallest document. Where a group is not connected by then, its members outside its
-largest part look for partners in its other parts by sketch, in pieces of bounded size. Each gives its nearest ones that
-were not tried, first ``NEAREST``, then 16 times as many in each round; what verifies joins parts, and rounds go on until
-no plausible pair between two parts is untried. So every link between different texts is found or follows from verified
-ones, and a large group of copies costs pairs in proportion to its size. Equal sets are linked by a 128-bit digest first. A bucket that a sample shows to be frequent is
-spread over all shards by its members; each part gives its smallest document, and the smallest of all (one row a
-frequent bucket) then forms the same star pairs. Star pairs are counted in shards of pairs, not of their first document.
+*Buckets.* Sets whose entries are equal meet in a bucket, which sends star pairs (its centre, another). The centre is the
+member with the least share of entries that it alone has in its buffer of documents, of these the smallest: one and the
+same copy, nearly unchanged, serves most buckets of a group of copies, which keeps star pairs few. Every set has an odd
+sketch: bits that each token flips. Sketches of two sets differ in at most as many bits as the sets in tokens, so a pair
+whose sketches differ in too many bits is settled without its texts. The other star pairs are verified exactly on whole
+texts, each document's most frequent pair first, then those that still join something new. All members of a bucket meet
+in the group of its centre. Where a group is not connected by then, its members outside its largest part look for
+partners in its other parts by sketch, in pieces of bounded size. Each gives its nearest ones that were not tried, first
+``NEAREST``, then 16 times as many in each round; what verifies joins parts, and rounds go on until no plausible pair
+between two parts is untried. So every link between different texts is found or follows from verified ones, and a large
+group of copies costs pairs in proportion to its size. Equal sets are linked by a 128-bit digest first. A bucket that a
+sample shows to be frequent is spread over all shards by its members; each part gives its centre, and the first of all
+(one row a frequent bucket) then forms the same star pairs. Star pairs are counted in shards of pairs, not of centres.
 
 Defined results: no words: an empty set, linked with nothing; fewer words than n: the whole sequence is one shingle;
 rows that share a doc_id are one node; a null doc_id is linked with nothing and has a null component; further columns
@@ -213,6 +215,7 @@ def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int, hot
         rows = np.sort(x[new & (sizes[x] > 1)])
         if len(rows):
             h, d = entries(np.concatenate([sets[i] for i in rows.tolist()]), sizes[rows], per_cent)
+            rank = _ranks(h, d, len(rows))
             place = np.where(is_hot(h, hot), mix(h ^ ids[rows][d].view(np.uint64)), h)
             shard = ((place >> np.uint64(40)) % np.uint64(n_shards)).astype(np.uint16 if n_shards < 1 << 16 else np.int64)
             order = np.argsort(shard, kind="stable")
@@ -223,7 +226,7 @@ def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int, hot
                     mine, at = np.unique(d[i:j], return_inverse=True)
                     back = np.argsort(at, kind="stable")
                     steps = np.diff(at[back], prepend=0).astype("<u2")
-                    out.append((int(shard[i]), 0, h[i:j][back].tobytes(), steps.tobytes(), ids[rows[mine]].tobytes(), b"", b"", b"", b""))
+                    out.append((int(shard[i]), 0, h[i:j][back].tobytes(), steps.tobytes(), ids[rows[mine]].tobytes(), rank[mine].tobytes(), b"", b"", b""))
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         return pa.RecordBatch.from_arrays(
             [pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -248,6 +251,13 @@ def _index(documents: DataFrame, n_shards: int, shingle: int, per_cent: int, hot
     return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(lean(run), PACKED)
 
 
+def _ranks(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets with entries (h, d), the share (0 to 255) of its entries that no other set of the buffer has."""
+    _, at, count = np.unique(h, return_inverse=True, return_counts=True)
+    alone = np.bincount(d, count[at] == 1, n)
+    return (255 * alone / np.maximum(np.bincount(d, minlength=n), 1)).astype(np.uint8)
+
+
 def _starts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
 
@@ -263,10 +273,10 @@ def _pairs(a: np.ndarray, b: np.ndarray, n_subs: int) -> tuple[list[int], list[i
 
 
 def _stars(batches: Iterator[pa.RecordBatch], n_subs: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Documents of a shard (kind 1: a, n, low, high, sketch), its star pairs (smallest of a bucket, other member), packed
-    (kind 0: a = sub-shard, n = number of pairs), and its parts of frequent buckets (kind 2: a = bucket, b = smallest
-    member, n = number of members, packed members)."""
-    hashes, docs = [], []
+    """Documents of a shard (kind 1: a, n, low, high, sketch), its star pairs (centre of a bucket, other member), packed
+    (kind 0: a = sub-shard, n = number of pairs), and its parts of frequent buckets (kind 2: a = bucket, b = the part's
+    centre, n = number of members, low = rank of the centre, packed members)."""
+    hashes, docs, ranks = [], [], []
     for batch in batches:
         for r in batch.to_pylist():
             ids = np.frombuffer(r["ids"], np.int64)
@@ -277,18 +287,20 @@ def _stars(batches: Iterator[pa.RecordBatch], n_subs: int, hot: np.ndarray) -> I
                 yield _found(1, ids, ids, sizes, *(np.frombuffer(r[x], np.int64) for x in ("low", "high")), cut_up)
             else:
                 hashes.append(np.frombuffer(r["entries"], np.uint64))
-                docs.append(ids[np.cumsum(np.frombuffer(r["docs"], "<u2").astype(np.int64))])
+                at = np.cumsum(np.frombuffer(r["docs"], "<u2").astype(np.int64))
+                docs.append(ids[at])
+                ranks.append(np.frombuffer(r["sizes"], np.uint8)[at])
     if not hashes:
         return
-    h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
+    h, d, rank = np.concatenate(hashes), np.concatenate(docs), np.concatenate(ranks)
+    order = np.lexsort((d, rank, h))
+    h, d, rank = h[order], d[order], rank[order]
     start = _starts(h)
     size = np.diff(np.append(start, len(h)))
     frequent = is_hot(h[start], hot)
-    least = np.repeat(d[start], size)
-    pair = (least != d) & ~np.repeat(frequent, size)
-    sub, n, packed = _pairs(least[pair], d[pair], n_subs)
+    centre = np.repeat(d[start], size)
+    pair = (centre != d) & ~np.repeat(frequent, size)
+    sub, n, packed = _pairs(centre[pair], d[pair], n_subs)
     if sub:
         zero = np.zeros(len(sub), np.int64)
         yield _found(0, np.array(sub), zero, np.array(n), zero, zero, packed)
@@ -296,25 +308,25 @@ def _stars(batches: Iterator[pa.RecordBatch], n_subs: int, hot: np.ndarray) -> I
         at, n = start[frequent], size[frequent]
         zero = np.zeros(len(at), np.int64)
         members = [d[i : i + k].tobytes() for i, k in zip(at.tolist(), n.tolist(), strict=True)]
-        yield _found(2, h[at].view(np.int64), d[at], n, zero, zero, members)
+        yield _found(2, h[at].view(np.int64), d[at], n, rank[at].astype(np.int64), zero, members)
 
 
 def _frequent_pairs(found: DataFrame, n_subs: int) -> DataFrame:
-    """sub, sketch: packed star pairs of the frequent buckets, once the parts' smallest documents are known."""
-    parts = found.where("kind = 2").select("a", "b", "sketch")
-    least = parts.groupBy("a").agg(F.min("b").alias("least"))  # one row a frequent bucket, of which there are HOT_MOST at most
+    """sub, sketch: packed star pairs of the frequent buckets, once the parts' centres are known."""
+    parts = found.where("kind = 2").select("a", "b", "low", "sketch")
+    centre = parts.groupBy("a").agg(F.min(F.struct("low", "b"))["b"].alias("centre"))  # one row a frequent bucket, of which there are HOT_MOST at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
                 continue
             members = [np.frombuffer(m, np.int64) for m in x.column("sketch").to_pylist()]
-            first = np.repeat(x.column("least").to_numpy(), list(map(len, members)))
+            first = np.repeat(x.column("centre").to_numpy(), list(map(len, members)))
             other = np.concatenate(members)
             sub, _, packed = _pairs(first[other != first], other[other != first], n_subs)
             yield pa.RecordBatch.from_arrays([pa.array(sub, pa.int64()), pa.array(packed, pa.binary())], names=["sub", "sketch"])
 
-    return parts.join(F.broadcast(least), "a").select("least", "sketch").mapInArrow(lean(run), "sub long, sketch binary")
+    return parts.join(F.broadcast(centre), "a").select("centre", "sketch").mapInArrow(lean(run), "sub long, sketch binary")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

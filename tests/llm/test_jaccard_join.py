@@ -84,6 +84,19 @@ def test_frequent_buckets(spark, monkeypatch):
     assert len(seen[0])
 
 
+def test_centres_are_the_sets_that_others_resemble_most():
+    """The unchanged copy is the centre, wherever it stands, and buckets make fewer pairs than with smallest ids."""
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 2**64, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rnd.permutation(90)[4:]], rnd.integers(0, 2**64, 4, dtype=np.uint64)])) for _ in range(40)]
+    sets.insert(25, np.unique(base))
+    h, d = jj.entries(np.concatenate(sets), np.array(list(map(len, sets))), 80)
+    rank = jj._ranks(h, d, len(sets))
+    assert rank.argmin() == 25 and (np.delete(rank, 25) > rank[25]).all()
+    pairs = lambda order: len({(m[0], x) for m in (sorted(d[h == v].tolist(), key=order) for v in np.unique(h)) for x in m[1:]})
+    assert pairs(lambda i: (rank[i], i)) < 0.75 * pairs(lambda i: i)
+
+
 def test_odd_rows(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F")]
     got = rows(jj.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
