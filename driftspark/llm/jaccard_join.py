@@ -20,11 +20,12 @@ whose sketches differ in too many bits is settled without its texts. The other s
 texts, each document's most frequent pair first, then those that still join something new. All members of a bucket meet
 in the group of its centre. Where a group is not connected by then, its members outside its largest part look for
 partners in its other parts by sketch, in pieces of bounded size. Each gives its nearest ones that were not tried, first
-``NEAREST``, then 16 times as many in each round; what verifies joins parts, and rounds go on until no plausible pair
-between two parts is untried. So every link between different texts is found or follows from verified ones, and a large
-group of copies costs pairs in proportion to its size. Equal sets are linked by a 128-bit digest first. A bucket that a
-sample shows to be frequent is spread over all shards by its members; each part gives its centre, and the first of all
-(one row a frequent bucket) then forms the same star pairs. Star pairs are counted in shards of pairs, not of centres.
+``NEAREST``, then 16 times as many in each round; what verifies joins parts. A further round takes only the groups of
+members that have more to give, and only these ask, until no plausible pair between two parts is untried. So every link
+between different texts is found or follows from verified ones, and a large group of copies costs pairs in proportion to
+its size. Equal sets are linked by a 128-bit digest first. A bucket that a sample shows to be frequent is spread over all
+shards by its members; each part gives its centre, and the first of all (one row a frequent bucket) then forms the same
+star pairs. Star pairs are counted in shards of pairs, not of centres.
 
 Defined results: no words: an empty set, linked with nothing; fewer words than n: the whole sequence is one shingle;
 rows that share a doc_id are one node; a null doc_id is linked with nothing and has a null component; further columns
@@ -369,24 +370,31 @@ def _plausible(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return both.mapInArrow(lean(run), "a long, b long")
 
 
-def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, tried: DataFrame, per_cent: int, most: int) -> DataFrame:
-    """Plausible pairs between the parts of each group of star pairs that is not connected: for each member outside the
-    largest part, the ``most`` nearest that were not tried (in each piece of work)."""
-    member = star.select("a", F.col("b").alias("doc_id")).union(star.select("a", F.col("a").alias("doc_id")).distinct())
+def _across(
+    member: DataFrame, parts: DataFrame, sets: DataFrame, tried: DataFrame, per_cent: int, most: int
+) -> tuple[DataFrame, DataFrame]:
+    """Plausible pairs between the parts of each group of ``member`` (a, doc_id, asks) that is not connected: the ``most``
+    nearest that were not tried (in each piece of work) for each member that asks, or where that is null, for each one
+    outside the largest part. Returns a table of them (a, b, false) and of the members that have more to give (group,
+    doc_id, true), and the members for the next round: the groups of these, in which only these ask. That is enough: of
+    two members between two parts, one at least asks, and it gives the pair or has more to give."""
     named = member.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = cut(named.select("a", "doc_id", F.coalesce("component", "doc_id").alias("part")), "members")
-    sizes = named.groupBy("a", "part").agg(F.count("*").alias("n"))
+    named = cut(named.select("a", "doc_id", F.coalesce("component", "doc_id").alias("part"), "asks"), "members")
+    sizes = named.groupBy("a", "part").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("asking"))
     whole = sizes.groupBy("a").agg(
-        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("largest")
+        F.sum("n").alias("n"),
+        F.max("n").alias("most"),
+        F.max_by("part", F.struct("n", "part")).alias("largest"),
+        F.coalesce(F.sum("asking"), F.sum("n") - F.max("n")).alias("asking"),
     )
-    whole = whole.where("n > most").select(
+    whole = whole.where("n > most and asking > 0").select(
         "a",
         "largest",
         F.ceil(F.col("n") / MEMBERS).cast("int").alias("member_parts"),
-        F.ceil((F.col("n") - F.col("most")) / OUTLIERS).cast("int").alias("outlier_parts"),
+        F.ceil(F.col("asking") / OUTLIERS).cast("int").alias("outlier_parts"),
     )
     mine = named.join(whole, "a")
-    out = F.col("part") != F.col("largest")
+    out = F.coalesce("asks", F.col("part") != F.col("largest"))
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     members = mine.select("a", "doc_id", "part", F.lit(False).alias("out"), place("member_parts").alias("x"), F.explode(spread("outlier_parts")).alias("y"))
@@ -414,6 +422,7 @@ def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, tried: DataFrame
         raw = t.column("sketch").to_pylist()
         width = np.array([len(r) for r in raw])
         nearest: dict[int, list[tuple[int, int]]] = {}
+        untried: dict[int, int] = {}
         for w in np.unique(width[out]).tolist():
             o = np.flatnonzero(out & (width == w))
             own = np.frombuffer(b"".join(raw[i] for i in o.tolist()), np.uint8).reshape(len(o), w)
@@ -436,15 +445,23 @@ def _across(star: DataFrame, parts: DataFrame, sets: DataFrame, tried: DataFrame
                     ok &= part[m[near]] != part[i]
                     if ok.any() and (gone := skip.get(int(ids[i]))):
                         ok &= ~np.isin(ids[m[near]], gone)
+                    untried[i] = untried.get(i, 0) + int(ok.sum())
                     best = np.lexsort((ids[m[near]][ok], far[ok]))[:most]
                     nearest.setdefault(i, []).extend(zip(far[ok][best].tolist(), ids[m[near]][ok][best].tolist(), strict=True))
         found = sorted({(min(int(ids[i]), j), max(int(ids[i]), j)) for i, v in nearest.items() for _, j in sorted(v)[:most]})
-        a, b = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        group = t.column("a")[0].as_py()
+        rows = [(*p, False) for p in found] + [(group, int(ids[i]), True) for i, k in untried.items() if k > most]
+        a, b, more = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"]
+        )
 
-    return rows.select("a", "x", "y", "doc_id", "part", "n", "sketch", "out", "other").groupBy("a", "x", "y").applyInArrow(
-        lean(compare), "a long, b long"
-    ).distinct()
+    pieces = rows.select("a", "x", "y", "doc_id", "part", "n", "sketch", "out", "other").groupBy("a", "x", "y")
+    found = cut(pieces.applyInArrow(lean(compare), "a long, b long, more boolean"), "across")
+    asking = found.where("more").select("a", F.col("b").alias("doc_id"), F.lit(True).alias("asks")).distinct()
+    left = named.select("a", "doc_id").join(asking.select("a").distinct(), "a", "left_semi")
+    left = left.join(asking, ["a", "doc_id"], "left").select("a", "doc_id", F.coalesce("asks", F.lit(False)).alias("asks"))
+    return found, left
 
 
 def verified(documents: DataFrame, pairs: DataFrame, shingle: int, per_cent: int) -> DataFrame:
@@ -545,16 +562,18 @@ def near_duplicates(
         links = cut(links.union(verified(texts, rest, shingle, per_cent)), "links")
         parts = components(links)
     tried, most = best.union(rest), NEAREST
+    member = star.select("a", F.col("b").alias("doc_id")).union(star.select("a", F.col("a").alias("doc_id")).distinct())
+    member = member.withColumn("asks", F.lit(None).cast("boolean"))
     while True:
-        across = cut(_across(star, parts, sets, tried, per_cent, most), "across")
+        given, member = _across(member, parts, sets, tried, per_cent, most)
+        across = given.where("not more").select("a", "b").distinct()
         if across.isEmpty():
             break
         texts = involved(table, across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct())
         links = cut(links.union(verified(texts, across, shingle, per_cent)), "links")
         parts = components(links)
-        sides = across.select("a").union(across.select("b")).groupBy("a").agg(F.count("*").alias("n"))
-        if sides.agg(F.max("n")).first()[0] < most:
-            break  # no member had more to give
+        if given.where("more").isEmpty():
+            break
         tried, most = tried.union(across), 16 * most
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *kept).join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")

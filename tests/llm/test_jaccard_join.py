@@ -72,6 +72,23 @@ def test_copies_that_differ_from_one_another(spark):
     assert rows(jj.near_duplicates(df)) == sorted(brute.jaccard_components(docs), key=str)
 
 
+def test_rounds_of_unconnected_groups(spark, monkeypatch):
+    """Members that give one partner a round, in small pieces of work, reach the same groups after several rounds."""
+    base = [f"w{i}" for i in range(110)]
+    docs = []
+    for i, j in enumerate([*range(5, 100, 5), *range(8, 30, 5)]):  # most are 24 shingles apart, one too many
+        w = list(base)
+        w[j], w[-2] = f"x{i}", f"y{i}"
+        docs.append((1000 - i if i % 2 else i, " ".join(w)))
+    rounds, one = [], jj._across
+    monkeypatch.setattr(jj, "_across", lambda *a: rounds.append(a[-1]) or one(*a))
+    for name, value in (("NEAREST", 1), ("MEMBERS", 16), ("OUTLIERS", 8)):
+        monkeypatch.setattr(jj, name, value)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(jj.near_duplicates(df)) == sorted(brute.jaccard_components(docs), key=str)
+    assert len(rounds) > 1
+
+
 def test_frequent_buckets(spark, monkeypatch):
     """Buckets that are spread over the shards by their members give the same links."""
     docs = near_copies(6, groups=6, copies=60)
