@@ -8,12 +8,13 @@ Part of the optional ``driftspark.llm`` operators.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.llm import bpe, decontaminate, jaccard_join, language_id, phrase_dedup, queries
-from driftspark.llm._common import cut, read
+from driftspark.llm._common import cut, give_back, read
 
 #: A document is rejected only if no language is found or the words hardly agree on one.
 LEAST_SCORE = 0.3
@@ -89,12 +90,28 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, queries.tokenizer_file())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language),
-    ("jaccard_join", near_duplicates),
-    ("phrase_dedup", repeated_passages),
-    ("decontaminate", benchmark_passages),
-    ("bpe", tokens),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _apart(stage: Stage) -> Stage:
+    """The stage, with the executors' free heap given back before it and before the rows that it returns are made."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        out = stage(spark, docs, sf_dir)
+        give_back(spark)
+        return out
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", _apart(language)),
+    ("jaccard_join", _apart(near_duplicates)),
+    ("phrase_dedup", _apart(repeated_passages)),
+    ("decontaminate", _apart(benchmark_passages)),
+    ("bpe", _apart(tokens)),
 ]
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Every executor collects its garbage and returns the heap that is then free to the system.
+
+    A JVM keeps the heap that its busiest step made it take, so a later step that needs little of it but more for its
+    Python workers would pay for both. One short task a core calls System.gc(); where that may not be called, or a JVM
+    ignores it, nothing else changes."""
+    n = spark.sparkContext.defaultParallelism
+    try:
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+    except PySparkException:
+        pass
+
+
 def pieces(sizes: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that hold about ``most`` bytes each (one row at least)."""
     start, total = 0, 0

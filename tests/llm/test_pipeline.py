@@ -1,5 +1,6 @@
 """The pipeline on a small fixture: each stage against what a plain version of its decision keeps."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tests.llm import brute
 
@@ -94,3 +95,26 @@ def test_whole_texts(spark):
     out = texts(P.repeated_passages(spark, docs, D))
     left = {d: kept for d, _, gone, kept in brute.repeated_words(rows) if gone}
     assert set(left) == {2} and brute.sha(out[2]) == left[2] and out[1] == rows[0][1] and out[3] == rows[2][1]
+
+
+def test_stages_give_heap_back(spark):
+    """A stage neither starts nor makes its rows with the heap that earlier steps took (here driver and executor are one JVM)."""
+    vm = spark.sparkContext._jvm
+    heap = lambda: vm.java.lang.Runtime.getRuntime().totalMemory() >> 20
+    grown = []
+
+    def grow():
+        rows = spark.range(0, 1_200_000, 1, 4).select(F.collect_list(F.concat(F.lit("x" * 200), F.col("id"))).over(Window.partitionBy(F.col("id") % 4)).alias("l"))
+        rows.limit(1).select(F.size("l")).collect()
+        grown.append(heap())
+
+    def stage(spark, docs, sf_dir):
+        grown.append(heap())
+        grow()
+        return docs
+
+    grow()
+    P._apart(stage)(spark, spark.range(1), D)
+    before, at_start, inside = grown
+    assert at_start < before and heap() < inside
+    assert all(hasattr(f, "__wrapped__") for _, f in P.STAGES)
