@@ -8,7 +8,7 @@ final estimates then use all training documents.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end for each text.
 
-*Counts.* Documents form blocks of ``BLOCK_ROWS`` neighbouring rows; held-out-for-weights documents have blocks of
+*Counts.* Documents form blocks of neighbouring rows (``BLOCK_ROWS``, ``BLOCK_BYTES`` at most); held-out-for-weights documents have blocks of
 their own. A block sends the hash of each of its distinct n-grams once, with its count, to the shard of that hash; the
 shard adds up all blocks and answers each block with counts in the order of its question. So a frequent word or n-gram
 is one entry per block, and only the answers, not the keys, travel back. Then a block's documents meet its answers.
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ from driftspark.llm.phrase_dedup import mix
 
 ORDER = 2
 BLOCK_ROWS = 2048
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 6 << 20
 #: Steps of rounding log2 probabilities in the cells of held-out counts.
 STEP = 0.5
@@ -59,6 +61,20 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, in as many bytes as the largest of them takes."""
+    width = max(1, -(-int(counts.max(initial=0)).bit_length() // 8))
+    return counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(float)
+
+
 class Block:
     """The n-grams of some documents: positions, and for each order the distinct grams in (shard, hash) order.
 
@@ -124,51 +140,80 @@ class Block:
                 yield int(shard[i]), i, j
 
 
-def _blocks(documents: DataFrame) -> DataFrame:
-    """doc_id, text, held_out, deleted (held out for the weights), block."""
+class Numbers:
+    """The block of each row of a partition: a block ends before it would hold more than ``BLOCK_ROWS`` rows or
+    ``BLOCK_BYTES`` bytes of text (a longer text is alone). Deleted documents are counted by themselves."""
+
+    def __init__(self):
+        self.at = {False: (0, 0, 0), True: (0, 0, 0)}
+
+    def __call__(self, part: int, deleted: bool, size: int) -> int:
+        index, rows, held = self.at[deleted]
+        if rows and (rows == BLOCK_ROWS or held + size > BLOCK_BYTES):
+            index, rows, held = index + 1, 0, 0
+        self.at[deleted] = index, rows + 1, held + size
+        return (part << 33) + index * 2 + deleted
+
+    def of(self, batch: pa.RecordBatch) -> list[int]:
+        sizes = pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
+        return list(map(self, batch.column("part").to_pylist(), batch.column("deleted").to_pylist(), sizes))
+
+
+def _parts(documents: DataFrame) -> DataFrame:
+    """doc_id, text, held_out, deleted (held out for the weights), part: what the blocks are made of."""
     held_out = crc_mod("doc_id", 7) == 2
     text_key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("weights"))
-    row = F.monotonically_increasing_id()
-    table = documents.select(
+    return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
         held_out.alias("held_out"),
         (~held_out & (F.pmod(text_key, F.lit(8)) == 0)).alias("deleted"),
-        row.alias("row"),
+        F.spark_partition_id().alias("part"),
     )
-    part, place = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    return table.withColumn(
-        "block",
-        F.shiftleft(part, 33) + F.floor(place / BLOCK_ROWS).cast("long") * 2 + F.col("deleted").cast("long"),
-    ).drop("row")
 
 
-def _ask(documents: DataFrame, n_shards: int, order: int) -> DataFrame:
+def _blocks(parts: DataFrame) -> DataFrame:
+    """doc_id, held_out, text, block. Of parts without the other documents, the deleted ones have the same blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
+        for b in batches:
+            if b.num_rows:
+                columns = [b.column(c) for c in ("doc_id", "held_out", "text")]
+                block = pa.array(numbers.of(b), pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, block], names=["doc_id", "held_out", "text", "block"])
+
+    return parts.mapInArrow(lean(run), "doc_id long, held_out boolean, text string, block long")
+
+
+def _ask(parts: DataFrame, n_shards: int, order: int) -> DataFrame:
     def ask(rows: list[tuple], block: int) -> Iterator[tuple]:
         texts, held, deleted = zip(*rows, strict=True)
         b = Block(list(texts), n_shards, order)
         for level, counts in enumerate(b.counts(~np.array(held))):
             for shard, i, j in b.shards(level):
-                yield shard, block, level, deleted[0], j - i, pack(b.keys[level][i:j]), counts[i:j].astype("<u4").tobytes()
+                yield shard, block, level, deleted[0], j - i, pack(b.keys[level][i:j]), pack_counts(counts[i:j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, list[tuple]] = {}
+        open_: dict[bool, tuple[int, list[tuple]]] = {}
+        numbers = Numbers()
 
-        def close(blocks):
-            for block in blocks:
-                for rows in _some(ask(open_.pop(block), block)):
-                    yield _batch(rows, ASK)
+        def close(deleted):
+            block, rows = open_.pop(deleted)
+            for some in _some(ask(rows, block)):
+                yield _batch(some, ASK)
 
         for b in batches:
             texts, _ = text_bytes(b.column("text"))
-            held, deleted, block = (b.column(c).to_pylist() for c in ("held_out", "deleted", "block"))
-            for row in zip(texts, held, deleted, block, strict=True):
-                if row[3] not in open_ and len(open_) > 1:
-                    yield from close([x for x in open_ if x >> 1 != row[3] >> 1])
-                open_.setdefault(row[3], []).append(row[:3])
-        yield from close(list(open_))
+            held, deleted = (b.column(c).to_pylist() for c in ("held_out", "deleted"))
+            for *row, block in zip(texts, held, deleted, numbers.of(b), strict=True):
+                if row[2] in open_ and open_[row[2]][0] != block:
+                    yield from close(row[2])
+                open_.setdefault(row[2], (block, []))[1].append(tuple(row))
+        for of_deleted in list(open_):
+            yield from close(of_deleted)
 
-    return documents.select("text", "held_out", "deleted", "block").mapInArrow(lean(run), ASK)
+    return parts.select("text", "held_out", "deleted", "part").mapInArrow(lean(run), ASK)
 
 
 def _some(rows: Iterator[tuple], n: int = 64) -> Iterator[list[tuple]]:
@@ -199,20 +244,21 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in b.to_pylist():
             shard = r["shard"]
             asked.setdefault(r["level"], []).append(
-                (r["block"], r["deleted"], r["n"], unpack(r["keys"]), np.frombuffer(r["counts"], "<u4"))
+                (r["block"], r["deleted"], r["n"], unpack(r["keys"]), unpack_counts(r["counts"], r["n"]))
             )
     for level, rows in asked.items():
         keys, inverse = np.unique(np.concatenate([x[3] for x in rows]), return_inverse=True)
-        n = np.concatenate([x[4] for x in rows]).astype(float)
+        n = np.concatenate([x[4] for x in rows])
         gone = np.concatenate([np.full(x[2], x[1]) for x in rows])
         total = np.bincount(inverse, n, len(keys))
         deleted = np.bincount(inverse, n * gone, len(keys))
         at = 0
         out = []
-        for block, _, m, _, _ in rows:
+        for block, of_deleted, m, _, _ in rows:
             mine = inverse[at : at + m]
             at += m
-            out.append((block, level, shard, m, total[mine].astype("<f8").tobytes(), deleted[mine].astype("<f8").tobytes(), None, None, None))
+            # only the blocks of deleted documents are ever scored without them
+            out.append((block, level, shard, m, pack_counts(total[mine]), pack_counts(deleted[mine]) if of_deleted else None, None, None, None))
         if level == 0:
             out.append((None, None, shard, 0, None, None, int(total.sum()), int((total > 0).sum()), int(deleted.sum())))
         for some in _some(iter(out)):
@@ -220,7 +266,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(block: Block, answers: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Total and deleted counts of each order's grams, from a block's answers."""
+    """Total and deleted counts of each order's grams, from a block's answers (deleted ones: if they were asked for)."""
     found = {(r["level"], r["shard"]): r for r in answers}
     total = [np.zeros(len(k)) for k in block.keys]
     deleted = [np.zeros(len(k)) for k in block.keys]
@@ -229,8 +275,9 @@ def _counted(block: Block, answers: list[dict]) -> tuple[list[np.ndarray], list[
             r = found.get((level, shard))
             if r is None or r["n"] != j - i:
                 raise RuntimeError("documents came in another order than before; write them as a table first")
-            total[level][i:j] = np.frombuffer(r["total"])
-            deleted[level][i:j] = np.frombuffer(r["deleted"])
+            total[level][i:j] = unpack_counts(r["total"], j - i)
+            if r.get("deleted") is not None:
+                deleted[level][i:j] = unpack_counts(r["deleted"], j - i)
     return total, deleted
 
 
@@ -291,13 +338,14 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every document."""
     spark = documents.sparkSession
     n_shards = parts_for(total_bytes(documents), SHARD_BYTES)
-    docs = _blocks(documents)
-    answers = cut(_ask(docs, n_shards, order).groupBy("shard").applyInArrow(lean(_answer), ANSWER), "answers")
+    parts = _parts(documents)
+    answers = cut(_ask(parts, n_shards, order).groupBy("shard").applyInArrow(lean(_answer), ANSWER), "answers")
     totals = answers.where("block is null").agg(F.sum("tokens"), F.sum("types"), F.sum("gone")).first()
     n_tokens, n_types, n_gone = (int(x or 0) for x in totals)
-    texts = docs.groupBy().agg(F.count_if(~F.col("held_out")), F.count_if("deleted")).first()
+    texts = parts.groupBy().agg(F.count_if(~F.col("held_out")), F.count_if("deleted")).first()
     n_texts, n_deleted = int(texts[0]), int(texts[1])
     answers = answers.where("block is not null").select("block", "level", "shard", "n", "total", "deleted")
+    odd = answers.where("block % 2 = 1")
     sides = lambda d, a: d.groupBy("block").cogroup(a.groupBy("block"))
     uniform = 1 / (n_types + 1)
 
@@ -325,7 +373,7 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
         columns += [pa.array(np.bincount(inverse, np.where(p[:, k] > 0, log[:, k], 0.0))) for k in range(order)]
         return pa.table(columns, names=["bucket", *names, "n", *(f"s{k}" for k in range(order))])
 
-    held = sides(docs.where("deleted").select("block", "text"), answers.where("block % 2 = 1")).applyInArrow(cells, cell_schema)
+    held = sides(_blocks(parts.where("deleted")).select("block", "text"), odd).applyInArrow(cells, cell_schema)
     sums = [F.sum("n").alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(order))]
     table = held.groupBy("bucket", *names).agg(*sums).toPandas()
     n = table["n"].to_numpy(float)
@@ -360,7 +408,7 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
             names=[x.split()[0] for x in SCORES.split(", ")],
         )
 
-    return sides(docs.select("block", "doc_id", "held_out", "text"), answers).applyInArrow(score, SCORES)
+    return sides(_blocks(parts), answers.drop("deleted")).applyInArrow(score, SCORES)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import brute
 
 from driftspark.llm import kd_search, language_id, lm_score, queries
@@ -78,6 +79,41 @@ def plain_top(rows, k=20):
     return sorted(out)
 
 
+def test_lm_blocks_are_bounded_by_bytes(spark):
+    """Long texts make smaller blocks; both passes give a row the same block, whatever the batches."""
+    rows = [(i, "w " * (200_000 if i % 3 else 10) if i % 11 else None) for i in range(60)]
+    parts = lm_score._parts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))
+    blocks = {r["block"]: (r["n"], r["size"]) for r in lm_score._blocks(parts).groupBy("block").agg(F.count("*").alias("n"), size.alias("size")).collect()}
+    assert sum(n for n, _ in blocks.values()) == 60
+    assert all(n == 1 or total <= lm_score.BLOCK_BYTES for n, total in blocks.values())
+    asked = {(r["block"], r["deleted"]) for r in lm_score._ask(parts, 4, 2).select("block", "deleted").collect()}
+    assert asked == {(b, bool(b & 1)) for b in blocks}
+    alone = {r["block"] for r in lm_score._blocks(parts.where("deleted")).collect()}
+    assert alone == {b for b in blocks if b & 1}
+    numbers = lm_score.Numbers()
+    assert len({numbers(0, False, 0) for _ in range(lm_score.BLOCK_ROWS + 1)}) == 2
+    assert len({numbers(0, True, 2 * lm_score.BLOCK_BYTES) for _ in range(3)}) == 3
+
+
+def test_lm_answers_are_as_wide_as_their_counts():
+    for most, width in ((0, 1), (255, 1), (256, 2), (1 << 31, 4), (1 << 40, 6)):
+        counts = np.array([0, 1, most, 7], float)
+        raw = lm_score.pack_counts(counts)
+        assert len(raw) == 4 * width and (lm_score.unpack_counts(raw, 4) == counts).all()
+    assert len(lm_score.unpack_counts(lm_score.pack_counts(np.zeros(0)), 0)) == 0
+    keys = lm_score.pack(np.array([3, 5], np.uint64))
+    ask = [(0, 0, 0, False, 2, keys, lm_score.pack_counts(np.array([2, 0]))), (0, 1, 0, True, 1, keys_of(5), lm_score.pack_counts(np.array([300])))]
+    got = [r for b in lm_score._answer([lm_score._batch(ask, lm_score.ASK)]) for r in b.to_pylist()]
+    by = {r["block"]: r for r in got}
+    assert by[0]["deleted"] is None and lm_score.unpack_counts(by[0]["total"], 2).tolist() == [2, 300]
+    assert lm_score.unpack_counts(by[1]["deleted"], 1).tolist() == [300] and by[None]["tokens"] == 302
+
+
+def keys_of(*keys):
+    return lm_score.pack(np.array(keys, np.uint64))
+
+
 @pytest.mark.parametrize("shard, block", [(16384, 1024), (60, 4)])
 def test_top_k(spark, shard, block):
     rng = np.random.default_rng(3)
