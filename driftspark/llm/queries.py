@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from driftspark.llm import (
     bpe,
+    centroids,
     chat_format,
     decontaminate,
+    filter_audit,
     jaccard_join,
     kd_search,
     language_id,
     license_scan,
     lm_score,
     phrase_dedup,
+    quality_rules,
     suffix_dedup,
 )
 from driftspark.llm._common import read
@@ -101,6 +104,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, centres = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    sums = centroids.inertia(state)
+    own = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in sums.items() for x in pair)), F.col("cluster").cast("long")) if sums else F.lit(None).cast("long")
+    return state.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        own.alias("cluster_inertia"),
+        F.lit(sum(sums.values())).cast("long").alias("inertia"),
+        F.sha2(centroids.text_of(centres, F.col("cluster")), 256).alias("centroid_sha256"),
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -113,6 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_centroids": op12_centroids,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -121,6 +150,37 @@ _ALNUM = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F
 _SPACED = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 
 
+#: A table of masks by brute force: failures of each document, then every order is applied to them.
+_AUDIT = r"""WITH d AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+ e AS (SELECT a.rid FROM d a WHERE EXISTS (SELECT 1 FROM d b WHERE b.t = a.t AND b.doc_id < a.doc_id)),
+ f AS (SELECT rid, coalesce(lang, '') AS part, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic,
+  [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), rid IN (SELECT rid FROM e)] AS fails FROM d),
+ n AS (SELECT part, fails, len(list_filter(fails, lambda x: x)) AS k, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM f GROUP BY ALL),
+ l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i), o AS (SELECT [a.i, b.i, c.i, g.i, h.i] AS o FROM l a, l b, l c, l g, l h WHERE len(list_distinct([a.i, b.i, c.i, g.i, h.i])) = 5),
+ s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o), x AS (SELECT n.*, o, step, fails[o[step]] AS here, len(list_filter(o[1 : step - 1], lambda j: fails[j])) > 0 AS gone FROM n, s)
+ SELECT part, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+ CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT here), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND here), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE gone AND here), 0) AS BIGINT) AS redundant,
+ CAST(coalesce(sum(n) FILTER (WHERE here AND k = 1), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(n_good) FILTER (WHERE NOT gone AND here), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n_toxic) FILTER (WHERE NOT gone AND here), 0) AS BIGINT) AS toxic_lost,
+ CAST(coalesce(sum(sum(n) FILTER (WHERE NOT gone AND here)) OVER (PARTITION BY part, o[step]), 0) AS BIGINT) AS shapley FROM x GROUP BY part, o, step"""
+
+
+def _cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    """All distances to all centroids, in every round."""
+    dot = "list_dot_product({0}, {1})"
+    gap = f"CAST({dot.format('v.e', 'v.e')} - 2 * {dot.format('v.e', 'c.e')} + {dot.format('c.e', 'c.e')} AS BIGINT)"
+    steps = [
+        f"""v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ c0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS c, e FROM v WHERE vec_id IS NOT NULL) WHERE c < {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(e) AS e, min_by(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT v.rid, v.vec_id, v.e, c.c, {gap} AS d FROM v, c{r} c) GROUP BY rid)")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT c, i, sum(CAST(x AS BIGINT)) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i),
+ c{r + 1} AS (SELECT c, coalesce(n.e, o.e) AS e FROM c{r} o LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS e FROM m{r} GROUP BY c) n USING (c))""")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(list_transform(f.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} f USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express, in DuckDB's; brute force over whole tables, for small ones."""
     return {
@@ -149,4 +209,6 @@ def oracle_sql() -> dict[str, str]:
  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k))
  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN
  (WITH RECURSIVE r AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id""",
+        "op11_filter_audit": _AUDIT,
+        "op12_centroids": _cluster_sql(),
     }
