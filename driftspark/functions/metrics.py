@@ -1,7 +1,9 @@
 """Ranking and threshold metrics as grouped aggregates.
 
 Thresholds are distinct scores in descending order. Scores fall into bins, running sums are taken inside a bin and the
-bins' totals (at most ``BINS`` rows a group) are added, so no task sorts all scores of a group. Three null rules exist
+bins' totals (at most ``BINS`` rows a group) are added, so no task sorts all scores of a group. The bins' borders come
+from a sketch of the distinct scores and hold about equally many of them, wherever the scores crowd; sums are exact for
+any borders. Three null rules exist
 and are separate functions: one class gives null (``ranking``), fewer than two rows or classes gives null
 (``safe_ap``), no positive gives 0 (``slice_ap``).
 """
@@ -11,7 +13,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+from driftspark.functions.quantiles import quantiles
+
+BINS = 256
+
+
+def borders(cells: DataFrame, score: str = "score") -> list[float]:
+    """Up to BINS - 1 scores between which about equally many distinct scores of all groups lie."""
+    q = F.percentile_approx(F.col(score).cast("double"), F.array(*(F.lit(i / BINS) for i in range(1, BINS))), F.lit(10 * BINS))
+    return sorted(set(cells.select(score).distinct().agg(q).first()[0] or []))
+
+
+def bin_of(score: Column, edges: list[float]) -> Column:
+    """How many borders a score is not below: a search by halves, log2(BINS) comparisons."""
+    if not edges:
+        return F.lit(0)
+    table, steps, n = F.array(*map(F.lit, edges)), [1 << k for k in reversed(range(len(edges).bit_length()))], len(edges)
+    forward = lambda i, d: F.when((i + d <= n) & (F.get(table, i + d - 1) <= score), i + d).otherwise(i)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), forward)
 
 
 def thresholds(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> DataFrame:
@@ -20,8 +39,7 @@ def thresholds(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") ->
     cells = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_c")
     )
-    bin_ = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * BINS)
-    cells = cells.withColumn("_bin", bin_)
+    cells = cells.where("score is not null").withColumn("_bin", bin_of(F.col("score"), borders(cells)))
     totals = cells.groupBy(*by, "_bin").agg(F.sum("_p").alias("_bp"), F.sum("_c").alias("_bc"))
     above = Window.partitionBy(*by).orderBy(F.desc("_bin"))
     earlier = above.rowsBetween(Window.unboundedPreceding, -1)
@@ -120,7 +138,6 @@ def snapshot(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") -> Da
 
 
 def latency_percentiles(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """n, mean, p50, p95, p99 by linear interpolation."""
-    q = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), q.alias("q"))
+    """n, mean, p50, p95, p99 by linear interpolation, exact (``quantiles``); no row for a group without a value."""
+    out = quantiles(df, [column], (0.5, 0.95, 0.99), *by)
     return out.select(*by, "n", "mean", *(F.get("q", F.lit(i)).alias(p) for i, p in enumerate(("p50", "p95", "p99"))))

@@ -12,6 +12,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftspark.plans.layout import with_index, written
+from driftspark.plans.scan import MAX, MIN, running
+
 _N = NormalDist()
 
 
@@ -177,25 +180,31 @@ def compare_policies(runs: DataFrame, a: str, b: str, metric: str, policy: str =
     return paired_comparison([r["x"] for r in rows], [r["y"] for r in rows], a, b, alpha)
 
 
+def _ranked(p_values: DataFrame) -> tuple[DataFrame, int]:
+    """p_values with i, their rank by (p, pos) from 1, and their number; ranks are made without a sort in one task."""
+    placed = written(with_index(p_values, "p", "pos", name="_at"), "p_values")
+    return placed.withColumn("i", F.col("_at") + 1), placed.count()
+
+
 def holm_sidak(p_values: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """pos, p, adjusted, rejected (per step): p are the tests of one family, a table of bounded size."""
-    order = Window.orderBy("p", "pos")
-    ranked = p_values.withColumn("i", F.row_number().over(order)).crossJoin(F.broadcast(p_values.agg(F.count("*").alias("m"))))
+    """pos, p, adjusted, rejected (per step). The running maximum of the steps is a prefix scan, so the tests of a family
+    may be any number."""
+    ranked, m = _ranked(p_values)
+    left = F.lit(m) - F.col("i") + 1
     inside = F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0))
-    raw = 1 - F.pow(1 - inside, F.col("m") - F.col("i") + 1)
-    step = 1 - F.pow(F.lit(1 - alpha), 1.0 / (F.col("m") - F.col("i") + 1))
-    adjusted = F.least(F.max(raw).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-    return ranked.select("pos", "p", adjusted.alias("adjusted"), (F.col("p") <= step).alias("rejected"))
+    raw = 1 - F.pow(1 - inside, left)
+    step = 1 - F.pow(F.lit(1 - alpha), 1.0 / left)
+    out = running(ranked, {"_max": (MAX, raw)}, index="_at")
+    return out.select("pos", "p", F.least("_max", F.lit(1.0)).alias("adjusted"), (F.col("p") <= step).alias("rejected"))
 
 
 def benjamini_hochberg(p_values: DataFrame, q: float = 0.05) -> DataFrame:
-    """pos, p, adjusted, rejected."""
-    up, down = Window.orderBy("p", "pos"), Window.orderBy(F.desc("p"), F.desc("pos"))
-    ranked = p_values.withColumn("i", F.row_number().over(up)).crossJoin(F.broadcast(p_values.agg(F.count("*").alias("m"))))
-    raw = F.col("p") * F.col("m") / F.col("i")
-    adjusted = F.least(F.min(raw).over(down.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-    out = ranked.select("pos", "p", adjusted.alias("adjusted"))
-    return out.withColumn("rejected", F.col("adjusted") <= q)
+    """pos, p, adjusted, rejected; the running minimum from the largest p down is a prefix scan."""
+    ranked, m = _ranked(p_values)
+    down = ranked.withColumn("_down", F.lit(m) - F.col("i"))
+    out = running(down, {"_min": (MIN, F.col("p") * m / F.col("i"))}, index="_down")
+    adjusted = F.least("_min", F.lit(1.0))
+    return out.select("pos", "p", adjusted.alias("adjusted"), (adjusted <= q).alias("rejected"))
 
 
 def two_way_anova(df: DataFrame, metric: str, a: str, b: str) -> DataFrame:

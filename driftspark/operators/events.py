@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftspark.functions.metrics import safe_ap, slice_ap, trapezoid_ap
 from driftspark.plans.layout import prefixes, strided
+from driftspark.plans.scan import asof_join
 
 
 def placed(records: DataFrame, warmup: int, index_origin: str = "stream") -> DataFrame:
@@ -63,6 +64,14 @@ def detection(alarms: DataFrame, t: int, pos: str = "pos") -> DataFrame:
     return alarms.agg(F.count_if(p < t).alias("false_alarms"), first.alias("first_alarm"), (first - t).alias("delay"))
 
 
+def detections(onsets: DataFrame, alarms: DataFrame, by: tuple[str, ...] = ("segment_key",), pos: str = "pos") -> DataFrame:
+    """by, onset, first_alarm, delay of many onsets at once: the first alarm of the same ``by`` at or after each onset, or
+    null. An as-of join, so neither side has to fit anywhere."""
+    found = asof_join(onsets.select(*by, pos), alarms.select(*by, pos), pos, by)
+    first = F.col("found").getField(pos)
+    return found.select(*by, F.col(pos).alias("onset"), first.alias("first_alarm"), (first - F.col(pos)).alias("delay"))
+
+
 def recovery_time(records: DataFrame, t: int, horizon: int, n_post: int, window: int, pre_ap: float | None, tolerance: float = 0.05) -> DataFrame:
     """One row: the first position (from the onset) whose trailing window inside the post slice has recovered. The slice
     has at most ``horizon`` rows, so one task goes through it and holds one window."""

@@ -65,6 +65,7 @@ def drift_probability(cfg: DriftConfig, idx: Column) -> Column:
 def drift_state(df: DataFrame, cfg: DriftConfig, warmup: int, index: str = "tx_index", segment: str = "segment_key") -> DataFrame:
     """Adds stream_idx, regime, event_id, t_drift, is_affected, active_concept, transition_interval,
     recurrence_interval, target_segment and drift_prob."""
+    # fixed values: the texts of event_id and active_concept
     idx, seg, t = F.col("stream_idx"), F.col(segment), F.lit(cfg.t_drift)
     warm = idx < 0
     p = drift_probability(cfg, idx)
@@ -102,7 +103,7 @@ def drift_state(df: DataFrame, cfg: DriftConfig, warmup: int, index: str = "tx_i
             "event_id": F.when(warm, "warmup_baseline").otherwise(event),
             "t_drift": t.cast("long"),
             "is_affected": hit,
-            "active_concept": F.when(hit, "B").otherwise("A"),
+            "active_concept": F.when(hit, "concept_b").otherwise("concept_a"),
             "transition_interval": F.when(~warm, interval).otherwise(none) if cfg.regime == "gradual" else none,
             "recurrence_interval": F.lit(cfg.recurrence_period if cfg.regime == "recurring" else None).cast("long"),
             "target_segment": F.lit(cfg.target_segment if cfg.regime == "localized" else None).cast("string")

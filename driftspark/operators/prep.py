@@ -1,6 +1,6 @@
 """Leakage-safe preprocessing: fitted on a warmup prefix, applied to everything as one projection.
 
-The fit is one aggregate job plus one job for all vocabularies; the fitted state is small (a row per column, a row per
+The fit is a selection of exact medians, all columns in each of its passes, plus one job for all vocabularies; the fitted state is small (a row per column, a row per
 category) and is kept as plain values, so the transform stays a single code-generated stage. Vocabularies beyond
 ``INLINE`` categories stay tables, which no driver holds, and are joined; a join side is broadcast by size, by the
 planner. Only saving the state as JSON brings them to the driver.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftspark.functions.quantiles import quantiles
 from driftspark.plans.layout import written
 
 INLINE = 256
@@ -44,16 +45,16 @@ def fit_numeric(warmup: DataFrame, columns: list[str]) -> DataFrame:
     """column, median, mean, std (population): over non-null warmup values; all null gives 0, 0, 1; no spread gives 1."""
     if not columns:
         return warmup.sparkSession.createDataFrame([], "column string, median double, mean double, std double")
-    stats = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.coalesce(F.median(number(c)), F.lit(0.0)).alias("median"),
-            F.coalesce(F.avg(number(c)), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.nullif(F.stddev_pop(number(c)), F.lit(0.0)), F.lit(1.0)).alias("std"),
-        )
-        for c in columns
-    ]
-    return warmup.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    spark = warmup.sparkSession
+    found = quantiles(warmup, columns, (0.5,)).withColumnRenamed("column", "_column")
+    names = spark.createDataFrame([(c,) for c in columns], "column string")
+    rows = names.join(found, names["column"] == found["_column"], "left")
+    return rows.select(
+        "column",
+        F.coalesce(F.get("q", F.lit(0)), F.lit(0.0)).alias("median"),
+        F.coalesce("mean", F.lit(0.0)).alias("mean"),
+        F.coalesce(F.nullif("std", F.lit(0.0)), F.lit(1.0)).alias("std"),
+    )
 
 
 def fit_vocabulary(warmup: DataFrame, columns: list[str]) -> DataFrame:

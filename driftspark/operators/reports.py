@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftspark.functions.metrics import safe_ap
 from driftspark.operators.events import adaptations_after, degradation_slope, detection, phase, placed, recovery_time
 from driftspark.operators.profile import missing
+from driftspark.plans.layout import with_index
 
 # --- events -----------------------------------------------------------------------------------------------------
 
@@ -41,7 +42,7 @@ def event_metrics(
     (pre, n_pre), (post, n_post) = found.get("pre", (None, 0)), found.get("post", (None, 0))
     after = records.where((F.col("pos") >= t) & (F.col("pos") < t + horizon))
     # rows of the slice are numbered by their place in it, which a segment's positions are not
-    after = after.withColumn("i", F.row_number().over(Window.orderBy("pos")) - 1)
+    after = with_index(after, "pos", name="i")
     whole = safe_ap(records).agg(F.max("ap").alias("full"))
     one = whole.crossJoin(F.broadcast(degradation_slope(after, t, horizon, n_post, "i")))
     one = one.crossJoin(F.broadcast(detection(alarms, t))).crossJoin(F.broadcast(adaptations_after(adaptations, t)))
@@ -110,9 +111,10 @@ def adaptation_log(records: DataFrame, policy: str, interval: int = 10_000) -> D
         "P3": F.concat(F.lit("P3:segment_drift:"), scope),
     }.get(policy, F.lit(None).cast("string"))
     duration = F.when(F.col("adapted"), F.col("duration_s")).otherwise(0.0) if "duration_s" in records.columns else F.lit(None).cast("double")
-    return records.where(scope.isNotNull()).select(
+    due = with_index(records.where(scope.isNotNull()), "tx_index", name="adaptation_event_index")
+    return due.select(
         F.lit(policy).alias("policy"), "tx_index", scope.alias("scope"), duration.alias("duration_s"), trigger.alias("trigger"),
-        (F.row_number().over(Window.orderBy("tx_index")) - 1).cast("long").alias("adaptation_event_index"),
+        F.col("adaptation_event_index").cast("long").alias("adaptation_event_index"),
         F.lit(True).alias("trigger_occurred"), F.col("adapted").alias("replacement_performed"),
     )
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from driftspark.functions import metrics, stats
 from driftspark.operators import events, inject, prep, profile, reports
-from driftspark.plans.layout import over_rows, with_index
+from driftspark.plans.layout import over_rows, scratch, with_index
+from driftspark.plans.scan import LAST, MAX, SUM, running
 from driftspark.sources import datasets
 from driftspark.sources.datasets import fingerprint, left_join
-from driftspark.streaming import fold
+from driftspark.streaming import fold, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -324,7 +325,7 @@ def inject_gradual_draw(spark, d):
     return _drifted(spark, d, "gradual").select("tx_index", "is_affected", "event_id", "drift_prob")
 
 
-@query("WITH {TX} SELECT CASE WHEN tx_index - w >= 3000 AND segment_key = 'view' THEN 'B' ELSE 'A' END AS active_concept, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_positive FROM tx, size GROUP BY 1")
+@query("WITH {TX} SELECT CASE WHEN tx_index - w >= 3000 AND segment_key = 'view' THEN 'concept_b' ELSE 'concept_a' END AS active_concept, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_positive FROM tx, size GROUP BY 1")
 def drift_meta_counts(spark, d):
     return _drifted(spark, d, "localized").groupBy("active_concept").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("n_positive"))
 
@@ -374,6 +375,24 @@ def detection_delay(spark, d):
     return events.detection(_events_of(records), _T)
 
 
+@query("WITH {TX}, " + _POS + ", " + _ALARM_SQL + """, o AS (SELECT pos AS onset, segment_key FROM pos WHERE pos % 100 = 0)
+ SELECT o.segment_key, o.onset, al.pos AS first_alarm, al.pos - o.onset AS delay FROM o ASOF LEFT JOIN al ON o.segment_key = al.segment_key AND o.onset <= al.pos""")
+def detection_delays(spark, d):
+    """The delay of every one of many onsets, by segment: an as-of join of onsets and alarms."""
+    records, _ = _records(spark, d)
+    onsets = records.where(F.col("pos") % 100 == 0).select("segment_key", "pos")
+    return events.detections(onsets, _events_of(records).select("segment_key", "pos"))
+
+
+@query("""WITH {TX} SELECT tx_index, CAST(sum(y) OVER w AS BIGINT) AS n_positive, round(max(amount) OVER (PARTITION BY segment_key ORDER BY tx_index), 6) AS largest, last_value(CASE WHEN y = 1 THEN tx_index END IGNORE NULLS) OVER (PARTITION BY segment_key ORDER BY tx_index ROWS UNBOUNDED PRECEDING) AS last_positive
+ FROM tx WINDOW w AS (ORDER BY tx_index)""")
+def running_state(spark, d):
+    """What a stream's reader knows at each row: prefix scans over all rows and within segments."""
+    df = running(stream(spark, d).select("tx_index", "segment_key", "amount", "y"), {"n_positive": (SUM, F.col("y").cast("long"))})
+    own = {"largest": (MAX, F.col("amount")), "last_positive": (LAST, F.when(F.col("y") == 1, F.col("tx_index")))}
+    return running(df, own, "segment_key").select("tx_index", "n_positive", *six("largest"), "last_positive")
+
+
 def _event_sql(segment: str | None) -> str:
     keep = f" WHERE segment_key = '{segment}'" if segment else ""
     return "WITH {TX}, " + _POS + ", seg AS (SELECT * FROM pos" + keep + "), " + _ALARM_SQL.replace("FROM pos", "FROM seg") + """, ad AS (SELECT pos, k / 1000.0 AS s FROM (SELECT tx_index - w AS pos, k FROM tx, size WHERE tx_index >= w AND (tx_index - w + 1) % 1000 = 0)),
@@ -719,11 +738,34 @@ _QUERIES["prequential_frozen"] = _run("P0", frozen=True)
  CASE WHEN (tx_index - w + 1) % 2000 = 0 THEN least(1000, tx_index + 1) END AS n_window, CASE WHEN (tx_index - w + 1) % 2000 = 0 THEN CAST(sum(y) OVER (ORDER BY tx_index ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS INTEGER) END AS n_fraud_window FROM tx, size QUALIFY tx_index >= w""")
 def prequential_p1_log(spark, d):
     """What a run of P1 must record whatever its learner predicts."""
-    out = _run("P1")(spark, d)
+    return _p1_log(_run("P1")(spark, d))
+
+
+def _p1_log(out: DataFrame) -> DataFrame:
     fine = (F.col("y_pred") == (F.col("y_prob") >= 0.5).cast("int")) & (F.col("error") == F.abs(F.col("y_true") - F.col("y_pred"))) & F.col("y_prob").between(0, 1)
     return out.select("tx_index", "y_true", "segment_key", "adapted", "adaptation_scope", fine.alias("consistent"), F.col("n_window").cast("long").alias("n_window"), "n_fraud_window")
 
 
+@query(_SQL["prequential_p1_log"])
+def stateful_p1_log(spark, d):
+    """The same log from a stream that arrives in three parts, each read by a restarted query with the same checkpoint."""
+    df = _learnable(spark, d)
+    n, w = sizes(df)
+    rows = df.select("tx_index", "y", "segment_key", *(F.col(f).cast("double").alias(f) for f in FEATURES))
+    cfg = fold.RunConfig("P1", "P1", warmup=w, window=WINDOW, interval=2000, grace_period=200, delta=0.002)
+    source, out, checkpoint = (scratch(spark, name) for name in ("source", "records", "stream"))
+    before = spark.conf.get(keyed.PROVIDER, None)
+    spark.conf.set(keyed.PROVIDER, keyed.ROCKSDB)
+    try:
+        for part in range(3):
+            rows.where((F.col("tx_index") >= n * part // 3) & (F.col("tx_index") < n * (part + 1) // 3)).write.mode("append").parquet(source)
+            records = keyed.stateful(spark.readStream.schema(rows.schema).parquet(source), FEATURES, cfg)
+            keyed.to_table(records, out, checkpoint).awaitTermination()
+    finally:
+        spark.conf.unset(keyed.PROVIDER) if before is None else spark.conf.set(keyed.PROVIDER, before)
+    return _p1_log(spark.read.parquet(out))
+
+
 def _alarms(kind: str) -> Query:
     def run(spark, d):
         error = F.abs(F.col("y") - metrics.decision("y_prob"))

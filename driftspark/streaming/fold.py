@@ -8,17 +8,20 @@ the swapped model first predicts the next row.
 What runs in parallel without changing results: runs; the epochs of P1 (an epoch's model is a function of the W rows up
 to its trigger and its own rows); the segments of P3 (each reads only its own state). P0 and P2 are sequential by nature.
 Alarms of P1 and global alarms of P3 never feed back, so they are a second pass over the error column. A global detector
-reads its errors in order, so that pass is one task; it holds an index and an error a row.
+reads its errors in order, so that pass is one task; it holds a batch of rows. A frozen model makes rows independent: one
+task learns the warmup rows, all others score.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from time import perf_counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,44 +104,55 @@ class Retrainer:
         self.rows.clear()
 
 
-def run_fold(rows, cfg: RunConfig) -> list[tuple]:
-    """Records of rows (tx_index, features, y, segment) in order; rows before cfg.warmup only train."""
-    by_segment = cfg.policy == "P3"
-    models: dict[str | None, HoeffdingTree] = {}
-    keyed = lambda s: s if by_segment else None
-    monitor = DriftMonitor(cfg.detector, True, cfg.detector_kwargs)
-    buffer, out = Retrainer(cfg), []
-    for tx, x, y, segment in rows:
-        model = models.setdefault(keyed(segment), cfg.learner())
+class Fold:
+    """The state of a run between two rows: models (by segment for P3, else one), detectors and the window."""
+
+    def __init__(self, cfg: RunConfig):
+        self.cfg, self.by_segment = cfg, cfg.policy == "P3"
+        self.models: dict[str | None, HoeffdingTree] = {}
+        self.monitor = DriftMonitor(cfg.detector, True, cfg.detector_kwargs)
+        self.buffer = Retrainer(cfg)
+
+    def step(self, tx: int, x: dict, y: int, segment: str | None) -> tuple | None:
+        """The record of a row; a row before cfg.warmup only trains and has none."""
+        cfg, key = self.cfg, segment if self.by_segment else None
+        if key not in self.models:
+            self.models[key] = cfg.learner()
+        model = self.models[key]
         if tx < cfg.warmup:
             model.learn_one(x, y)
-            buffer.add(tx, x, y, segment)
-            continue
+            self.buffer.add(tx, x, y, segment)
+            return None
         p = model.predict_one(x)
         label = int(p >= 0.5)
         error = abs(y - label)
         if not (cfg.policy == "P0" and cfg.frozen):
             model.learn_one(x, y)
-        whole, part = monitor.update(error, tx, segment)
-        buffer.add(tx, x, y, segment)
+        whole, part = self.monitor.update(error, tx, segment)
+        self.buffer.add(tx, x, y, segment)
         due = {
             "P0": False,
             "P1": (tx - cfg.warmup + 1) % cfg.interval == 0,
             "P2": whole,
             "P3": part and segment is not None,
         }[cfg.policy]
-        scope = (segment if by_segment else "global") if due else None
+        scope = (segment if self.by_segment else "global") if due else None
         n = frauds = seconds = None
         if due:
-            window = buffer.window(segment if by_segment else None)
+            window = self.buffer.window(segment if self.by_segment else None)
             n, frauds = len(window), sum(v for _, v in window)
             began = perf_counter()
             if not cfg.no_swap:
-                models[keyed(segment)] = buffer.fit(segment if by_segment else None)
+                self.models[key] = self.buffer.fit(segment if self.by_segment else None)
             if cfg.timed:
                 seconds = 0.0 if cfg.no_swap else perf_counter() - began
-        out.append((cfg.run_id, tx, y, p, label, error, segment, due and not cfg.no_swap, scope, whole, part, n, frauds, seconds))
-    return out
+        return cfg.run_id, tx, y, p, label, error, segment, due and not cfg.no_swap, scope, whole, part, n, frauds, seconds
+
+
+def run_fold(rows, cfg: RunConfig) -> list[tuple]:
+    """Records of rows (tx_index, features, y, segment) in order; rows before cfg.warmup only train."""
+    state = Fold(cfg)
+    return [record for row in rows if (record := state.step(*row)) is not None]
 
 
 _COLUMNS = [c.split()[0] for c in RECORDS.split(", ")]
@@ -160,13 +174,73 @@ def _rows(pdf: pd.DataFrame, features: list[str]):
         yield tx, dict(zip(features, x, strict=True)), int(y), s
 
 
+_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for c in RECORDS.split(", ")])
+
+
+def in_order(df: DataFrame, key: str, index: str = "tx_index"):
+    """Groups of a frame by ``key`` whose rows come in the order of ``index``, for functions over an iterator of batches."""
+    return df.repartition(key).sortWithinPartitions(key, index).groupBy(key)
+
+
+def _ordered(batches: Iterator[pa.RecordBatch], index: str = "tx_index") -> Iterator[pd.DataFrame]:
+    """Batches as frames; rows that are out of order are an error, never folded."""
+    last = None
+    for b in batches:
+        pdf = b.to_pandas()
+        if len(pdf):
+            at = pdf[index]
+            if not at.is_monotonic_increasing or (last is not None and at.iloc[0] < last):
+                raise RuntimeError(f"rows of a group are not in the order of {index}")
+            last = at.iloc[-1]
+            yield pdf
+
+
 def sequential(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
-    """One task per run: the only way for P0 and P2, and the yardstick for the others."""
+    """One task per run: the only way for P0 and P2, and the yardstick for the others. It holds one batch of rows."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(run_fold(_rows(pdf, features), cfg))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Fold(cfg)
+        for pdf in _ordered(batches):
+            records = [r for row in _rows(pdf, features) if (r := state.step(*row)) is not None]
+            yield pa.RecordBatch.from_pandas(_frame(records), _ARROW, preserve_index=False)
+
+    rows = _needed(stream, features).withColumn("run", F.when(F.col("tx_index").isNotNull(), cfg.run_id))  # a constant would not keep the order
+    return in_order(rows, "run").applyInArrow(fold, RECORDS)
+
+
+#: Largest fitted model that is broadcast.
+MODEL_BYTES = 64 << 20
+
+
+def frozen(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
+    """P0 with a frozen model: one task learns the warmup rows, the model goes to all tasks, and rows are scored where they
+    are. ``prequential`` adds the alarms. A model beyond MODEL_BYTES is an error."""
+    rows = _needed(stream, features)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = cfg.learner()
+        for pdf in _ordered(batches):
+            for _, x, y, _ in _rows(pdf, features):
+                model.learn_one(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return _needed(stream, features).groupBy(F.lit(cfg.run_id).alias("run")).applyInPandas(fold, RECORDS)
+    warm = rows.where(F.col("tx_index") < cfg.warmup).withColumn("one", F.floor(F.col("tx_index") / (cfg.warmup + 1)))
+    fitted = in_order(warm, "one").applyInArrow(learn, "model binary").where(F.octet_length("model") <= MODEL_BYTES).collect()
+    if cfg.warmup and not fitted and warm.limit(1).collect():
+        raise ValueError(f"the fitted model is larger than {MODEL_BYTES} bytes")
+    model = stream.sparkSession.sparkContext.broadcast(bytes(fitted[0]["model"]) if fitted else pickle.dumps(cfg.learner()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = pickle.loads(model.value)
+        for b in batches:
+            out = []
+            for tx, x, y, s in _rows(b.to_pandas(), features):
+                p = fixed.predict_one(x)
+                label = int(p >= 0.5)
+                out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, False, None, None, None, None, None, None))
+            yield pa.RecordBatch.from_pandas(_frame(out), _ARROW, preserve_index=False)
+
+    return rows.where(F.col("tx_index") >= cfg.warmup).mapInArrow(score, RECORDS)
 
 
 def _needed(stream: DataFrame, features: list[str]) -> DataFrame:
@@ -221,25 +295,24 @@ def by_segment(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFr
     return _needed(stream, features).groupBy("segment_key").applyInPandas(fold, RECORDS)
 
 
-def alarms(records: DataFrame, detector: str = "adwin", by: str | None = None) -> DataFrame:
-    """stream_key, tx_index, detector_type: a detector's pass over the error column, global or per value of ``by``."""
-    key = F.lit("global") if by is None else F.col(by)
+def _passes(rows: DataFrame, key: str, detector: str, kwargs: dict) -> DataFrame:
+    """key, tx_index of the alarms of a detector's pass over the errors of each key, in order, a batch at a time."""
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tx_index")
-        d = make_detector(detector)
-        hits = [t for t, e in zip(pdf["tx_index"], pdf["error"], strict=True) if d.update(float(e))]
-        key, n = str(pdf["stream_key"].iloc[0]), len(hits)
-        return pd.DataFrame(
-            {
-                "stream_key": pd.Series([key] * n, dtype=object),
-                "tx_index": pd.Series(hits, dtype="int64"),
-                "detector_type": pd.Series([detector] * n, dtype=object),
-            }
-        )
+    def scan(names: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = make_detector(detector, **kwargs)
+        for pdf in _ordered(batches):
+            hits = [t for t, e in zip(pdf["tx_index"].tolist(), pdf["error"].tolist(), strict=True) if d.update(float(e))]
+            yield pa.RecordBatch.from_arrays([pa.array([names[0].as_py()] * len(hits), pa.string()), pa.array(hits, pa.int64())], [key, "tx_index"])
 
-    rows = records.select(key.alias("stream_key"), "tx_index", F.col("error").cast("double").alias("error"))
-    return rows.groupBy("stream_key").applyInPandas(scan, "stream_key string, tx_index long, detector_type string")
+    return in_order(rows.select(F.col(key).cast("string").alias(key), "tx_index", F.col("error").cast("double").alias("error")), key).applyInArrow(scan, f"{key} string, tx_index long")
+
+
+def alarms(records: DataFrame, detector: str = "adwin", by: str | None = None) -> DataFrame:
+    """stream_key, tx_index, detector_type: a detector's pass over the error column, global or per value of ``by``."""
+    # not a constant: a constant key would not keep rows in order through the planner's own sort
+    key = F.when(F.col("tx_index").isNotNull(), "global") if by is None else F.col(by)
+    found = _passes(records.withColumn("stream_key", key), "stream_key", detector, {})
+    return found.select("stream_key", "tx_index", F.lit(detector).alias("detector_type"))
 
 
 def _with_alarms(records: DataFrame, cfg: RunConfig, by: dict[str, str | None]) -> DataFrame:
@@ -248,16 +321,9 @@ def _with_alarms(records: DataFrame, cfg: RunConfig, by: dict[str, str | None])
     records = written(records, "records")
     out = records.drop(*by)
     for name, key in by.items():
-
-        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("tx_index", kind="stable")
-            d = make_detector(cfg.detector, **cfg.detector_kwargs)
-            hits = [t for t, e in zip(pdf["tx_index"].tolist(), pdf["error"].tolist(), strict=True) if d.update(e)]
-            return pd.DataFrame({"tx_index": pd.Series(hits, dtype="int64")})
-
-        of = F.lit("global") if key is None else F.col(key)
-        rows = records.select(of.alias("of"), "tx_index", "error").where("of is not null")
-        hits = rows.groupBy("of").applyInPandas(scan, "tx_index long").withColumn(name, F.lit(True))
+        of = F.when(F.col("tx_index").isNotNull(), "global") if key is None else F.col(key)
+        rows = records.withColumn("of", of).where("of is not null")
+        hits = _passes(rows, "of", cfg.detector, cfg.detector_kwargs).select("tx_index", F.lit(True).alias(name))
         out = out.join(hits, "tx_index", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return out.select(*_COLUMNS)
 
@@ -269,54 +335,8 @@ def prequential(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataF
     if cfg.policy == "P1" and not cfg.no_swap and not cfg.retrain:  # without a swap, a model outlives its epoch
         both = {"drift_detected_global": None, "drift_detected_segment": "segment_key"}
         return _with_alarms(epochs(stream, features, cfg), cfg, both)
+    if cfg.policy == "P0" and cfg.frozen:
+        return _with_alarms(frozen(stream, features, cfg), cfg, {"drift_detected_global": None, "drift_detected_segment": "segment_key"})
     if cfg.policy == "P3":
         return _with_alarms(by_segment(stream, features, cfg), cfg, {"drift_detected_global": None})
     return sequential(stream, features, cfg)
-
-
-def replay(source: DataFrame, order: str, sink, trigger: dict | None = None):
-    """Streams a file source through ``sink(batch, batch_id)``; rows at or before the last seen index are refused."""
-    seen = {"last": None}
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        kept = df if seen["last"] is None else df.where(F.col(order) > seen["last"])
-        top = kept.agg(F.max(order)).first()[0]
-        if top is not None:
-            sink(kept.orderBy(order), batch_id)
-            seen["last"] = top
-
-    return source.writeStream.foreachBatch(batch).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def stateful(source: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
-    """The fold of a stream with one group per segment: learner, window and detectors are pickled state."""
-    import pickle
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    schema = "run_id string, tx_index long, y_true int, y_prob double, y_pred int, error int, segment_key string, adapted boolean"
-
-    def step(key, batches, state):
-        model, buffer, detector, last = pickle.loads(state.get[0]) if state.exists else (cfg.learner(), Retrainer(cfg), make_detector(cfg.detector, **cfg.detector_kwargs), -1)
-        rows = pd.concat(list(batches))
-        out = []
-        for tx, x, y, s in _rows(rows, features):
-            if tx <= last:
-                continue
-            last = tx
-            buffer.add(tx, x, y, s)
-            if tx < cfg.warmup:
-                model.learn_one(x, y)
-                continue
-            p = model.predict_one(x)
-            error = abs(y - int(p >= 0.5))
-            model.learn_one(x, y)
-            due = detector.update(error) and cfg.policy == "P3"
-            if due and not cfg.no_swap:
-                model = buffer.fit()
-            out.append((cfg.run_id, tx, y, p, int(p >= 0.5), error, s, due and not cfg.no_swap))
-        state.update((pickle.dumps((model, buffer, detector, last)),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    needed = source.select("tx_index", "y", "segment_key", *(F.col(f).cast("double").alias(f) for f in features))
-    return needed.groupBy("segment_key").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)

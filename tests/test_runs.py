@@ -211,27 +211,3 @@ def test_hooks_in_spark(spark):
     assert (named.policy, named.detector, named.frozen, named.window) == ("P0", "adwin", True, 7)
     with pytest.raises(ValueError):
         fold.RunConfig.named("static", "none", p0_mode="other")
-
-
-def test_replay_refuses_what_it_has_seen(spark, tmp_path):
-    for k, ids in enumerate(([0, 1, 2], [2, 1, 3, 4])):
-        spark.createDataFrame([(i,) for i in ids], "tx_index long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    got = []
-    source = spark.readStream.schema("tx_index long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    fold.replay(source, "tx_index", lambda df, _: got.extend(r["tx_index"] for r in df.collect())).awaitTermination()
-    assert got == sorted(set(got)) and got[-1] == 4 and set(got) <= {0, 1, 2, 3, 4}
-
-
-def test_stateful_fold_equals_the_segments_of_p3(spark, tmp_path):
-    """Without a global index in its way (a window as long as the stream), a segment's stream is its part of the batch run."""
-    rows = [(i, float(i % 7), int((i % 7 > 3) != (i > 180)), "ab"[i % 2]) for i in range(300)]
-    schema = "tx_index long, x double, y int, segment_key string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    cfg = fold.RunConfig("r", "P3", detector="hddm_a", warmup=60, window=1000, grace_period=20, delta=0.01)
-    stream = fold.stateful(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["x"], cfg)
-    query = stream.writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    columns = ["tx_index", "y_prob", "error", "adapted"]
-    got = sorted(map(tuple, spark.table("folded").select(*columns).collect()))
-    want = sorted(map(tuple, fold.by_segment(spark.createDataFrame(rows, schema), ["x"], cfg).select(*columns).collect()))
-    assert got == want and any(r[3] for r in got)
