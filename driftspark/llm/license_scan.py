@@ -1,22 +1,26 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
 A block is any window of ``2 * |T|`` consecutive words (the whole text, if shorter), T being a template's token set. A
-block joins a template when it holds at least ``THRESHOLD`` of the template's distinct tokens. Tokens are ordered by
-their frequency over all documents, rarest first, and two exact filters apply:
+block joins a template when it holds at least ``THRESHOLD`` of the template's distinct tokens, and all of those without
+which the template says something else (the license's own name). Tokens are ordered by their frequency over all
+documents, rarest first, and exact filters apply:
 
-* prefix: a block that meets ``need = ceil(THRESHOLD * |T|)`` holds one of the ``|T| - need + 1`` rarest tokens of T, so
-  only blocks around the places of these are looked at;
-* length: a text of fewer than ``need`` words holds no such block.
+* length: a text of fewer than ``need = ceil(THRESHOLD * |T|)`` words holds no such block;
+* prefix: a block that joins holds one of the ``|T| - need + 1`` rarest tokens of T, so only blocks around the places of
+  these, the seeds, are looked at;
+* position: the rarest token that a block shares with T is a seed at some position of T's order, and the block's other
+  shared tokens have later positions and stand less than a block from it. A seed around which fewer than ``need`` tokens
+  of its own or later positions stand is dropped.
 
-The position filter (a rarest shared token of rank i leaves at most ``|T| - i`` shared) says the same as the prefix, as
-blocks are counted exactly. Every block that joins is returned; neighbouring ones overlap in all but a word, so they are
-given as maximal runs, from the start of the first to the end of the last.
+Every block that joins is returned; neighbouring ones overlap in all but a word, so they are given as maximal runs, from
+the start of the first to the end of the last. A template whose tokens are all among another's (CC BY and CC BY-NC) gives
+way to it where their runs overlap.
 
 Only templates and the counts of their own tokens are broadcast; both are bounded by the templates, not by the data.
 Beside the join, fixed phrases are counted wherever their words stand consecutively.
 
-Defined results: a null or wordless text has no label, score 0 and null positions; every row keeps its row; further
-columns are ignored.
+Defined results: a null or wordless text has no label, score 0 and null positions; every row keeps its row; an empty table
+gives none; texts of any length are scanned whole; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +38,26 @@ from driftspark.llm._common import alnum_words, map_batches, pieces, text_bytes
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Short license notices and their labels.
+#: License notices and passages, their labels, and the tokens that a block has to hold.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission granted software restriction"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission fee granted"),
+    ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache compliance license"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "general public license redistribute"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license redistribute"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license redistribute"),
+    ("cc-by", "licensed under cc by 4 0", "cc by"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived copyright rights"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered public domain"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary permitted"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 )
 THRESHOLD = 0.8
 SCHEMA = (
@@ -57,7 +69,7 @@ SCHEMA = (
 def vocabulary() -> dict[bytes, int]:
     """Ids (from 1) of all words of templates and phrases."""
     out: dict[bytes, int] = {}
-    for text in [t for _, t in TEMPLATES] + [p for p, _ in PHRASES]:
+    for text in [t for _, t, _ in TEMPLATES] + [p for p, _ in PHRASES]:
         for w in alnum_words(text.encode()):
             out.setdefault(w, len(out) + 1)
     return out
@@ -87,15 +99,18 @@ class Matcher:
     def __init__(self, counts: dict[bytes, int], threshold: float = THRESHOLD):
         self.vocab = vocabulary()
         self.sets = []
-        for label, text in TEMPLATES:
+        for label, text, own in TEMPLATES:
             tokens = sorted(set(alnum_words(text.encode())), key=lambda w: (counts.get(w, 0), w))
             ids = [self.vocab[w] for w in tokens]
             need = ceil(threshold * len(ids) - 1e-9)
-            self.sets.append((label, {t: r for r, t in enumerate(ids)}, need, ids[: len(ids) - need + 1]))
+            rank = {t: r for r, t in enumerate(ids)}
+            self.sets.append((label, rank, need, ids[: len(ids) - need + 1], [rank[self.vocab[w]] for w in alnum_words(own.encode())]))
+        #: For each template, those of other labels that have all of its tokens and more.
+        self.wider = [[j for j, y in enumerate(self.sets) if y[0] != x[0] and set(x[1]) < set(y[1])] for x in self.sets]
         self.phrases = [([self.vocab[w] for w in alnum_words(p.encode())], label) for p, label in PHRASES]
         self.rank_of = np.full((len(self.sets), len(self.vocab) + 1), -1)
         self.is_prefix = np.zeros(self.rank_of.shape, bool)
-        for k, (_, rank, _, prefix) in enumerate(self.sets):
+        for k, (_, rank, _, prefix, _) in enumerate(self.sets):
             self.rank_of[k, list(rank)] = list(rank.values())
             self.is_prefix[k, prefix] = True
         self.any_prefix = self.is_prefix.any(axis=0)
@@ -113,49 +128,69 @@ class Matcher:
                     labels.add(label)
         return places, labels
 
+    def seeds(self, k: int, at: np.ndarray, known: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of template k's prefix tokens that the positional filter leaves, and places and positions of all of its
+        tokens."""
+        positions = self.rank_of[k][known]
+        mine, positions = at[positions >= 0], positions[positions >= 0]
+        prefix = positions < len(self.sets[k][3])
+        seeds, rarest = mine[prefix], positions[prefix]
+        around = np.zeros(len(seeds), np.int64)
+        for r in np.unique(positions).tolist():
+            there = mine[positions == r]
+            near = np.searchsorted(there, seeds + width) > np.searchsorted(there, seeds - width, "right")
+            around += near & (rarest <= r)
+        return seeds[around >= self.sets[k][2]], mine, positions
+
+    def runs(self, k: int, n: int, at: np.ndarray, known: np.ndarray) -> list[tuple[float, int, int]]:
+        """Maximal runs of blocks that join template k: (best containment, start of the first, end of the last)."""
+        _, rank, need, _, own = self.sets[k]
+        if n < need:
+            return []
+        width = min(2 * len(rank), n)
+        seeds, mine, ranks = self.seeds(k, at, known, width)
+        if not len(seeds):
+            return []
+        # only blocks that hold a seed can join: tokens farther than a block from all seeds are in no such block
+        i = np.searchsorted(seeds, mine)
+        left, right = mine - seeds[np.maximum(i - 1, 0)], seeds[np.minimum(i, len(seeds) - 1)] - mine
+        near = (np.abs(left) < width) | (np.abs(right) < width)
+        mine, ranks = mine[near], ranks[near]
+        # starts at which what a block holds can change
+        breaks = np.unique(np.concatenate([np.maximum(mine - width + 1, 0), mine + 1]))
+        places, ranks = mine.tolist(), ranks.tolist()
+        inside, i, j, out, start, best = Counter(), 0, 0, [], None, 0
+        for s in breaks[breaks <= n - width].tolist():
+            while j < len(places) and places[j] < s + width:
+                inside[ranks[j]] += 1
+                j += 1
+            while i < j and places[i] < s:
+                inside[ranks[i]] -= 1
+                if not inside[ranks[i]]:
+                    del inside[ranks[i]]
+                i += 1
+            held = len(inside)
+            if held >= need and all(r in inside for r in own):
+                start, best = (s, held) if start is None else (start, max(best, held))
+            elif start is not None:
+                out.append((best / len(rank), start, s - 1 + width))
+                start = None
+        if start is not None:
+            out.append((best / len(rank), start, n))
+        return sorted(out)
+
     def join(self, ids: np.ndarray) -> list[tuple[str, int, int, int, float]]:
-        """Maximal runs of blocks that meet a template's threshold: (label, template, start of the first block, end of the
-        last one, best containment), by template, then containment, then start."""
-        n, out = len(ids), []
+        """Maximal runs of blocks that join a template: (label, template, start of the first block, end of the last one,
+        best containment), by template, then containment, then start."""
         at = np.flatnonzero(ids)
         known = ids[at]
         if not self.any_prefix[known].any():
-            return out
-        for k, (label, rank, need, _) in enumerate(self.sets):
-            if n < need or not len(seeds := at[self.is_prefix[k][known]]):
-                continue
-            width = min(2 * len(rank), n)
-            ranks = self.rank_of[k][known]
-            mine, ranks = at[ranks >= 0], ranks[ranks >= 0]
-            # only blocks that hold a seed can join: tokens farther than a block from all seeds are in no such block
-            i = np.searchsorted(seeds, mine)
-            left, right = mine - seeds[np.maximum(i - 1, 0)], seeds[np.minimum(i, len(seeds) - 1)] - mine
-            near = (np.abs(left) < width) | (np.abs(right) < width)
-            mine, ranks = mine[near], ranks[near]
-            if np.count_nonzero(np.bincount(ranks)) < need:
-                continue
-            # starts at which what a block holds can change
-            breaks = np.unique(np.concatenate([np.maximum(mine - width + 1, 0), mine + 1]))
-            places, ranks = mine.tolist(), ranks.tolist()
-            inside, i, j, runs, start, best = Counter(), 0, 0, [], None, 0
-            for s in breaks[breaks <= n - width].tolist():
-                while j < len(places) and places[j] < s + width:
-                    inside[ranks[j]] += 1
-                    j += 1
-                while i < j and places[i] < s:
-                    inside[ranks[i]] -= 1
-                    if not inside[ranks[i]]:
-                        del inside[ranks[i]]
-                    i += 1
-                held = len(inside)
-                if held >= need:
-                    start, best = (s, held) if start is None else (start, max(best, held))
-                elif start is not None:
-                    runs.append((best / len(rank), start, s - 1 + width))
-                    start = None
-            if start is not None:
-                runs.append((best / len(rank), start, n))
-            out += [(label, k, a, b, x) for x, a, b in sorted(runs)]
+            return []
+        found = {k: runs for k in range(len(self.sets)) if self.is_prefix[k][known].any() and (runs := self.runs(k, len(ids), at, known))}
+        out = []
+        for k, runs in found.items():
+            taken = [(a, b) for j in self.wider[k] for _, a, b in found.get(j, ())]
+            out += [(self.sets[k][0], k, a, b, x) for x, a, b in runs if not any(a < d and c < b for c, d in taken)]
         return out
 
 
