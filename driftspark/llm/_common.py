@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and turns every ASCII character that is no letter or digit into a space (UTF-8 bytes stay).
@@ -192,6 +192,13 @@ def with_columns(schema: str, df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)])
 
 
+def apart(kept: Sequence[str], *taken: str) -> tuple[list[Column], list[Column]]:
+    """Further columns under names that no operator uses for its own, and these under their own names again. A column
+    that is named like one of ``taken``, the operator's results, comes back as own_<name>."""
+    away = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(kept)]
+    return away, [F.col(f"kept_{i}").alias(f"own_{c}" if c in taken else c) for i, c in enumerate(kept)]
+
+
 def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The same function over batches, giving freed memory back to the system after each batch it makes."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import alnum_words, cut, map_batches, pieces, text_bytes, with_columns
+from driftspark.llm._common import apart, alnum_words, cut, map_batches, pieces, text_bytes, with_columns
 
 WINDOW = 10
 CHUNK_BYTES = 32 << 20
@@ -146,12 +146,13 @@ def contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, kept: Sequence[str] = ()
 ) -> DataFrame:
     """doc_id, text, n_words, spans (flat [start, end) pairs of hit words), items (sorted) and the columns named in
-    ``kept`` for every document."""
-    own = {c: f"kept_{i}" for i, c in enumerate(kept)}  # a name of the operator's own may be among them
+    ``kept`` for every document. A further column that is named like a result comes back as own_<name>."""
+    names = ["doc_id", "text", "n_words", "spans", "items"]
+    away, back = apart(kept, *names)
     out = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
-        *(F.col(c).alias(n) for c, n in own.items()),
+        *away,
         F.lit(None).cast("array<int>").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
     )
@@ -160,7 +161,7 @@ def contamination(
         out = scan(out, items, window)
         if k + 1 < n:
             out = cut(out, "contamination")
-    return out.withColumnsRenamed({n: c for c, n in own.items()})
+    return out.select(*names, *back)
 
 
 def clean_documents(documents: DataFrame, found: DataFrame, most_words: int = 0) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import cut, lean, lower_words, parts_for, text_bytes, total_bytes
+from driftspark.llm._common import apart, cut, lean, lower_words, parts_for, text_bytes, total_bytes
 from driftspark.llm.components import components
 from driftspark.llm.phrase_dedup import WordHashes, gram_hashes, hot_anchors, is_hot, mix
 
@@ -538,7 +538,10 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT, kept: Sequence[str] = ()
 ) -> DataFrame:
-    """doc_id, the columns named in ``kept``, n_shingles, component_id of every document."""
+    """doc_id, the columns named in ``kept``, n_shingles, component_id of every document.
+
+    A further column that is named like a result comes back as own_<name>; an empty table gives no rows; texts of any length
+    are compared whole."""
     table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_shards = parts_for(total_bytes(table), SHARD_BYTES)
     hot = hot_anchors(table.where("doc_id is not null"), lambda text: _entries_of(text, shingle, per_cent))
@@ -575,11 +578,12 @@ def near_duplicates(
         if given.where("more").isEmpty():
             break
         tried, most = tried.union(across), 16 * most
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *kept).join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
+    away, back = apart(kept, "doc_id", "n_shingles", "component_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *away).join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left")
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select(
         "doc_id",
-        *kept,
+        *back,
         F.coalesce("n", F.lit(0)).alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import crc_mod, lean, small_batches, trim
+from driftspark.llm._common import apart, crc_mod, lean, small_batches, trim
 
 UND = "und"
 SAMPLE_DOCS, SAMPLE_BYTES = 600, 1_600_000
@@ -231,10 +231,11 @@ def train(documents: DataFrame, learn_from) -> Model:
 
 
 def predict(documents: DataFrame, model: Model, *kept: str) -> DataFrame:
-    """doc_id, lang_pred, score and the columns named in ``kept`` for every document; only texts are looked at."""
+    """doc_id, lang_pred, score and the columns named in ``kept`` for every document; only texts are looked at. A further
+    column that is named like a result comes back as own_<name>."""
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *kept, F.col("text").alias("_text"))
+    table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *apart(kept)[0], F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema[:-1])
 
     def run(batches):
@@ -246,7 +247,8 @@ def predict(documents: DataFrame, model: Model, *kept: str) -> DataFrame:
                 names=[*b.schema.names[:-1], "lang_pred", "score"],
             )
 
-    return table.mapInArrow(lean(run), f"{schema}, lang_pred string, score double")
+    names = ["doc_id", "lang_pred", "score"]
+    return table.mapInArrow(lean(run), f"{schema}, lang_pred string, score double").select(*names, *apart(kept, *names)[1])
 
 
 def held_out(column: str = "doc_id"):

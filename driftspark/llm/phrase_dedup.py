@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm._common import cut, lean, parts_for, pieces, text_bytes, total_bytes, with_columns, words
+from driftspark.llm._common import apart, cut, lean, parts_for, pieces, text_bytes, total_bytes, with_columns, words
 
 WINDOW = 50
 ANCHOR = 10
@@ -348,19 +348,20 @@ def _with_passages(documents: DataFrame, window: int, anchor: int, kept: Sequenc
     runs = cut(recurring(table, window, anchor), "recurring")
     passages = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "source")).alias("passages"))
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))
-    own = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(kept)]
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text", *own)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text", *apart(kept)[0])
     out = rows.alias("d").join(passages.alias("p"), on, "left")
-    return out.select("d.doc_id", "d.text", "p.passages", *(F.col(f"d.kept_{i}").alias(c) for i, c in enumerate(kept)))
+    return out.select("d.doc_id", "d.text", "p.passages", *(f"d.kept_{i}" for i in range(len(kept))))
 
 
 def repeated_spans(
     documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, kept: Sequence[str] = ()
 ) -> DataFrame:
     """doc_id, text, n_words, removed (flat [start, end) pairs of word positions) and the columns named in ``kept`` for
-    every row of documents."""
+    every row of documents. A further column that is named like a result comes back as own_<name>."""
     rows = _with_passages(documents, window, anchor, kept)
-    return rows.mapInArrow(lean(lambda batches: _locate(batches, window)), with_columns(SCHEMA, documents, kept))
+    out = rows.mapInArrow(lean(lambda batches: _locate(batches, window)), with_columns(SCHEMA, rows, rows.columns[3:]))
+    names = ["doc_id", "text", "n_words", "removed"]
+    return out.select(*names, *apart(kept, *names)[1])
 
 
 def digest_documents(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -393,7 +394,8 @@ def remaining_texts(
     documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, kept: Sequence[str] = ()
 ) -> DataFrame:
     """doc_id, text, n_removed and the columns named in ``kept`` for every row of documents: untouched texts stay as they
-    are, others keep their words joined by one space."""
+    are, others keep their words joined by one space. A further column that is named like a result comes back as
+    own_<name>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _locate(batches, window):
@@ -407,4 +409,6 @@ def remaining_texts(
             )
 
     rows = _with_passages(documents, window, anchor, kept)
-    return rows.mapInArrow(lean(run), with_columns("doc_id long, text string, n_removed long", documents, kept))
+    out = rows.mapInArrow(lean(run), with_columns("doc_id long, text string, n_removed long", rows, rows.columns[3:]))
+    names = ["doc_id", "text", "n_removed"]
+    return out.select(*names, *apart(kept, *names)[1])
