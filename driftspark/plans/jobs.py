@@ -119,8 +119,8 @@ class Manifest:
                 self.jobs = {}
 
     def save(self) -> None:
-        counts = {"total": len(self.jobs), "completed": sum(j["status"] == COMPLETED for j in self.jobs.values())}
-        atomic_write_json({**counts, "updated": now(), "jobs": self.jobs}, str(self.path))
+        counts = {"total_jobs": len(self.jobs), "completed_jobs": sum(j["status"] == COMPLETED for j in self.jobs.values())}
+        atomic_write_json({**counts, "last_updated": now(), "jobs": self.jobs}, str(self.path))
 
     def start(self, job: str, artifact: str, *older: str) -> bool:
         """False where the job is done already: its artifact, or one under an older name, is whole on disk."""
@@ -162,8 +162,9 @@ class Manifest:
         whole, part = self.folder / "artifacts.zip", self.folder / "artifacts.zip.tmp"
         try:
             with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
-                for name in ["manifest.json", *(j["artifact"] for j in self.jobs.values() if j["status"] == COMPLETED)]:
-                    z.write(self.folder / name, name)
+                z.write(self.path, self.path.name)
+                for name in (j["artifact"] for j in self.jobs.values() if j["status"] == COMPLETED):
+                    z.write(self.folder / name, f"runs/{name}")
             os.replace(part, whole)
         except OSError:
             part.unlink(missing_ok=True)

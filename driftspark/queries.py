@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from driftspark.functions import metrics, stats
 from driftspark.operators import events, inject, prep, profile, reports
 from driftspark.plans.layout import over_rows, scratch, with_index
+from driftspark.plans.runs import RunTables
 from driftspark.plans.scan import LAST, MAX, SUM, running
 from driftspark.sources import datasets
 from driftspark.sources.datasets import fingerprint, left_join
 from driftspark.streaming import fold, keyed
+from driftspark.streaming.grid import run_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -58,8 +60,9 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical stream with its index, built once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The canonical stream with its index, built once per session and state of the folder (its files, sizes and times)."""
+    files = datasets.listed(spark, f"{sf_dir}/events.parquet", times=True)
+    key = (spark.sparkContext.applicationId, str(files))
     if key not in _INDEXED:
         _INDEXED[key] = with_index(events_table(spark, sf_dir), "ts", "tx_id")
     return _INDEXED[key]
@@ -552,15 +555,29 @@ def grid(spark: SparkSession) -> DataFrame:
     return rows.select(F.concat(F.lit("e3_"), "policy", F.lit("_"), "regime", F.lit("_W10000_seed"), F.col("seed").cast("string")).alias("job_id"), "policy", "regime", "seed")
 
 
-@query("WITH " + _GRID_SQL + " SELECT * FROM grid")
+@query("WITH {TX}, " + _GRID_SQL + """, hit AS (SELECT 'sudden' AS regime, count(*) AS n_affected FROM tx, size WHERE tx_index - w >= 3000 UNION ALL SELECT 'recurring', count(*) FROM tx, size WHERE tx_index - w >= 3000 AND (tx_index - w - 3000) // 1000 % 2 = 0
+ UNION ALL SELECT 'localized', count(*) FROM tx, size WHERE tx_index - w >= 3000 AND segment_key = 'view') SELECT grid.*, n_affected FROM grid LEFT JOIN hit USING (regime)""")
 def job_grid(spark, d):
-    return grid(spark)
+    """The jobs of the experiment with the number of rows that their regime affects (null where a draw decides)."""
+    hit = [_drifted(spark, d, r).agg(F.lit(r).alias("regime"), F.count_if("is_affected").alias("n_affected")) for r in inject.REGIMES if r != "gradual"]
+    table = hit[0]
+    for more in hit[1:]:
+        table = table.unionByName(more)
+    return grid(spark).join(F.broadcast(table), "regime", "left").select("job_id", "policy", "regime", "seed", "n_affected")  # a row a regime
 
 
-@query("WITH " + _GRID_SQL + ", done AS (SELECT job_id FROM grid WHERE seed < 400) SELECT job_id, policy FROM grid WHERE job_id NOT IN (SELECT job_id FROM done)")
+_JOBS_SQL = "jobs AS (SELECT DISTINCT concat('m_', segment_key, '_seed', user_id % 50) AS job_id, segment_key AS policy FROM tx), done AS (SELECT DISTINCT concat('m_', segment_key, '_seed', user_id % 50) AS job_id FROM tx WHERE y = 1 AND y_prob > 0.9)"
+
+
+@query("WITH {TX}, " + _JOBS_SQL + " SELECT job_id, policy FROM jobs WHERE job_id NOT IN (SELECT job_id FROM done)")
 def resume_anti_join(spark, d):
-    done = grid(spark).where("seed < 400").select("job_id")
-    return grid(spark).join(done, "job_id", "left_anti").select("job_id", "policy")
+    """Jobs (a segment and a seed of its users) that have no committed result yet."""
+    name = F.concat(F.lit("m_"), "segment_key", F.lit("_seed"), (F.col("user_id") % 50).cast("string")).alias("job_id")
+    df = stream(spark, d)
+    store = RunTables(spark, scratch(spark, "resumed"))
+    done = df.where("y = 1 and y_prob > 0.9").select(name, F.lit(1.0).alias("figure")).distinct()
+    store.commit(done)
+    return store.remaining(df.select(name, F.col("segment_key").alias("policy")).distinct()).select("job_id", "policy")
 
 
 _RUN_SQL = "runs AS (SELECT segment_key AS policy, user_id % 5 AS seed, round(avg(y_prob), 6) AS v FROM tx GROUP BY 1, 2)"
@@ -676,9 +693,9 @@ def missing_sorted(spark, d):
     return reports.missing_sorted(_labelled(spark, d).drop("doc_id")).select("column", "n_missing", *six("pct_missing"))
 
 
-@query("WITH " + _GRID_SQL + " SELECT job_id, seed FROM grid WHERE starts_with(job_id, 'e3_P3') AND contains(job_id, 'local')")
+@query("SELECT doc_id, source, n_chars FROM documents WHERE starts_with(source, 'src1') AND contains(source, '5')")
 def named_like(spark, d):
-    return reports.named_like(grid(spark), "job_id", "e3_P3", "local").select("job_id", "seed")
+    return reports.named_like(spark.read.parquet(f"{d}/documents.parquet"), "source", "src1", "5").select("doc_id", "source", "n_chars")
 
 
 @query("""SELECT 'orders' AS name, count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS n_missing, 0.0 AS pct_missing FROM orders
@@ -741,9 +758,25 @@ def prequential_p1_log(spark, d):
     return _p1_log(_run("P1")(spark, d))
 
 
-def _p1_log(out: DataFrame) -> DataFrame:
+def _p1_log(out: DataFrame, *more: str) -> DataFrame:
     fine = (F.col("y_pred") == (F.col("y_prob") >= 0.5).cast("int")) & (F.col("error") == F.abs(F.col("y_true") - F.col("y_pred"))) & F.col("y_prob").between(0, 1)
-    return out.select("tx_index", "y_true", "segment_key", "adapted", "adaptation_scope", fine.alias("consistent"), F.col("n_window").cast("long").alias("n_window"), "n_fraud_window")
+    return out.select(*more, "tx_index", "y_true", "segment_key", "adapted", "adaptation_scope", fine.alias("consistent"), F.col("n_window").cast("long").alias("n_window"), "n_fraud_window")
+
+
+_LOG_OF = _SQL["prequential_p1_log"].split("SELECT tx_index, y AS y_true")[1]
+
+
+@query(_SQL["prequential_p1_log"].split("SELECT tx_index, y AS y_true")[0] + " UNION ALL ".join(f"(SELECT 'every_{n}' AS job_id, tx_index, y AS y_true" + _LOG_OF.replace("2000", str(n)) + ")" for n in (2000, 1500)))
+def grid_p1_logs(spark, d):
+    """Several runs as one plan, their records kept as tables by job; a job that was never committed is not read."""
+    df = _learnable(spark, d)
+    _, w = sizes(df)
+    cfgs = [fold.RunConfig(f"every_{n}", "P1", warmup=w, window=WINDOW, interval=n, grace_period=200, delta=0.002) for n in (2000, 1500, 700)]
+    store = RunTables(spark, scratch(spark, "runs"))
+    store.write("records", run_grid(df, FEATURES, cfgs).withColumnRenamed("run_id", "job_id"))
+    figures = store.read_all("records").groupBy("job_id").agg(F.count("*").alias("n_stream"), F.count_if("adapted").alias("adaptation_count"))
+    store.commit(figures.where("job_id != 'every_700'"))
+    return _p1_log(store.read("records"), "job_id")
 
 
 @query(_SQL["prequential_p1_log"])

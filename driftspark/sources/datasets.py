@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 import zipfile
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
+from fnmatch import fnmatch
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftspark.plans.layout import written
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -37,15 +44,33 @@ def get_dataset_metadata(name: str) -> dict:
     return asdict(DATASETS[name.lower()])
 
 
-def find(root: str, pattern: str) -> Path:
-    """The file at the top of a folder, else the first one below it."""
-    base = Path(root)
-    if not base.exists():
+def listed(spark: SparkSession, root: str, times: bool = False) -> list[tuple]:
+    """(path, bytes) of all files below a folder (or of a file) of any file system that Spark reads, in order of their
+    paths; with the time of their last change, if asked for."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(root))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         raise FileNotFoundError(root)
-    for found in (base.glob(pattern), sorted(base.rglob(pattern))):
-        for path in found:
-            return path
-    raise FileNotFoundError(f"{pattern} below {root}")
+    files, out = fs.listFiles(at, True), []
+    while files.hasNext():
+        status = files.next()
+        out.append((status.getPath().toString(), status.getLen(), *([status.getModificationTime()] if times else [])))
+    return sorted(out)
+
+
+def _top(spark: SparkSession, root: str, paths: list[str]) -> list[str]:
+    """The paths at the top of a folder, or else all of them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(root))
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getPath().toString().rstrip("/")
+    return [p for p in paths if p.rpartition("/")[0] == base] or paths
+
+
+def find(spark: SparkSession, root: str, pattern: str) -> str:
+    """The file at the top of a folder, else the first one below it."""
+    found = [p for p, _ in listed(spark, root) if fnmatch(p.rpartition("/")[2], pattern)]
+    if not found:
+        raise FileNotFoundError(f"{pattern} below {root}")
+    return _top(spark, root, found)[0]
 
 
 def check_columns(df: DataFrame, required: tuple[str, ...], what: str) -> DataFrame:
@@ -56,7 +81,11 @@ def check_columns(df: DataFrame, required: tuple[str, ...], what: str) -> DataFr
 
 def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A CSV table: texts that mean missing become null; a column is LONG or DOUBLE if all its other values are."""
-    raw = spark.read.csv([str(p) for p in path] if isinstance(path, list) else str(path), header=True)
+    return typed(spark.read.csv([str(p) for p in path] if isinstance(path, list) else str(path), header=True))
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """Columns of text as LONG, DOUBLE or text, with null for texts that mean missing."""
     clean = lambda c: F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING), F.col(f"`{c}`"))
     tests: list[Column] = []
     for i, c in enumerate(raw.columns):
@@ -74,12 +103,12 @@ def load_ieee_cis(spark: SparkSession, data_dir: str, split: str = "train", join
     if split not in ("train", "test"):
         raise ValueError(f"split has to be train or test, not {split!r}")
     required = tuple(c for c in DATASETS["ieee_cis"].required if split == "train" or c != "isFraud")
-    tx = check_columns(scan_csv(spark, str(find(data_dir, f"{split}_transaction.csv"))), required, "ieee_cis")
+    tx = check_columns(scan_csv(spark, find(spark, data_dir, f"{split}_transaction.csv")), required, "ieee_cis")
     try:
-        path = find(data_dir, f"{split}_identity.csv") if join_identity else None
+        path = find(spark, data_dir, f"{split}_identity.csv") if join_identity else None
     except FileNotFoundError:
         path = None
-    return tx if path is None else left_join(tx, scan_csv(spark, str(path)), "TransactionID")
+    return tx if path is None else left_join(tx, scan_csv(spark, path), "TransactionID")
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -88,18 +117,15 @@ def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def load_paysim(spark: SparkSession, data_dir: str) -> DataFrame:
-    base = Path(data_dir)
-    if not base.exists():
-        raise FileNotFoundError(data_dir)
-    files = list(base.glob("*.csv")) or list(base.rglob("*.csv"))
-    if not files:
+    sizes = {p: n for p, n in listed(spark, data_dir) if p.endswith(".csv")}
+    if not sizes:
         raise FileNotFoundError(f"*.csv below {data_dir}")
-    largest = max(files, key=lambda p: p.stat().st_size)
-    return check_columns(scan_csv(spark, str(largest)), DATASETS["paysim"].required, "paysim")
+    largest = max(_top(spark, data_dir, list(sizes)), key=sizes.get)
+    return check_columns(scan_csv(spark, largest), DATASETS["paysim"].required, "paysim")
 
 
 def load_ulb(spark: SparkSession, data_dir: str) -> DataFrame:
-    return check_columns(scan_csv(spark, str(find(data_dir, "creditcard.csv"))), DATASETS["ulb"].required, "ulb")
+    return check_columns(scan_csv(spark, find(spark, data_dir, "creditcard.csv")), DATASETS["ulb"].required, "ulb")
 
 
 def load_dataset(spark: SparkSession, name: str, data_dir: str, **options) -> DataFrame:
@@ -111,10 +137,67 @@ def load_dataset(spark: SparkSession, name: str, data_dir: str, **options) -> Da
 
 def load_all(spark: SparkSession, data_dir: str, ignore: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Every CSV below a folder, by its stem."""
-    return {p.stem: scan_csv(spark, str(p)) for p in sorted(Path(data_dir).rglob("*.csv")) if p.name not in ignore}
+    names = {p: p.rpartition("/")[2] for p, _ in listed(spark, data_dir)}
+    return {n[:-4]: scan_csv(spark, p) for p, n in names.items() if n.endswith(".csv") and n not in ignore}
+
+
+def zip_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """archive, member, line_no (from 0), line: the lines of all members of ZIP archives whose names match a pattern.
+
+    Archives are read by Spark from any file system it knows and inflated in its tasks, a member a stretch at a time; a
+    task holds one archive as it is packed (2 GB at most, Spark's bound for a file's content) and some lines. Bytes that
+    are no UTF-8 become U+FFFD; an archive that is none is an error."""
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    # a row a batch: archives are never held together
+    archives = archives.repartition("path")
+
+    def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                    for member in z.infolist():
+                        if member.is_dir() or not fnmatch(member.filename.rpartition("/")[2], pattern):
+                            continue
+                        with z.open(member) as raw, io.TextIOWrapper(raw, "utf-8-sig", errors="replace", newline=None) as text:
+                            yield from _stretches(name.as_py(), member.filename, text)
+
+    return archives.mapInArrow(inflate, "archive string, member string, line_no long, line string")
+
+
+def _stretches(archive: str, member: str, text: Iterable[str], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Lines in record batches of about ``most`` characters."""
+    lines, size, start = [], 0, 0
+
+    def batch() -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_arrays([pa.array([archive] * n), pa.array([member] * n), pa.array(range(start, start + n), pa.int64()), pa.array(lines)], ["archive", "member", "line_no", "line"])
+
+    for line in text:
+        lines.append(line.rstrip("\r\n"))
+        size += len(line)
+        if size >= most:
+            yield batch()
+            lines, size, start = [], 0, start + len(lines)
+    if lines:
+        yield batch()
+
+
+def scan_zip(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """The CSV tables in ZIP archives as one table, typed as ``scan_csv`` does. The lines are written to shared storage
+    first, so that nothing is inflated twice; each member has a header, and all headers are alike. A record is a line."""
+    lines = written(zip_lines(spark, path, pattern), "lines")
+    heads = [r["line"] for r in lines.where("line_no = 0").select("line").distinct().limit(2).collect()]
+    if not heads:
+        raise FileNotFoundError(f"{pattern} in {path}")
+    if len(heads) > 1:
+        raise ValueError(f"tables in {path} have different headers")
+    names = next(csv.reader(heads))
+    schema = ", ".join(f"`{c}` string" for c in names)
+    return typed(lines.where("line_no > 0 and line != ''").select(F.from_csv("line", schema).alias("r")).select("r.*"))
 
 
 def unzip(archive: str, folder: str) -> list[str]:
+    """All members of an archive as files of the driver; ``scan_zip`` reads archives where Spark can."""
     with zipfile.ZipFile(archive) as z:
         z.extractall(folder)
         return z.namelist()

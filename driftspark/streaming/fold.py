@@ -177,9 +177,9 @@ def _rows(pdf: pd.DataFrame, features: list[str]):
 _ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for c in RECORDS.split(", ")])
 
 
-def in_order(df: DataFrame, key: str, index: str = "tx_index"):
+def in_order(df: DataFrame, *key: str, index: str = "tx_index"):
     """Groups of a frame by ``key`` whose rows come in the order of ``index``, for functions over an iterator of batches."""
-    return df.repartition(key).sortWithinPartitions(key, index).groupBy(key)
+    return df.repartition(*key).sortWithinPartitions(*key, index).groupBy(*key)
 
 
 def _ordered(batches: Iterator[pa.RecordBatch], index: str = "tx_index") -> Iterator[pd.DataFrame]:

@@ -59,8 +59,8 @@ def test_manifest_and_resume(spark, tmp_path):
     again = jobs.Manifest(str(tmp_path))
     assert not again.start("d_m_P1_seed42", name) and again.jobs["bad"]["status"] == jobs.FAILED
     saved = json.loads((tmp_path / "manifest.json").read_text())
-    assert (saved["total"], saved["completed"]) == (2, 1)
-    assert set(zipfile.ZipFile(tmp_path / "artifacts.zip").namelist()) == {"manifest.json", name}
+    assert (saved["total_jobs"], saved["completed_jobs"]) == (2, 1)
+    assert set(zipfile.ZipFile(tmp_path / "artifacts.zip").namelist()) == {"manifest.json", f"runs/{name}"}
     row = again.table(spark).where("status = 'COMPLETED'").first()
     assert (row["pr_auc"], row["latency_p50_ms"], row["adaptation_count"], row["throughput_tx_per_sec"]) == (0.5, 1.0, 1, 20.0)
     assert [r["job_id"] for r in jobs.remaining(again.table(spark), again.table(spark).where("status = 'COMPLETED'")).collect()] == ["bad"]
