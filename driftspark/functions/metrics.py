@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.functions.quantiles import quantiles
+from driftspark.plans.layout import written
 
 BINS = 256
 
@@ -39,6 +40,7 @@ def thresholds(df: DataFrame, *by: str, score: str = "y_prob", y: str = "y") ->
     cells = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_c")
     )
+    cells = written(cells, "cells")  # read for the borders, the totals and the running sums
     cells = cells.where("score is not null").withColumn("_bin", bin_of(F.col("score"), borders(cells)))
     totals = cells.groupBy(*by, "_bin").agg(F.sum("_p").alias("_bp"), F.sum("_c").alias("_bc"))
     above = Window.partitionBy(*by).orderBy(F.desc("_bin"))
