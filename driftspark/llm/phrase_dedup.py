@@ -72,7 +72,7 @@ def gram_hashes(h: np.ndarray, n: int, mult: np.uint64) -> np.ndarray:
         if size * 2 > n:
             break
         width = width[: len(width) - size] * power + width[size:]
-        power = power * power
+        power = np.uint64(int(power) ** 2 & (1 << 64) - 1)
         size *= 2
     return mix(out)
 
