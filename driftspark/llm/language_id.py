@@ -34,9 +34,10 @@ CHUNK = 80
 #: Values of the hash that orders documents.
 PLACES = 1_000_000_007
 ROUNDS, RATE, DECAY = 40, 0.4, 1e-5
-CACHE_WORDS = 200_000
-#: Words that are labelled at once.
-PIECE_WORDS = 300_000
+#: Numbers (words by labels) that are labelled at once, and that are remembered of known words.
+PIECE_CELLS, CACHE_CELLS = 1_200_000, 800_000
+#: Positions after which messages are normalised; with fewer than 90 labels a step changes their sum by far less than 2^100.
+STEPS = 8
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -44,7 +45,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 def split(text: str) -> list[str]:
     """Runs of letters; numbers that are no decimal digits (such as fractions) are no letters either."""
     words = _WORDS.findall(text.lower())
-    if text.isascii():
+    if text.isascii() or "".join(words).isalpha():
         return words
     return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
@@ -59,25 +60,35 @@ def features(word: str, lexicon: frozenset[str] | set[str]) -> list[str]:
 
 
 def messages(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised forward and backward messages of sequences laid end to end (all sizes at least 1)."""
+    """Normalised forward and backward messages of sequences laid end to end (all sizes at least 1).
+
+    One loop goes through all sequences from their front and from their back: a backward message times its emission
+    follows the same rule as a forward message, with transposed transitions."""
     order = np.argsort(-sizes, kind="stable")
     first = (np.cumsum(sizes) - sizes)[order]
     sizes = sizes[order]
-    alpha, beta = np.empty_like(emit), np.empty_like(emit)
     active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-    for t, n in enumerate(active.tolist()):
-        at = first[:n] + t
-        a = (start if t == 0 else alpha[at - 1] @ step) * emit[at]
-        alpha[at] = a / a.sum(axis=1, keepdims=True)
-    for t in range(len(active) - 1, -1, -1):
-        n, more = active[t], active[t + 1] if t + 1 < len(active) else 0
-        at = first[:n] + t
-        b = np.ones((n, emit.shape[1]))
-        if more:
-            nxt = at[:more] + 1
-            b[:more] = (beta[nxt] * emit[nxt]) @ step.T
-        beta[at] = b / b.sum(axis=1, keepdims=True)
-    return alpha, beta
+    # the rows of position 0 of all sequences, then those of position 1, and so on
+    t = np.repeat(np.arange(len(active)), active)
+    k = np.arange(len(t)) - np.repeat(np.cumsum(active) - active, active)
+    front, back = first[k] + t, (first + sizes - 1)[k] - t
+    both, pair = np.stack([emit[front], emit[back]]), np.stack([step, step.T])
+    before, begin = both[:, : active[0]], active[0]
+    before[0] *= start
+    for t, n in enumerate(active[1:].tolist(), 1):
+        here = both[:, begin : begin + n]
+        here *= before[:, :n] @ pair
+        if t % STEPS == 0:
+            here /= here.sum(axis=2, keepdims=True)
+        before, begin = here, begin + n
+    both /= both.sum(axis=2, keepdims=True)
+    alpha, beta, later = np.empty_like(emit), np.ones_like(emit), np.empty_like(emit)
+    alpha[front], later[back] = both
+    inner = np.ones(len(emit), bool)
+    inner[first + sizes - 1] = False
+    inner = np.flatnonzero(inner)
+    beta[inner] = later[inner + 1] @ step.T
+    return alpha, beta / beta.sum(axis=1, keepdims=True)
 
 
 def marginals(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -85,6 +96,28 @@ def marginals(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def key(letters: str) -> int:
+    """Up to three letters as one number, 21 bits each."""
+    out = 0
+    for c in letters:
+        out = out << 21 | ord(c)
+    return out
+
+
+class Places:
+    """The place of each feature, by sorted numbers of letters; -1 for an unknown one."""
+
+    def __init__(self, places: dict[str, int]):
+        found = sorted((key(f), i) for f, i in places.items())
+        self.keys = np.array([k for k, _ in found] or [0], np.uint64)
+        self.place = np.array([i for _, i in found] or [-1], np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, self.place[at], -1)
+
+
 class Model:
     """Weights of features, transitions and starts; ``learn`` maximises the conditional likelihood of word labels."""
 
@@ -103,6 +136,9 @@ class Model:
         kept = sorted((f for f, k in seen.items() if k > 1 or f[0] == "="), key=lambda f: (-seen[f], f))[:FEATURES]
         del seen
         self.index = {f: i for i, f in enumerate(kept)}
+        of = lambda c: {f[1:]: i for f, i in self.index.items() if f[0] == c}
+        self.prefixes, self.suffixes = Places(of("<")), Places(of(">"))
+        self.grams = Places({f: i for f, i in self.index.items() if f[0] not in "<>="})
         self.weights = np.zeros((len(kept) + 1, n))  # the last row is the bias
         self.step, self.start = np.zeros((n, n)), np.zeros(n)
         if n > 1 and flat:
@@ -111,15 +147,36 @@ class Model:
         self.table = np.zeros((1024, n))
 
     def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the known features of words, end to end, and their numbers."""
-        get, bias = self.index.get, len(self.index)
-        flat, count = [], np.zeros(len(words), np.int64)
-        for k, w in enumerate(words):
-            rows = [i for f in features(w, self.lexicon) if (i := get(f)) is not None]
-            flat += rows
-            flat.append(bias)
-            count[k] = len(rows) + 1
-        return np.array(flat, np.int32), count
+        """Places of the known ``features`` of words, end to end, and their numbers. The last of a word is its bias."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        letter = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        bits, all_ = np.uint64(21), np.arange(len(words))
+        owner = np.repeat(all_, size + 2)
+        two = letter[:-1] << bits | letter[1:]
+        three = two[:-1] << bits | letter[2:]
+        places, owners = [], []
+        for gram, n in ((two, 1), (three, 2)):
+            whole = owner[:-n] == owner[n:]
+            places.append(self.grams(gram[whole]))
+            owners.append(owner[:-n][whole])
+        end = np.cumsum(size + 2) - 2  # the last letter
+        start = end - size + 1
+        for table, first in ((self.prefixes, lambda n: start), (self.suffixes, lambda n: end - n + 1)):
+            for n in (1, 2, 3):  # of a shorter word, the whole word again
+                m = np.minimum(size, n)
+                at = first(m)
+                keys = letter[at]
+                for i in range(1, n):
+                    keys = np.where(i < m, keys << bits | letter[np.minimum(at + i, end)], keys)
+                places.append(table(keys))
+                owners.append(all_)
+        get = self.index.get
+        places.append(np.fromiter((get("=" + w, -1) if w in self.lexicon else -1 for w in words), np.int32, len(words)))
+        places.append(np.full(len(words), len(self.index), np.int32))
+        place, owner = np.concatenate(places), np.concatenate([*owners, all_, all_])
+        known = place >= 0
+        place, owner = place[known], owner[known]
+        return place[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def scores(self, words: list[str]) -> np.ndarray:
         at, n = self._rows(words)
@@ -163,7 +220,7 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Exponentiated scores of words, remembered in ``table``."""
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if len(known) * len(self.labels) > CACHE_CELLS:
             known.clear()
         if new := list(set(words).difference(known)):
             e = self.scores(new)
@@ -177,7 +234,7 @@ class Model:
     def label_words(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Label probabilities of each word of each text (each with a word at least)."""
         sizes = np.array([len(w) for w in texts], np.int64)
-        emit = np.concatenate([self.emissions(w) for w in texts])
+        emit = self.emissions([w for text in texts for w in text])
         p = marginals(*messages(emit, sizes, np.exp(self.step), np.exp(self.start)))
         return np.split(p, np.cumsum(sizes)[:-1])
 
@@ -200,7 +257,7 @@ class Model:
                 rows.append(i)
                 held.append(w)
                 total += len(w)
-                if total >= PIECE_WORDS:
+                if total * len(self.labels) >= PIECE_CELLS:
                     flush()
                     total = 0
         if rows:
