@@ -71,6 +71,32 @@ def test_no_benchmark_and_no_documents(spark, docs):
     assert license_scan.scan(none).count() == 0
 
 
+def test_long_items_and_many_windows(spark, monkeypatch):
+    """Items longer than a piece, chunks by number of windows, repeated windows of one and of several items."""
+    text = " ".join(f"w{i * i % 97}" for i in range(300))
+    items = [("a", text), ("a", text), ("b", "x " + text[:200]), ("c", "w0 w1"), (None, "w4 w9"), ("d", "w0, W1"), ("e", "é ü"), ("f", None)]
+    docs = [(1, text), (2, "y " + text[100:]), (3, "w0 w1 w4 w9 É ü é"), (4, None), (5, "w0-w1")]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(brute.decontaminate(docs, [(i or "", t) for i, t in items]))
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    for most in (1 << 20, 40):
+        monkeypatch.setattr(decontaminate, "CHUNK_WINDOWS", most)
+        n, chunks = decontaminate._chunks(table, 10)
+        assert (n > 5) == (most == 40) and max(len(t.split()) for c in chunks for _, t in c) <= 16
+        found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), table)
+        got = [(r["doc_id"], r["n_words"], r["n"], len(r["items"]), brute.sha(",".join(r["items"]))) for r in found.withColumn("n", decontaminate.hit_words()).collect()]
+        assert sorted(got) == [x[:5] for x in want]
+
+
+def test_windows_that_share_a_hash(monkeypatch):
+    """Equal hashes of different windows are told apart by their ids."""
+    monkeypatch.setattr(decontaminate, "_MULT", decontaminate.np.uint64(0))  # the hash is the last id alone
+    index = decontaminate.Index([("p", b"a b z"), ("q", b"c d z"), ("r", b"c d z"), ("s", b"e")], 3)
+    assert max(w.alike for w in index.windows) == 2
+    ids = decontaminate.np.array([index.vocab.get(w, 0) for w in b"a b z c d z a d z e".split()])
+    assert sorted(index.find(ids)) == [(0, 3, ["p"]), (3, 3, ["q", "r"]), (9, 1, ["s"])]
+
+
 def test_remove_spans():
     assert decontaminate.remove_spans(b"Aa, b c! d", [1, 3]) == b"Aa, ! d"
 
