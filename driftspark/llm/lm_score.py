@@ -16,11 +16,11 @@ Held-out positions become cells (bucket, rounded log probability of each order),
 bounded by the rounding, so the mixture weights are learned on the driver from a table of bounded size.
 
 The rows of a block must come in the same order each time: ``documents`` has to be a table (or any other frame whose
-partitions can be computed again alike). A block checks that answers fit its questions.
+partitions can be computed again alike). A block checks that answers fit its questions, by a hash of the keys.
 
 Defined results: a null or empty text has one token, its end; a null doc_id counts as a training document; repeated
-rows count repeatedly; without any training token all counts are 0 and both scores use an empty vocabulary; further
-columns are ignored.
+rows count repeatedly; without any training token all counts are 0 and both scores use an empty vocabulary; an empty
+table gives no rows; a text longer than a block's bytes is a block of its own; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ FLOOR = 1e-6
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _END, _START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 ASK = "shard int, block long, level int, deleted boolean, n int, keys binary, counts binary"
-ANSWER = "block long, level int, shard int, n int, total binary, deleted binary, tokens long, types long, gone long"
+ANSWER = "block long, level int, shard int, n int, asked long, total binary, deleted binary, tokens long, types long, gone long"
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -75,6 +75,11 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(float)
 
 
+def digest(keys: np.ndarray) -> int:
+    """A hash of some keys in their order, as a long."""
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
+
+
 class Block:
     """The n-grams of some documents: positions, and for each order the distinct grams in (shard, hash) order.
 
@@ -254,13 +259,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deleted = np.bincount(inverse, n * gone, len(keys))
         at = 0
         out = []
-        for block, of_deleted, m, _, _ in rows:
+        for block, of_deleted, m, own, _ in rows:
             mine = inverse[at : at + m]
             at += m
             # only the blocks of deleted documents are ever scored without them
-            out.append((block, level, shard, m, pack_counts(total[mine]), pack_counts(deleted[mine]) if of_deleted else None, None, None, None))
+            out.append((block, level, shard, m, digest(own), pack_counts(total[mine]), pack_counts(deleted[mine]) if of_deleted else None, None, None, None))
         if level == 0:
-            out.append((None, None, shard, 0, None, None, int(total.sum()), int((total > 0).sum()), int(deleted.sum())))
+            out.append((None, None, shard, 0, None, None, None, int(total.sum()), int((total > 0).sum()), int(deleted.sum())))
         for some in _some(iter(out)):
             yield _batch(some, ANSWER)
 
@@ -273,7 +278,7 @@ def _counted(block: Block, answers: list[dict]) -> tuple[list[np.ndarray], list[
     for level in range(len(block.keys)):
         for shard, i, j in block.shards(level):
             r = found.get((level, shard))
-            if r is None or r["n"] != j - i:
+            if r is None or r["n"] != j - i or r["asked"] != digest(block.keys[level][i:j]):
                 raise RuntimeError("documents came in another order than before; write them as a table first")
             total[level][i:j] = unpack_counts(r["total"], j - i)
             if r.get("deleted") is not None:
@@ -344,7 +349,7 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
     n_tokens, n_types, n_gone = (int(x or 0) for x in totals)
     texts = parts.groupBy().agg(F.count_if(~F.col("held_out")), F.count_if("deleted")).first()
     n_texts, n_deleted = int(texts[0]), int(texts[1])
-    answers = answers.where("block is not null").select("block", "level", "shard", "n", "total", "deleted")
+    answers = answers.where("block is not null").select("block", "level", "shard", "n", "asked", "total", "deleted")
     odd = answers.where("block % 2 = 1")
     sides = lambda d, a: d.groupBy("block").cogroup(a.groupBy("block"))
     uniform = 1 / (n_types + 1)

@@ -38,6 +38,81 @@ def test_lm_base_and_counts(spark, tmp_path):
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def plain_lm(rows, deleted, order):
+    """Scores by the definition: dictionaries of grams, expectation-maximisation word by word over the rounded cells."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    seqs = {d: ["<", *lm_tokens(x)] for d, x in rows}
+    gram = lambda s, i, k: (k, *s[max(0, i - k) : i + 1])
+
+    def count(ids):
+        c = Counter(gram(seqs[d], i, k) for d in ids for i in range(1, len(seqs[d])) for k in range(order))
+        return c, sum(len(seqs[d]) - 1 for d in ids), len(ids)
+
+    def estimates(s, i, counts, n, texts):
+        contexts = [n] + [texts if i == 1 else counts[gram(s, i - 1, k - 1)] for k in range(1, order)]
+        return [counts[gram(s, i, k)] / c if c else 0.0 for k, c in enumerate(contexts)], contexts[-1]
+
+    level = lambda c: 1 + int(math.log2(c)) if c else 0
+    training = [d for d in seqs if not held(d)]
+    all_counts = count(training)
+    main = count([d for d in training if d not in deleted])
+    v = sum(1 for g in all_counts[0] if g[0] == 0)
+    cells = {}
+    for d in deleted:
+        for i in range(1, len(seqs[d])):
+            p, context = estimates(seqs[d], i, *main)
+            logs = [math.log2(x) if x else None for x in p]
+            cells.setdefault((level(context), *(None if x is None else round(x / lm_score.STEP) for x in logs)), []).append(logs)
+    learned = {}
+    for b in {c[0] for c in cells}:
+        mine = [([0.0 if x[0] is None else 2 ** (sum(x) / len(x)) for x in zip(*logs, strict=True)] + [1 / (v + 1)], len(logs)) for c, logs in cells.items() if c[0] == b]
+        w = [1 / (order + 1)] * (order + 1)
+        for _ in range(lm_score.EM_STEPS):
+            new = [0.0] * len(w)
+            for p, n in mine:
+                total = sum(a * x for a, x in zip(w, p, strict=True))
+                new = [y + n * a * x / total for y, a, x in zip(new, w, p, strict=True)]
+            w = [y / sum(n for _, n in mine) for y in new]
+        learned[b] = lm_score._floored(np.array(w))
+    mixture = lm_score.weights_table(learned, order)
+    out = {}
+    for d, s in seqs.items():
+        out[d] = 0.0
+        for i in range(1, len(s)):
+            p, context = estimates(s, i, *all_counts)
+            out[d] += math.log10(sum(a * x for a, x in zip(mixture[level(context)], [*p, 1 / (v + 1)], strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores_are_those_of_brute_force(spark, tmp_path, order):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, 30) % 40) if i % 9 else None) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    deleted = {r["doc_id"] for r in lm_score._parts(df).where("deleted").collect()}
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(df, order).collect()}
+    want = plain_lm(rows, deleted, order)
+    assert deleted and got.keys() == want.keys()
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
+
+
+def test_lm_of_no_rows_and_of_no_training_rows(spark):
+    df = spark.createDataFrame([(i, "a b c") for i in range(60)], "doc_id long, text string")
+    assert lm_score.score_documents(df.where("false")).count() == 0
+    got = lm_score.score_documents(df.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).collect()
+    assert got and {(r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9)) for r in got} == {(True, 4, 0, 0, 0.0)}
+    assert all(math.isfinite(r["score"]) for r in got)
+
+
+def test_lm_answers_to_other_keys_are_refused():
+    block, other = (lm_score.Block([t], 1, 1) for t in (b"a b", b"a c"))
+    answer = lambda b: [{"level": 0, "shard": 0, "n": 3, "asked": lm_score.digest(b.keys[0]), "total": lm_score.pack_counts(np.ones(3)), "deleted": None}]
+    assert lm_score._counted(block, answer(block))[0][0].tolist() == [1, 1, 1]
+    with pytest.raises(RuntimeError, match="another order"):
+        lm_score._counted(block, answer(other))
+
+
 def test_lm_beats_its_base_on_held_out_text(spark):
     got = [r for r in queries.op1_lm_score(spark, D).collect() if r["held_out"]]
     assert got and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
@@ -163,12 +238,24 @@ def test_code_switched_words():
     assert got == ["en"] * 6 + ["de"] * 7
 
 
+def test_rows_are_the_features():
+    """The places found by numbers of letters are those of the features by name, the bias last."""
+    model = language_id.Model([("the cat a étude sat on the mat the", "en"), ("der hund und die katze der 𐐨𐐩 𐐨𐐩", "de")] * 3)
+    words = ["the", "cat", "a", "ab", "étude", "katzen", "𐐨𐐩", "𐐨", "zzzz", "der"]
+    at, count = model._rows(words)
+    for w, part in zip(words, language_id.np.split(at, language_id.np.cumsum(count)[:-1]), strict=True):
+        want = [model.index[f] for f in language_id.features(w, model.lexicon) if f in model.index]
+        assert sorted(part[:-1].tolist()) == sorted(want) and part[-1] == len(model.index)
+
+
 def test_forward_backward_is_exact():
     import itertools
 
     rng = np.random.default_rng(2)
     sizes = np.array([1, 4, 2])
     emit, step, start = rng.random((7, 3)), rng.random((3, 3)), rng.random(3)
+    long = np.array([2000, 3])  # messages stay finite
+    assert np.isfinite(language_id.marginals(*language_id.messages(rng.random((2003, 3)) * 1e-9, long, step, start))).all()
     got = language_id.marginals(*language_id.messages(emit, sizes, step, start))
     at = 0
     for n in sizes.tolist():
