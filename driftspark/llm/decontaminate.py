@@ -11,7 +11,7 @@ each document. One chunk is the usual case.
 
 Defined results: a null text has no words; a null or wordless item has no window; repeated items count by distinct
 item_id (a null id reads as the empty string); repeated documents each keep a row; an empty benchmark hits nothing and an
-empty documents table gives no rows; a very long text is split into words ``PIECE_BYTES`` rows at a time and read whole;
+empty documents table gives no rows; a very long text is read whole, by itself;
 further columns are ignored, or returned if asked for.
 """
 
