@@ -8,8 +8,11 @@ the swapped model first predicts the next row.
 What runs in parallel without changing results: runs; the epochs of P1 (an epoch's model is a function of the W rows up
 to its trigger and its own rows); the segments of P3 (each reads only its own state). P0 and P2 are sequential by nature.
 Alarms of P1 and global alarms of P3 never feed back, so they are a second pass over the error column. A global detector
-reads its errors in order, so that pass is one task; it holds a batch of rows. A frozen model makes rows independent: one
-task learns the warmup rows, all others score.
+reads its errors in order, so that pass is one task at a time; it holds a batch of rows. A frozen model makes rows
+independent: one task learns the warmup rows, all others score.
+
+What is sequential goes in slices of the index, a job each, and hands its state to the next one (``in_slices``): no task
+sorts more than a slice, however long the stream is.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from time import perf_counter
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.plans.layout import written
+from driftspark.plans.layout import scratch, written
 from driftspark.streaming.learners import DriftMonitor, HoeffdingTree, make_detector
 
 POLICIES = {"static": "P0", "periodic": "P1", "global_drift_triggered": "P2", "segment_drift_triggered": "P3"}
@@ -107,11 +111,17 @@ class Retrainer:
 class Fold:
     """The state of a run between two rows: models (by segment for P3, else one), detectors and the window."""
 
-    def __init__(self, cfg: RunConfig):
+    def __init__(self, cfg: RunConfig, kept: tuple | None = None):
         self.cfg, self.by_segment = cfg, cfg.policy == "P3"
         self.models: dict[str | None, HoeffdingTree] = {}
         self.monitor = DriftMonitor(cfg.detector, True, cfg.detector_kwargs)
         self.buffer = Retrainer(cfg)
+        if kept is not None:
+            self.models, self.monitor, self.buffer.rows = kept
+
+    def kept(self) -> tuple:
+        """What another fold of the same configuration goes on from."""
+        return self.models, self.monitor, self.buffer.rows
 
     def step(self, tx: int, x: dict, y: int, segment: str | None) -> tuple | None:
         """The record of a row; a row before cfg.warmup only trains and has none."""
@@ -195,17 +205,73 @@ def _ordered(batches: Iterator[pa.RecordBatch], index: str = "tx_index") -> Iter
             yield pdf
 
 
-def sequential(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
-    """One task per run: the only way for P0 and P2, and the yardstick for the others. It holds one batch of rows."""
+#: Index values of a slice.
+SLICE = 1 << 20
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Fold(cfg)
-        for pdf in _ordered(batches):
-            records = [r for row in _rows(pdf, features) if (r := state.step(*row)) is not None]
-            yield pa.RecordBatch.from_pandas(_frame(records), _ARROW, preserve_index=False)
 
-    rows = _needed(stream, features).withColumn("run", F.when(F.col("tx_index").isNotNull(), cfg.run_id))  # a constant would not keep the order
-    return in_order(rows, "run").applyInArrow(fold, RECORDS)
+def in_slices(rows: DataFrame, keys: list[str], begin: Callable, step: Callable, kept: Callable, schema: pa.Schema, columns: str, index: str = "tx_index") -> DataFrame:
+    """Folds each group of ``keys`` (strings) in the order of ``index``; ``columns`` names what comes out, as ``schema`` does.
+
+    Rows are written by slice of SLICE index values. Each slice is a job over its own rows only and hands every group's
+    state to the next, so a task sorts one slice of its groups, not the whole stream, and holds a batch of rows.
+    ``begin(key, state)`` makes a group's state, anew (None) or from ``kept`` of the slice before, which has to be
+    picklable; ``step(state, frame)`` changes it and returns a record batch."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "slices")
+    rows.withColumn("_slice", F.floor(F.col(index) / SLICE)).write.partitionBy("_slice").parquet(f"{path}/rows")
+    table = spark.read.schema(rows.schema.add("_slice", "long")).parquet(f"{path}/rows")
+    slices = [r["_slice"] for r in table.select("_slice").distinct().collect()]
+    if None in slices:
+        raise ValueError(f"rows without {index}")
+    names, held = rows.columns, [f"_of_{k}" for k in keys]
+    mixed = ", ".join([columns, *(f"{h} string" for h in held), "_state binary"])
+    arrow = pa.schema([*schema, *((h, pa.string()) for h in held), ("_state", pa.binary())])
+    if not slices:
+        return spark.createDataFrame([], columns)
+
+    def folds(hands_on: bool) -> Callable:
+        def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, state = tuple(k.as_py() for k in key), None
+
+            def own() -> Iterator[pa.RecordBatch]:
+                nonlocal state
+                for b in batches:
+                    if state is None and b.num_rows:  # the state handed on has no index and comes first
+                        old = b.column("_state")[0].as_py()
+                        state = begin(group, None if old is None else cloudpickle.loads(old))
+                        b = b if old is None else b.slice(1)
+                    yield b.select(names)
+
+            for pdf in _ordered(own(), index):
+                out = step(state, pdf)
+                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(len(out), f.type) for f in list(arrow)[len(schema) :])], schema=arrow)
+            if hands_on and state is not None:
+                last = [*(None for _ in schema), *group, cloudpickle.dumps(kept(state))]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, arrow, strict=True)], schema=arrow)
+
+        return fold
+
+    states = None
+    for at in sorted(slices):
+        part = table.where(F.col("_slice") == at).select(*names, F.lit(None).cast("binary").alias("_state"))
+        part = part if states is None else part.unionByName(states, allowMissingColumns=True)
+        in_order(part, *keys, index=index).applyInArrow(folds(at != max(slices)), mixed).write.parquet(f"{path}/out/slice={at}")
+        states = spark.read.schema(mixed).parquet(f"{path}/out/slice={at}").where("_state is not null").select(*(F.col(h).alias(k) for h, k in zip(held, keys, strict=True)), "_state")
+    return spark.read.schema(mixed).parquet(f"{path}/out").where("_state is null").select(*schema.names)
+
+
+def _recorded(state: Fold, pdf: pd.DataFrame, features: list[str]) -> pd.DataFrame:
+    return _frame([r for row in _rows(pdf, features) if (r := state.step(*row)) is not None])
+
+
+def _batch(frame: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, _ARROW, preserve_index=False)
+
+
+def sequential(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
+    """One task per run at a time: the only way for P0 and P2, and the yardstick for the others. It sorts a slice of the
+    stream and holds one batch of rows."""
+    rows = _needed(stream, features).withColumn("run", F.lit(cfg.run_id))
+    return in_slices(rows, ["run"], lambda _, kept: Fold(cfg, kept), lambda state, pdf: _batch(_recorded(state, pdf, features)), Fold.kept, _ARROW, RECORDS)
 
 
 #: Largest fitted model that is broadcast.
@@ -247,6 +313,22 @@ def _needed(stream: DataFrame, features: list[str]) -> DataFrame:
     return stream.select("tx_index", "y", "segment_key", *(F.col(f).cast("double").alias(f) for f in features))
 
 
+def _epoch(model, pdf: pd.DataFrame, features: list[str], cfg: RunConfig) -> pd.DataFrame:
+    """Records of an epoch's rows, and without one those that it only trains on, which come before."""
+    out = []
+    for learns, (tx, x, y, s) in zip(pdf["train"].tolist(), _rows(pdf, features), strict=True):
+        if learns:
+            model.learn_one(x, y)
+            continue
+        p = model.predict_one(x)
+        label = int(p >= 0.5)
+        model.learn_one(x, y)
+        epoch_end = (tx - cfg.warmup + 1) % cfg.interval == 0
+        swap = epoch_end and not cfg.no_swap
+        out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, swap, "global" if epoch_end else None, None, None, None, None, None))
+    return _frame(out)
+
+
 def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
     """P1 by epoch: rows of the W before an epoch's trigger are copied to it as training rows. ``prequential`` adds the
     alarms; n_window and n_fraud_window are the rows that the next epoch trains on."""
@@ -262,24 +344,18 @@ def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
     training = trained.where(F.col("epoch") <= F.lit(last)).withColumn("train", F.lit(True))
     rows = base.withColumn("epoch", own).withColumn("train", F.col("tx_index") < cfg.warmup).unionByName(training)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, out = cfg.learner(), []
-        train, run = pdf[pdf["train"]], pdf[~pdf["train"]]
-        for _, x, y, _ in _rows(train, features):
-            model.learn_one(x, y)
-        for tx, x, y, s in _rows(run, features):
-            p = model.predict_one(x)
-            label = int(p >= 0.5)
-            model.learn_one(x, y)
-            epoch_end = (tx - cfg.warmup + 1) % cfg.interval == 0
-            swap = epoch_end and not cfg.no_swap
-            out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, swap, "global" if epoch_end else None, None, None, None, None, None))
-        return _frame(out)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = cfg.learner()
+        for pdf in _ordered(batches):
+            yield _batch(_epoch(model, pdf, features, cfg))
 
     sizes = trained.groupBy((cfg.warmup + F.col("epoch") * cfg.interval - 1).alias("tx_index")).agg(
         F.count("*").cast("int").alias("n_window"), F.sum("y").cast("int").alias("n_fraud_window")
     )
-    out = rows.groupBy("epoch").applyInPandas(fold, RECORDS).drop("n_window", "n_fraud_window")
+    # the first epoch learns all warmup rows, a share of the stream; the others are bounded by window and interval
+    first = in_slices(rows.where("epoch = 0").withColumn("run", F.lit(cfg.run_id)), ["run"], lambda _, kept: cfg.learner() if kept is None else kept, lambda model, pdf: _batch(_epoch(model, pdf, features, cfg)), lambda model: model, _ARROW, RECORDS)
+    others = in_order(rows.where("epoch > 0"), "epoch").applyInArrow(fold, RECORDS)
+    out = first.unionByName(others).drop("n_window", "n_fraud_window")
     return out.join(sizes, "tx_index", "left").select(*_COLUMNS)
 
 
