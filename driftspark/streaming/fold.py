@@ -360,15 +360,15 @@ def epochs(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
 
 
 def by_segment(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFrame:
-    """P3 by segment: each reads only its own state; a window still ends W global rows back, by tx_index.
-    ``prequential`` adds the global alarms."""
+    """P3 by segment: each reads only its own state; a window still ends W global rows back, by tx_index. A task sorts a
+    slice of a segment and holds a batch of rows. ``prequential`` adds the global alarms."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _frame(run_fold(_rows(pdf, features), cfg))
+    def step(state: Fold, pdf: pd.DataFrame) -> pa.RecordBatch:
+        out = _recorded(state, pdf, features)
         out["drift_detected_global"] = None
-        return out
+        return _batch(out)
 
-    return _needed(stream, features).groupBy("segment_key").applyInPandas(fold, RECORDS)
+    return in_slices(_needed(stream, features), ["segment_key"], lambda _, kept: Fold(cfg, kept), step, Fold.kept, _ARROW, RECORDS)
 
 
 def _passes(rows: DataFrame, key: str, detector: str, kwargs: dict) -> DataFrame:
