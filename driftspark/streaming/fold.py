@@ -371,22 +371,29 @@ def by_segment(stream: DataFrame, features: list[str], cfg: RunConfig) -> DataFr
     return in_slices(_needed(stream, features), ["segment_key"], lambda _, kept: Fold(cfg, kept), step, Fold.kept, _ARROW, RECORDS)
 
 
-def _passes(rows: DataFrame, key: str, detector: str, kwargs: dict) -> DataFrame:
-    """key, tx_index of the alarms of a detector's pass over the errors of each key, in order, a batch at a time."""
+def _hits(rows: DataFrame, keys: list[str], detector: Callable) -> DataFrame:
+    """keys, tx_index of the alarms of ``detector(key)``'s pass over the errors of each group of keys (strings), in order, a
+    batch at a time."""
 
-    def scan(names: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = make_detector(detector, **kwargs)
-        for pdf in _ordered(batches):
-            hits = [t for t, e in zip(pdf["tx_index"].tolist(), pdf["error"].tolist(), strict=True) if d.update(float(e))]
-            yield pa.RecordBatch.from_arrays([pa.array([names[0].as_py()] * len(hits), pa.string()), pa.array(hits, pa.int64())], [key, "tx_index"])
+    def step(state: tuple, pdf: pd.DataFrame) -> pa.RecordBatch:
+        group, d = state
+        hits = [t for t, e in zip(pdf["tx_index"].tolist(), pdf["error"].tolist(), strict=True) if d.update(float(e))]
+        return pa.RecordBatch.from_arrays([*(pa.array([k] * len(hits), pa.string()) for k in group), pa.array(hits, pa.int64())], schema=schema)
+
+    schema = pa.schema([*((k, pa.string()) for k in keys), ("tx_index", pa.int64())])
+    columns = ", ".join([*(f"{k} string" for k in keys), "tx_index long"])
+    needed = rows.select(*(F.col(k).cast("string").alias(k) for k in keys), "tx_index", F.col("error").cast("double").alias("error"))
+    return in_slices(needed, keys, lambda group, kept: (group, detector(group) if kept is None else kept), step, lambda state: state[1], schema, columns)
 
-    return in_order(rows.select(F.col(key).cast("string").alias(key), "tx_index", F.col("error").cast("double").alias("error")), key).applyInArrow(scan, f"{key} string, tx_index long")
+
+def _passes(rows: DataFrame, key: str, detector: str, kwargs: dict) -> DataFrame:
+    """key, tx_index of the alarms of a detector's pass over the errors of each key."""
+    return _hits(rows, [key], lambda _: make_detector(detector, **kwargs))
 
 
 def alarms(records: DataFrame, detector: str = "adwin", by: str | None = None) -> DataFrame:
     """stream_key, tx_index, detector_type: a detector's pass over the error column, global or per value of ``by``."""
-    # not a constant: a constant key would not keep rows in order through the planner's own sort
-    key = F.when(F.col("tx_index").isNotNull(), "global") if by is None else F.col(by)
+    key = F.lit("global") if by is None else F.col(by)
     found = _passes(records.withColumn("stream_key", key), "stream_key", detector, {})
     return found.select("stream_key", "tx_index", F.lit(detector).alias("detector_type"))
 
@@ -397,7 +404,7 @@ def _with_alarms(records: DataFrame, cfg: RunConfig, by: dict[str, str | None])
     records = written(records, "records")
     out = records.drop(*by)
     for name, key in by.items():
-        of = F.when(F.col("tx_index").isNotNull(), "global") if key is None else F.col(key)
+        of = F.lit("global") if key is None else F.col(key)
         rows = records.withColumn("of", of).where("of is not null")
         hits = _passes(rows, "of", cfg.detector, cfg.detector_kwargs).select("tx_index", F.lit(True).alias(name))
         out = out.join(hits, "tx_index", "left").withColumn(name, F.coalesce(name, F.lit(False)))

@@ -39,7 +39,7 @@ def _one_pass(rows, cfg):
     return [r for r in fold.run_fold([(i, {"x": x}, y, s) for i, x, y, s in rows], cfg)]
 
 
-CASES = [_cfg("P0", run="a"), _cfg("P2", run="b"), _cfg("P1", run="c", no_swap=True), _cfg("P3", run="d"), _cfg("P2", run="f", detector="adwin", window=20)]
+CASES = [_cfg("P0", run="a"), _cfg("P2", run="b"), _cfg("P1", run="c", no_swap=True), _cfg("P3", run="d"), _cfg("P1", run="e"), _cfg("P2", run="f", detector="adwin", window=20)]
 
 
 @pytest.mark.parametrize("cfg", CASES, ids=lambda c: c.run_id)
@@ -49,7 +49,22 @@ def test_a_run_in_slices_equals_one_pass(spark, small, cfg):
     want = _one_pass(_data(), cfg)
     assert got == want and len(got) == 210
     # an epoch's rows are its window's and interval's
-    assert cfg.policy == "P3" or small and max(small) <= (SLICE if cfg.policy != "P1" or cfg.no_swap else cfg.window + cfg.interval)
+    assert small and max(small) <= (SLICE if cfg.policy != "P1" or cfg.no_swap else cfg.window + cfg.interval)
+
+
+@pytest.mark.parametrize("kind", ["adwin", "hddm_a", "hddm_w"])
+def test_detectors_in_slices_equal_one_pass(spark, small, kind):
+    rows = [(i, float((i // 100) % 2 and i % 3 > 0), (None, "a", "b")[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "tx_index long, error double, segment_key string").repartition(5)
+    for by in (None, "segment_key"):
+        detectors, want = {}, []
+        for i, e, s in rows:
+            key = "global" if by is None else s
+            if detectors.setdefault(key, make_detector(kind)).update(e):
+                want.append((key, i, kind))
+        assert sorted(map(tuple, fold.alarms(df, kind, by).collect()), key=lambda r: r[1]) == want
+    assert max(small) <= SLICE
+    assert want or kind == "adwin"
 
 
 def test_slices_of_nothing_and_of_rows_without_index(spark, small):
