@@ -2,20 +2,22 @@
 
 A row of the stream goes to each run that reads it, and there to the part that needs it: the run itself (P0, P2), the
 row's segment (P3), or the epoch that it belongs to and those that train on it (P1). One shuffle by (run, part) schedules
-all parts of all runs together, largest run or not, and no loop of plans runs on the driver. Alarms that never feed back
-are one more pass over all runs' errors.
+all parts of all runs together, largest run or not. Parts that grow with the stream (runs, segments, first epochs) go in
+slices of the index, all runs' parts in one job a slice. Alarms that never feed back are one more pass, also in slices,
+over all runs' errors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.plans.layout import written
-from driftspark.streaming.fold import _ARROW, _COLUMNS, RECORDS, Fold, RunConfig, _frame, _needed, _ordered, _rows, in_order
+from driftspark.streaming.fold import _ARROW, _COLUMNS, RECORDS, Fold, RunConfig, _batch, _epoch, _hits, _needed, _ordered, _recorded, in_order, in_slices
 from driftspark.streaming.learners import make_detector
 
 
@@ -69,49 +71,44 @@ def run_grid(stream: DataFrame, features: list[str], cfgs: Sequence[RunConfig],
     spread = rows.withColumn("at", F.explode(F.concat(F.array(own), F.coalesce(training, F.array().cast("array<struct<part:string,train:boolean>>")))))
     spread = spread.select(run["run_id"].alias("run_id"), "at.part", "at.train", "tx_index", "y", "segment_key", *features)
 
+    def begin(key: tuple, kept):
+        """A run's configuration, and its fold, or the model of an epoch."""
+        cfg = by_id[key[0]]
+        if _kind(cfg) == "epoch":
+            return cfg, cfg.learner() if kept is None else kept
+        return cfg, Fold(cfg, kept)
+
+    def step(state: tuple, pdf: pd.DataFrame) -> pa.RecordBatch:
+        cfg, at = state
+        if _kind(cfg) == "epoch":
+            return _batch(_epoch(at, pdf, features, cfg))
+        frame = _recorded(at, pdf, features)
+        if _kind(cfg) == "segment":
+            frame["drift_detected_global"] = None
+        return _batch(frame)
+
+    def kept(state: tuple):
+        cfg, at = state
+        return at if _kind(cfg) == "epoch" else at.kept()
+
     def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cfg = by_id[key[0].as_py()]
-        epoch, state, model = _kind(cfg) == "epoch", Fold(cfg), cfg.learner()
+        state = begin(tuple(k.as_py() for k in key), None)
         for pdf in _ordered(batches):
-            train, out = pdf["train"].tolist(), []
-            for learns, (tx, x, y, s) in zip(train, _rows(pdf, features), strict=True):
-                if not epoch:
-                    if (record := state.step(tx, x, y, s)) is not None:
-                        out.append(record)
-                    continue
-                if learns:
-                    model.learn_one(x, y)
-                    continue
-                p = model.predict_one(x)
-                label = int(p >= 0.5)
-                model.learn_one(x, y)
-                due = (tx - cfg.warmup + 1) % cfg.interval == 0
-                out.append((cfg.run_id, tx, y, p, label, abs(y - label), s, due, "global" if due else None, None, None, None, None, None))
-            frame = _frame(out)
-            if _kind(cfg) == "segment":
-                frame["drift_detected_global"] = None
-            yield pa.RecordBatch.from_pandas(frame, _ARROW, preserve_index=False)
-
-    records = written(in_order(spread, "run_id", "part").applyInArrow(fold, RECORDS), "grid")
+            yield step(state, pdf)
+
+    # an epoch but the first, which learns all warmup rows, is bounded by window and interval; all else goes in slices
+    bounded = F.col("run_id").isin([c.run_id for c in cfgs if _kind(c) == "epoch"]) & (F.col("part") != "0")
+    others = in_order(spread.where(bounded), "run_id", "part").applyInArrow(fold, RECORDS)
+    records = written(others.unionByName(in_slices(spread.where(F.coalesce(~bounded, F.lit(True))), ["run_id", "part"], begin, step, kept, _ARROW, RECORDS)), "grid")
     periodic = rows.where(run["kind"] == "epoch")
     sizes = periodic.where(low <= high).withColumn("epoch", F.explode(F.sequence(low, high)))
     trigger = (run["warmup"] + F.col("epoch") * run["interval"] - 1).alias("tx_index")
     sizes = sizes.groupBy(run["run_id"].alias("run_id"), trigger).agg(F.count("*").cast("int").alias("_n"), F.sum("y").cast("int").alias("_frauds"))
     out = records.join(sizes, ["run_id", "tx_index"], "left")
     for name, key in (("drift_detected_global", F.lit("")), ("drift_detected_segment", F.col("segment_key"))):
-        hits = _alarms(records.where(F.col(name).isNull()).withColumn("of", key).where("of is not null"), by_id).select("run_id", "tx_index", F.lit(True).alias("_hit"))
+        rows_of = records.where(F.col(name).isNull()).withColumn("of", key).where("of is not null")
+        hits = _hits(rows_of, ["run_id", "of"], lambda group: make_detector(by_id[group[0]].detector, **by_id[group[0]].detector_kwargs))
+        hits = hits.select("run_id", "tx_index", F.lit(True).alias("_hit"))
         out = out.join(hits, ["run_id", "tx_index"], "left").withColumn(name, F.coalesce(name, "_hit", F.lit(False))).drop("_hit")
     return out.withColumns({"n_window": F.coalesce("n_window", "_n"), "n_fraud_window": F.coalesce("n_fraud_window", "_frauds")}).select(*_COLUMNS)
 
-
-def _alarms(rows: DataFrame, by_id: dict[str, RunConfig]) -> DataFrame:
-    """run_id, tx_index of alarms: each run's detector over its errors, whole (of '') or per segment."""
-
-    def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = key[0].as_py()
-        d = make_detector(by_id[run].detector, **by_id[run].detector_kwargs)
-        for pdf in _ordered(batches):
-            hits = [t for t, e in zip(pdf["tx_index"].tolist(), pdf["error"].tolist(), strict=True) if d.update(float(e))]
-            yield pa.RecordBatch.from_arrays([pa.array([run] * len(hits), pa.string()), pa.array(hits, pa.int64())], ["run_id", "tx_index"])
-
-    return in_order(rows.select("run_id", "of", "tx_index", "error"), "run_id", "of").applyInArrow(scan, "run_id string, tx_index long")

@@ -52,6 +52,16 @@ def test_a_run_in_slices_equals_one_pass(spark, small, cfg):
     assert small and max(small) <= (SLICE if cfg.policy != "P1" or cfg.no_swap else cfg.window + cfg.interval)
 
 
+def test_runs_of_a_grid_go_in_slices(spark, small):
+    df = spark.createDataFrame(_data(), SCHEMA).repartition(5)
+    got = {}
+    for r in grid.run_grid(df, ["x"], CASES).collect():
+        got.setdefault(r["run_id"], []).append(tuple(r))
+    for cfg in CASES:
+        assert sorted(got[cfg.run_id], key=lambda r: r[1]) == _one_pass(_data(), cfg)
+    assert max(small) <= 150
+
+
 @pytest.mark.parametrize("kind", ["adwin", "hddm_a", "hddm_w"])
 def test_detectors_in_slices_equal_one_pass(spark, small, kind):
     rows = [(i, float((i // 100) % 2 and i % 3 > 0), (None, "a", "b")[i % 3]) for i in range(600)]
