@@ -202,3 +202,38 @@ def test_bpe_words_equal_library():
             text = "".join(random.choices(alphabet, k=random.randint(0, 40)))
             want = tok.encode(text, add_special_tokens=False).ids
             assert bpe.np.frombuffer(coder.encode(text), "<u4").tolist() == want, text
+
+
+def test_bpe_new_words_are_encoded_together():
+    """Words that a task meets for the first time cost a fraction of what they cost one by one."""
+    import random
+    import time
+
+    random.seed(6)
+    coder = bpe.Coder(bpe.Automaton(queries.tokenizer_file()))
+    words = list({"".join(random.choices("etaoinshrdlu", k=random.randint(4, 12))) for _ in range(30_000)})
+    start = time.process_time()
+    ids = coder.encode(" ".join(words))
+    together = time.process_time() - start
+    start = time.process_time()
+    one_by_one = [t for w in words for t in coder.a.encode_word(w.encode())]
+    assert bpe.np.frombuffer(ids, "<u4").tolist() == one_by_one
+    assert together < 0.5 * (time.process_time() - start)
+
+
+def test_bpe_full_memory_long_words_and_added_tokens_equal_library(monkeypatch):
+    """What is forgotten is learned again; long words, parts and pieces of any cut and added tokens change no result."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    random.seed(7)
+    for name, most in (("CACHE_WORDS", 50), ("PIECE", 300), ("PART", 100)):
+        monkeypatch.setattr(bpe, name, most)
+    coder, tok = bpe.Coder(bpe.Automaton(queries.tokenizer_file())), Tokenizer.from_file(queries.tokenizer_file())
+    mark = next(iter(coder.a.special))
+    texts: list[str | None] = [None, "", " \x1f ", mark, f"{mark.upper()} a{mark}b", "a" * 63, "b" * 64, "c" * 65, "é" * 40, "-" * 500]
+    for alphabet in ("thean 's", "中文字 é\x1cΣ", "\x00\x1d'"):
+        texts += ["".join(random.choices(alphabet, k=random.choice((5, 50, 150, 900)))) for _ in range(60)]
+    for text, ids in zip(texts, coder.encode_texts(texts), strict=True):
+        assert bpe.np.frombuffer(ids, "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids, text
